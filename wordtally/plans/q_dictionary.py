@@ -18,6 +18,13 @@ SEED = "42"
 def dictionary_sql(opts: TransformOptions, select: str | None = None) -> str:
     """DuckDB twin of DictionaryBuilder.fit; ``select`` is the final SELECT over
     the CTE ``dict`` (word, idx, pos_idf, neg_idf, pos_df, neg_df)."""
+    return S.with_ctes(*dictionary_ctes(opts)) + (
+        select or "SELECT word, idx, round(pos_idf, 6) AS pos_idf, round(neg_idf, 6) AS neg_idf, pos_df, neg_df FROM dict"
+    )
+
+
+def dictionary_ctes(opts: TransformOptions) -> list[str]:
+    """CTEs ann, tok, sel, smp, dw, cnt, dfs, ranked[, cut], dict."""
     toks = "words"
     if opts.neg:
         toks = S.join_negations(toks, opts.negation_word)
@@ -36,8 +43,7 @@ cut AS (SELECT word, CAST(CASE WHEN n > {2 * k + 1} AND idx >= {k} THEN idx - (n
         FROM (SELECT *, count(*) OVER () AS n FROM ranked)
         WHERE n <= {2 * k + 1} OR idx < {k} OR idx >= n - {k})"""
     final = "cut" if cut else "ranked"
-    return (
-        S.with_ctes(
+    return [
             S.ANN,
             S.TOK,
             S.SEL,
@@ -55,9 +61,7 @@ cut AS (SELECT word, CAST(CASE WHEN n > {2 * k + 1} AND idx >= {k} THEN idx - (n
                FROM dfs, cnt)"""
             + cut,
             f"dict AS (SELECT * FROM {final})",
-        )
-        + (select or "SELECT word, idx, round(pos_idf, 6) AS pos_idf, round(neg_idf, 6) AS neg_idf, pos_df, neg_df FROM dict")
-    )
+    ]
 
 
 def rounded(d):
