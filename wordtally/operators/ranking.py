@@ -20,27 +20,29 @@ from wordtally.session import reliable_checkpoint
 def dense_index(
     df: DataFrame,
     order: list[Column],
-    group: str | None = None,
+    group: str | list[str] | None = None,
     idx_col: str = "idx",
     count_col: str | None = None,
 ) -> DataFrame:
     """Add ``idx_col`` = position of the row in ``order`` (within ``group``).
 
     ``order`` must be a total order (end it with a unique key). With
-    ``count_col`` the size of the row's group is added as well.
+    ``count_col`` the size of the row's group is added as well. A group may
+    be as large as the data: it spans as many sorted partitions as it needs.
     """
-    keys = ([F.col(group)] if group else []) + order
+    groups = [group] if isinstance(group, str) else list(group or [])
+    keys = [F.col(g) for g in groups] + order
     tagged = df.orderBy(*keys).withColumn("_mono", F.monotonically_increasing_id())
     tagged = reliable_checkpoint(tagged).withColumn("_pid", F.shiftright("_mono", 33))
 
-    gcols = ["_pid"] + ([group] if group else [])
+    gcols = ["_pid"] + groups
     stats = tagged.groupBy(*gcols).agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w_before = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("_pid").rowsBetween(
+    w_before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1
     )
     stats = stats.withColumn("_offset", F.coalesce(F.sum("_n").over(w_before), F.lit(0)))
     if count_col:
-        w_all = Window.partitionBy(group) if group else Window.partitionBy()
+        w_all = Window.partitionBy(*groups)
         stats = stats.withColumn(count_col, F.sum("_n").over(w_all))
     out = tagged.join(F.broadcast(stats), gcols).withColumn(
         idx_col, (F.col("_offset") + F.col("_mono") - F.col("_first")).cast("long")

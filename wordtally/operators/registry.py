@@ -26,3 +26,167 @@ def select_docs(
     if symbols:
         cond = cond & F.col("symbol").isin(list(symbols))
     return tok.where(cond)
+
+
+# ---------------------------------------------------------------- registry
+REGISTRY_FIXED = ["id", "original_url", "path_saved", "file_type", "use_saved", "insert_seq"]
+REGISTRY_MUTABLE = ["original_url", "symbol", "associated_date", "class_label", "error_cost", "success_gain", "xpath"]
+
+
+def saved_path(md5: F.Column, ftype: F.Column) -> F.Column:
+    """K8: content-addressed location of a stored copy."""
+    return F.concat(F.lit("store/"), F.substring(md5, 1, 1), F.lit("/"), F.substring(md5, 2, 1), F.lit("/"), md5, F.lit("."), ftype)
+
+
+def incoming_rows(manifest: DataFrame, files: DataFrame, store_content: bool = True) -> DataFrame:
+    """Manifest rows (one per announcement, with ``seq``) joined to the scanned
+    files by path (F13: a row without file keeps a null md5) with type (S4)
+    and content hash (G19)."""
+    from wordtally.functions.cells import file_type
+
+    f = files.select(F.col("path").alias("original_url"), "orig_md5")
+    rows = manifest.join(f, "original_url", "left")
+    ftype = file_type(F.col("original_url"))
+    return rows.withColumn("file_type", ftype).withColumn(
+        "path_saved", saved_path(F.col("orig_md5"), ftype) if store_content else F.col("original_url")
+    ).withColumn("use_saved", F.lit(bool(store_content)))
+
+
+def upsert(registry: DataFrame | None, incoming: DataFrame, modify: bool = False) -> DataFrame:
+    """G2 + J1: one registry row per content hash.
+
+    The first row of a hash (lowest ``seq``, the existing registry first)
+    fixes id, saved path, type and insert order; without ``modify`` it fixes
+    everything, with ``modify`` the last row sets url, symbol, date, label,
+    cost, gain and block selector. ``min_by`` / ``max_by`` keep the group
+    state bounded, so a hash shared by a third of all rows costs nothing
+    extra. Rows without a file (null md5) never enter.
+    """
+    cols = ["id", "seq", "orig_md5", "symbol", "associated_date", "class_label", "error_cost", "success_gain",
+            "original_url", "path_saved", "file_type", "use_saved", "xpath"]
+    inc = incoming.where(F.col("orig_md5").isNotNull())
+    if "xpath" not in inc.columns:
+        inc = inc.withColumn("xpath", F.lit(None).cast("string"))
+    # processing order: the existing registry first, then the batch by seq
+    inc = inc.select(*cols, F.struct(F.lit(1).alias("b"), F.col("seq").alias("s")).alias("_ord"))
+    allrows = (
+        inc
+        if registry is None
+        else registry.select(*cols, F.struct(F.lit(0).alias("b"), F.col("seq").alias("s")).alias("_ord")).unionByName(inc)
+    )
+    fixed = F.struct(F.col("id"), F.col("seq"), F.col("path_saved"), F.col("file_type"), F.col("use_saved"))
+    mutable = F.struct(*[F.col(c) for c in REGISTRY_MUTABLE])
+    agg = allrows.groupBy("orig_md5").agg(
+        F.min_by(fixed, F.col("_ord")).alias("f"),
+        (F.max_by(mutable, F.col("_ord")) if modify else F.min_by(mutable, F.col("_ord"))).alias("m"),
+    )
+    return agg.select(
+        "f.id", "f.seq", "orig_md5", "m.symbol", "m.associated_date", "m.class_label", "m.error_cost", "m.success_gain",
+        "m.original_url", "f.path_saved", "f.file_type", "f.use_saved", "m.xpath",
+    )
+
+
+def import_status(registry: DataFrame | None, incoming: DataFrame, modify: bool = False) -> DataFrame:
+    """One status per incoming row: ``missing`` (F13), ``inserted`` (the
+    first row of its hash), ``modified`` or ``skipped`` (a later row, with or
+    without modify)."""
+    inc = incoming.select("seq", "original_url", "orig_md5")
+    firsts = inc.where(F.col("orig_md5").isNotNull()).groupBy("orig_md5").agg(F.min("seq").alias("_first"))
+    if registry is not None:
+        prior = registry.select("orig_md5").distinct().withColumn("_known", F.lit(True))
+        firsts = firsts.join(prior, "orig_md5", "left")
+    else:
+        firsts = firsts.withColumn("_known", F.lit(False))
+    later = "modified" if modify else "skipped"
+    st = (
+        F.when(F.col("orig_md5").isNull(), "missing")
+        .when(~F.coalesce(F.col("_known"), F.lit(False)) & (F.col("seq") == F.col("_first")), "inserted")
+        .otherwise(later)
+    )
+    return inc.join(firsts, "orig_md5", "left").select("seq", "original_url", "orig_md5", st.alias("status"))
+
+
+def label_update(registry: DataFrame, labels: DataFrame) -> DataFrame:
+    """J2 + W6: label rows (path, class_label, error_cost, success_gain, seq
+    [, xpath]) matched to the registry by original url, first registry row per
+    url (lowest id); several label rows for one url: the last one wins. A
+    block selector on an html row is stored (Q2) and, as in the reference,
+    asks for a new tokenization."""
+    first = registry.groupBy("original_url").agg(F.min("id").alias("id"))
+    lab = labels
+    if "xpath" not in lab.columns:
+        lab = lab.withColumn("xpath", F.lit(None).cast("string"))
+    last = lab.groupBy(F.col("path").alias("original_url")).agg(
+        F.max_by(F.struct("class_label", "error_cost", "success_gain", "xpath"), F.col("seq")).alias("l")
+    )
+    hit = first.join(last, "original_url").select("id", "l")
+    out = registry.join(hit, "id", "left")
+    new_xpath = F.when(F.col("l").isNotNull() & F.col("l.xpath").isNotNull() & (F.col("file_type") == "html"), F.col("l.xpath"))
+    return out.select(
+        *[c for c in registry.columns if c not in ("class_label", "error_cost", "success_gain", "xpath")],
+        F.coalesce("l.class_label", "class_label").alias("class_label"),
+        F.coalesce("l.error_cost", "error_cost").alias("error_cost"),
+        F.coalesce("l.success_gain", "success_gain").alias("success_gain"),
+        F.coalesce(new_xpath, F.col("xpath")).alias("xpath"),
+        F.col("l").isNotNull().alias("relabelled"),
+    )
+
+
+def label_status(registry: DataFrame, labels: DataFrame) -> DataFrame:
+    """K11 for label rows: ``modified`` or ``no such record``."""
+    urls = registry.select(F.col("original_url").alias("path")).distinct().withColumn("_hit", F.lit(True))
+    return labels.join(urls, "path", "left").select(
+        "seq", "path", F.when(F.col("_hit"), "modified").otherwise("no such record").alias("status")
+    )
+
+
+# ------------------------------------------------------------- tokenized
+def merge_key() -> list[str]:
+    return ["symbol", "associated_date"]
+
+
+def merge_tokenized(tok: DataFrame) -> DataFrame:
+    """One tokenized row per (symbol, date).
+
+    Counts are summed, label, cost and gain come from the last processed
+    document (``max_by`` on seq); all of it with partial aggregation. The
+    merged sentences are kept as ordered parts (``merge_parts``), newest
+    first, instead of one array per group, so that no group - however hot -
+    is collected into one row.
+    """
+    last = F.struct("class_label", "error_cost", "success_gain")
+    agg = tok.groupBy(*merge_key()).agg(
+        F.max_by(last, F.col("seq")).alias("l"),
+        F.sum("sentences").cast("long").alias("sentences"),
+        F.sum("tokens").cast("long").alias("tokens"),
+        F.count(F.lit(1)).alias("parts"),
+        F.min("id").alias("tokenization_id"),
+    )
+    return agg.select(
+        "tokenization_id", *merge_key(), "l.class_label", "l.error_cost", "l.success_gain", "sentences", "tokens", "parts"
+    )
+
+
+def merge_parts(tok: DataFrame) -> DataFrame:
+    """The order of the merged text: part 0 is the newest document."""
+    from wordtally.operators.ranking import dense_index
+
+    return dense_index(tok.select(*merge_key(), "id", "seq"), [F.col("seq").desc()], group=merge_key(), idx_col="part_no")
+
+
+def untokenized(registry: DataFrame, tokenized_ids: DataFrame, symbols: tuple[str, ...] = ()) -> DataFrame:
+    """registry rows with no tokenization yet (anti join), optional symbol list."""
+    rows = registry.join(tokenized_ids.select("id"), "id", "left_anti")
+    return rows.where(F.col("symbol").isin(list(symbols))) if symbols else rows
+
+
+def drop_tokenizations(registry: DataFrame, tokenized: DataFrame, symbols: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """F3 + J10: drop the tokenized rows of the selection and null the
+    registry keys that pointed at them. Returns (tokenized kept, registry)."""
+    sel = F.col("symbol").isin(list(symbols)) if symbols else F.lit(True)
+    dropped = tokenized.where(sel).select(F.col("tokenization_id").alias("_dropped"))
+    kept = tokenized.where(~sel)
+    reg = registry.join(dropped, registry.tokenization_id == dropped._dropped, "left").withColumn(
+        "tokenization_id", F.when(F.col("_dropped").isNotNull(), F.lit(None).cast("long")).otherwise(F.col("tokenization_id"))
+    ).drop("_dropped")
+    return kept, reg
