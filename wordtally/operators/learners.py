@@ -182,31 +182,38 @@ def knn_neighbours(
     k: int = 11,
     block_rows: int = 512,
     exclude_dictionary_docs: bool = True,
+    queries: DataFrame | None = None,
 ) -> DataFrame:
-    """``qid, qfold, qy, tid, ty, d2``: the k nearest training documents
-    (other folds) of every test document, ties broken by training id."""
+    """``qid, qfold, qy, tid, ty, d2``: the k nearest training documents of
+    every query document, ties broken by training id.
+
+    ``folds(id, y, fold, in_dictionary)`` are the training documents; a query
+    only meets training documents of other folds. Without ``queries`` the test
+    rows of ``folds`` are the queries (cross-validation); for prediction the
+    queries are new documents with a fold no training row has."""
     rows = sparse_rows(feats)
-    docs = folds.select("id", "y", "fold", "in_dictionary").join(rows, "id", "left").select(
-        "id",
-        "y",
-        "fold",
-        "in_dictionary",
-        F.coalesce("ix", F.array().cast("array<int>")).alias("ix"),
-        F.coalesce("vx", F.array().cast("array<double>")).alias("vx"),
-    )
-    n = folds.count()
+
+    def with_rows(df):
+        return df.select("id", "y", "fold").join(rows, "id", "left").select(
+            "id",
+            "y",
+            "fold",
+            F.coalesce("ix", F.array().cast("array<int>")).alias("ix"),
+            F.coalesce("vx", F.array().cast("array<double>")).alias("vx"),
+        )
+
+    if queries is None:
+        queries = folds.where(~F.col("in_dictionary")) if exclude_dictionary_docs else folds
+    train = with_rows(folds)
+    tests = with_rows(queries)
+    n = max(folds.count(), 1)
     nb = max(1, math.ceil(n / block_rows))
-    docs = docs.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
+    blk = F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")
     all_blocks = F.sequence(F.lit(0), F.lit(nb - 1))
-    tests = docs.where(~F.col("in_dictionary")) if exclude_dictionary_docs else docs
-    # both sides come from one lineage: fresh names keep the cogroup unambiguous
+    # both sides may come from one lineage: fresh names keep the cogroup unambiguous
     side = ["id", "y", "fold", "ix", "vx"]
-    q = tests.select(
-        F.col("blk").alias("qb"), F.explode(all_blocks).alias("tb"), *[F.col(c).alias("q_" + c) for c in side]
-    )
-    t = docs.select(
-        F.explode(all_blocks).alias("qb"), F.col("blk").alias("tb"), *[F.col(c).alias("t_" + c) for c in side]
-    )
+    q = tests.select(blk.alias("qb"), F.explode(all_blocks).alias("tb"), *[F.col(c).alias("q_" + c) for c in side])
+    t = train.select(F.explode(all_blocks).alias("qb"), blk.alias("tb"), *[F.col(c).alias("t_" + c) for c in side])
     cand = (
         q.groupBy("qb", "tb")
         .cogroup(t.groupBy("qb", "tb"))
