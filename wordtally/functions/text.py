@@ -28,9 +28,10 @@ _SEP_CHARS = _WS + r",;:!?()\[\]{}<>\"#$%&@*."
 SEP = f"[{_SEP_CHARS}]"
 NON_SEP = f"[^{_SEP_CHARS}]"
 
-_STRIP = rf"^[{_WS}]+|[{_WS}]+$"
+_WS_CHARS = "\t\n\x0b\x0c\r "
 _SENTENCE_CUT = rf"(?<=[.!?])[{_WS}]+"
-_SENTENCE_END = rf"[.!?][{_WS}]+"
+# one sentence end per . ! ? directly followed by whitespace
+_SENTENCE_END = rf"[.!?](?=[{_WS}])"
 _NT = rf"(?i)(?<={NON_SEP})n't(?={SEP}|$)"
 _CLITIC = rf"(?i)(?<={NON_SEP})'(?:s|m|d|ll|re|ve)(?={SEP}|$)"
 # a maximal run of non-separators that is a word token, or a lone n't
@@ -53,13 +54,16 @@ def _col(c: Column | str) -> Column:
 
 
 def strip_ws(text: Column | str) -> Column:
-    return F.regexp_replace(F.coalesce(_col(text), F.lit("")), _STRIP, "")
+    return F.btrim(F.coalesce(_col(text), F.lit("")), F.lit(_WS_CHARS))
 
 
 def sentence_count(text: Column | str) -> Column:
-    """Number of sentences (X3) without building the sentence array."""
+    """Number of sentences (X3) without building the sentence array: one plus
+    the sentence ends inside the stripped text, counted as the length lost
+    when they are removed (a single regex pass, no match array)."""
     t = strip_ws(text)
-    return F.when(t == "", F.lit(0)).otherwise(F.regexp_count(t, F.lit(_SENTENCE_END)) + 1).cast("int")
+    ends = F.length(t) - F.length(F.regexp_replace(t, _SENTENCE_END, ""))
+    return F.when(t == "", F.lit(0)).otherwise(ends + 1).cast("int")
 
 
 def sentences(text: Column | str) -> Column:
@@ -69,15 +73,26 @@ def sentences(text: Column | str) -> Column:
 
 
 def _prepare(text: Column) -> Column:
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "--", " ")
-    t = F.regexp_replace(t, _NT, " n't")
-    return F.regexp_replace(t, _CLITIC, "")
+    # the rewrites only matter when their trigger occurs: a plain substring
+    # test keeps the regex passes off texts without "--" or an apostrophe
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(t.contains("--"), F.regexp_replace(t, "--", " ")).otherwise(t)
+    return F.when(
+        t.contains("'"), F.regexp_replace(F.regexp_replace(t, _NT, " n't"), _CLITIC, "")
+    ).otherwise(t)
 
 
 def words(text: Column | str) -> Column:
-    """array<string> of filtered, lower-cased word tokens of a text."""
-    raw = F.regexp_extract_all(_prepare(_col(text)), F.lit(_TOKEN), 0)
-    return F.transform(raw, lambda x: F.when(F.lower(x) == "n't", F.lit("not")).otherwise(F.lower(x)))
+    """array<string> of filtered, lower-cased word tokens of a text.
+
+    The kept tokens (ASCII only, so X5 holds before any lower-casing) are
+    extracted in one regex pass and lower-cased together as one joined ASCII
+    string (tokens hold no space); the per-token ``n't`` -> ``not`` step runs
+    only on texts that contain an apostrophe."""
+    t = _prepare(_col(text))
+    raw = F.regexp_extract_all(t, F.lit(_TOKEN), 0)
+    low = F.when(F.size(raw) == 0, raw).otherwise(F.split(F.lower(F.array_join(raw, " ")), " "))
+    return F.when(t.contains("'"), F.transform(low, lambda x: F.when(x == "n't", F.lit("not")).otherwise(x))).otherwise(low)
 
 
 def sentence_words(text: Column | str) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordtally.operators.joins import checked_broadcast
+from wordtally.session import reliable_checkpoint
 
 VOTE_COLUMNS = ["id", "fold", "learner", "vote", "y"]
 
@@ -61,7 +62,7 @@ def naive_bayes_scores(
     cls = cls.withColumn("log_prior", F.log(F.col("cw") / F.sum("cw").over(Window.partitionBy("fold"))))
 
     # feature weight per (fold, class, idx), bounded by folds x 2 x dictionary
-    feat_fold = presence.join(docs, "id").groupBy("fold", "y", "idx").agg(F.sum("w").alias("fw_f"))
+    feat_fold = reliable_checkpoint(presence.join(docs, "id").groupBy("fold", "y", "idx").agg(F.sum("w").alias("fw_f")))
     feat_tot = feat_fold.groupBy("y", "idx").agg(F.sum("fw_f").alias("fw_t"))
     # every (fold, class, index): dictionary x 2 x n_folds rows, generated, not joined
     grid = spark.range(dict_size).select(
@@ -83,6 +84,8 @@ def naive_bayes_scores(
         )
         .select("fold", "y", "idx", "log_prior", F.log("p").alias("lp"), F.log(1 - F.col("p")).alias("l1p"))
     )
+    # the fitted model of every fold (n_folds x 2 x dictionary rows), read twice below
+    stats = reliable_checkpoint(stats)
     base = stats.groupBy("fold", "y").agg((F.first("log_prior") + F.sum("l1p")).alias("base"))
     delta = stats.select("fold", "y", "idx", (F.col("lp") - F.col("l1p")).alias("delta"))
 
@@ -119,59 +122,67 @@ def sparse_rows(long: DataFrame) -> DataFrame:
 _CAND_SCHEMA = "qid long, qfold int, qy int, tid long, ty int, d2 double"
 
 
-def _block_topk(k: int):
+def _flatten(ix_lists, vx_lists):
+    lens = np.fromiter((len(a) for a in ix_lists), dtype=np.int64, count=len(ix_lists))
+    ix = np.concatenate([np.asarray(a, dtype=np.int64) for a in ix_lists]) if lens.sum() else np.zeros(0, np.int64)
+    vx = np.concatenate([np.asarray(a, dtype=np.float64) for a in vx_lists]) if lens.sum() else np.zeros(0)
+    return lens, ix, vx
+
+
+def _block_topk(k: int, chunk_entries: int = 1 << 16):
+    """Grouped-map kernel: distances between one query block and one training
+    block, k best per query. Dot products only touch the training entries
+    whose index occurs in the query block (a gather over a dense query matrix
+    restricted to those columns), in chunks of bounded memory."""
+    empty = pd.DataFrame({c: [] for c in ["qid", "qfold", "qy", "tid", "ty", "d2"]})
+
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         q = q.rename(columns=lambda c: c[2:] if c.startswith("q_") else c)
         t = t.rename(columns=lambda c: c[2:] if c.startswith("t_") else c)
         if q.empty or t.empty:
-            return pd.DataFrame({c: [] for c in ["qid", "qfold", "qy", "tid", "ty", "d2"]})
-        q_ix = [np.asarray(a, dtype=np.int64) for a in q["ix"]]
-        q_vx = [np.asarray(a, dtype=np.float64) for a in q["vx"]]
-        t_ix = [np.asarray(a, dtype=np.int64) for a in t["ix"]]
-        t_vx = [np.asarray(a, dtype=np.float64) for a in t["vx"]]
-        cols = np.unique(np.concatenate(q_ix)) if any(len(a) for a in q_ix) else np.zeros(0, dtype=np.int64)
-        qm = np.zeros((len(q), len(cols)))
-        for i, (ix, vx) in enumerate(zip(q_ix, q_vx)):
-            qm[i, np.searchsorted(cols, ix)] = vx
-        tm = np.zeros((len(t), len(cols)))
-        for j, (ix, vx) in enumerate(zip(t_ix, t_vx)):
-            if len(cols) and len(ix):
-                pos = np.searchsorted(cols, ix)
-                pos_c = np.minimum(pos, len(cols) - 1)
-                hit = cols[pos_c] == ix
-                tm[j, pos_c[hit]] = vx[hit]
-        qn = np.array([float(np.dot(v, v)) for v in q_vx])
-        tn = np.array([float(np.dot(v, v)) for v in t_vx])
-        d2 = qn[:, None] + tn[None, :] - 2.0 * (qm @ tm.T)
-        d2 = np.round(np.maximum(d2, 0.0), 9)
+            return empty
+        nq, nt = len(q), len(t)
+        q_len, q_ix, q_vx = _flatten(list(q["ix"]), list(q["vx"]))
+        t_len, t_ix, t_vx = _flatten(list(t["ix"]), list(t["vx"]))
+        cols = np.unique(q_ix)
+        qm = np.zeros((nq, max(len(cols), 1)))
+        if len(cols):
+            qm[np.repeat(np.arange(nq), q_len), np.searchsorted(cols, q_ix)] = q_vx
+        qn = np.bincount(np.repeat(np.arange(nq), q_len), weights=q_vx * q_vx, minlength=nq)
+        tn = np.bincount(np.repeat(np.arange(nt), t_len), weights=t_vx * t_vx, minlength=nt)
+        dots = np.zeros((nq, nt))
+        if len(cols) and len(t_ix):
+            rows = np.repeat(np.arange(nt), t_len)
+            pos = np.minimum(np.searchsorted(cols, t_ix), len(cols) - 1)
+            hit = cols[pos] == t_ix
+            rows, pos, val = rows[hit], pos[hit], t_vx[hit]
+            for a in range(0, len(rows), chunk_entries):
+                r, p, v = rows[a : a + chunk_entries], pos[a : a + chunk_entries], val[a : a + chunk_entries]
+                contrib = qm[:, p] * v  # (nq, entries of the chunk), entries sorted by training row
+                uniq, starts = np.unique(r, return_index=True)
+                dots[:, uniq] += np.add.reduceat(contrib, starts, axis=1)
+        d2 = np.round(np.maximum(qn[:, None] + tn[None, :] - 2.0 * dots, 0.0), 9)
         qfold = q["fold"].to_numpy()
         tfold = t["fold"].to_numpy()
-        d2 = np.where(qfold[:, None] == tfold[None, :], np.inf, d2)
+        d2[qfold[:, None] == tfold[None, :]] = np.inf
         tid = t["id"].to_numpy()
-        out = []
-        for i in range(len(q)):
-            row = d2[i]
-            ok = np.isfinite(row)
-            if not ok.any():
-                continue
-            cand = np.nonzero(ok)[0]
-            order = np.lexsort((tid[cand], row[cand]))[:k]
-            sel = cand[order]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "qid": q["id"].iat[i],
-                        "qfold": int(qfold[i]),
-                        "qy": int(q["y"].iat[i]),
-                        "tid": tid[sel],
-                        "ty": t["y"].to_numpy()[sel],
-                        "d2": row[sel],
-                    }
-                )
-            )
-        if not out:
-            return pd.DataFrame({c: [] for c in ["qid", "qfold", "qy", "tid", "ty", "d2"]})
-        return pd.concat(out, ignore_index=True)
+        order = np.lexsort((np.broadcast_to(tid, d2.shape), d2), axis=1)[:, :k]
+        best = np.take_along_axis(d2, order, axis=1)
+        keep = np.isfinite(best)
+        qi = np.nonzero(keep)[0]
+        sel = order[keep]
+        if not len(sel):
+            return empty
+        return pd.DataFrame(
+            {
+                "qid": q["id"].to_numpy()[qi],
+                "qfold": qfold[qi].astype(np.int32),
+                "qy": q["y"].to_numpy()[qi].astype(np.int32),
+                "tid": tid[sel],
+                "ty": t["y"].to_numpy()[sel].astype(np.int32),
+                "d2": best[keep],
+            }
+        )
 
     return run
 

@@ -20,6 +20,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Text work is CPU-bound per row: a small table that arrives in fewer
+    splits than there are cores is hash-spread by its key first. A large table
+    already has more splits than cores and is left as read (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
 def class_label(quality: F.Column) -> F.Column:
     return F.when(quality == 1, "pos").when(quality == 0, "neg").otherwise("none")
 
@@ -31,7 +41,7 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     (missing -> ``none``), cost = 1 + toxic, gain = n_chars / 1000, content hash
     of the text, ``seq`` = the order in which documents arrive.
     """
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     labels = read_table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
@@ -70,8 +80,23 @@ def tokenized(ann: DataFrame, keep_sentences: bool = False) -> DataFrame:
     return ann.select(*cols).withColumn("tokens", F.size("words"))
 
 
+_SELECTIONS: dict = {}
+
+
 def labelled_selection(spark: SparkSession, sf_dir: str, min_sentences: int = 1) -> DataFrame:
-    """F1 with the full date range and all symbols: labelled documents with text."""
+    """F1 with the full date range and all symbols: labelled documents with
+    their tokens, written once to the checkpoint folder (the reference keeps
+    the same table on disk) and read by every later step instead of running
+    the tokenizer again."""
     from wordtally.operators.registry import select_docs
+    from wordtally.session import reliable_checkpoint
+
+    key = (id(spark), sf_dir, min_sentences)
+    if key not in _SELECTIONS:
+        sel = select_docs(tokenized(announcements(spark, sf_dir)), min_sentences=min_sentences)
+        _SELECTIONS[key] = reliable_checkpoint(sel.drop("text"))
+    return _SELECTIONS[key]
+
 
-    return select_docs(tokenized(announcements(spark, sf_dir)), min_sentences=min_sentences)
+def clear_cache() -> None:
+    _SELECTIONS.clear()
