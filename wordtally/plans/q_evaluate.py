@@ -117,7 +117,7 @@ def _cv_ctes() -> list[str]:
              FROM feat a JOIN tests q ON q.id = a.id JOIN feat b ON b.idx = a.idx JOIN folds t ON t.id = b.id AND t.fold <> q.fold
              GROUP BY a.id, b.id)""",
         """dd AS (SELECT q.id AS qid, q.fold AS qfold, q.y AS qy, t.id AS tid, t.y AS ty,
-               round(greatest(nq.n2 + nt.n2 - 2 * coalesce(d.dot, 0), 0), 9) AS d2
+               round(greatest(nq.n2 + nt.n2 - 2 * coalesce(d.dot, 0), 0), 6) AS d2
              FROM tests q JOIN folds t ON q.fold <> t.fold JOIN fn nq ON nq.id = q.id JOIN fn nt ON nt.id = t.id
              LEFT JOIN dots d ON d.qid = q.id AND d.tid = t.id)""",
         "nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, tid) AS rn FROM dd) WHERE rn <= 11)",
