@@ -347,6 +347,29 @@ def rff_features(long: DataFrame, n_features: int, n_components: int = 256, gamm
     return z.select("id", array_to_vector("z").alias("features"))
 
 
+def _class_counts(folds: DataFrame, n_folds: int) -> dict[int, dict[int, int]]:
+    """Training rows per class for every fold: one tiny aggregate (2 x n_folds rows)."""
+    per = {(r.fold, r.y): r.n for r in folds.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tot = {y: sum(n for (f, yy), n in per.items() if yy == y) for y in (1, -1)}
+    return {f: {y: tot[y] - per.get((f, y), 0) for y in (1, -1)} for f in range(n_folds)}
+
+
+def _per_fold(fn, n_folds: int, workers: int = 4):
+    """Run ``fn(f)`` for every fold from a small thread pool: each call
+    submits its own Spark jobs, which the scheduler runs side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=min(workers, n_folds)) as pool:
+        return list(pool.map(fn, range(n_folds)))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for o in frames[1:]:
+        out = out.unionByName(o)
+    return out
+
+
 def ml_fold_votes(
     voter: MLVoter,
     vectors: DataFrame,
@@ -356,34 +379,37 @@ def ml_fold_votes(
     exclude_dictionary_docs: bool = True,
     n_folds: int = 10,
 ) -> DataFrame:
-    """Fit on ``fold <> f`` and vote on ``fold = f`` (U3) for every fold."""
+    """Fit on ``fold <> f`` and vote on ``fold = f`` (U3) for every fold.
+
+    The joined training data is written to the checkpoint folder once (the
+    iterative solvers read it many times); the folds are fitted concurrently
+    and their votes materialised, so the returned frame does not refit."""
     data = vectors.join(folds, "id").withColumn("label", (F.col("y") == 1).cast("double"))
     if weight_col:
         data = data.withColumn(weight_col, F.col(weight_col).cast("double"))
-    outs = []
-    for f in range(n_folds):
+    data = reliable_checkpoint(data)
+    counts = _class_counts(folds, n_folds)
+
+    def one(f: int) -> DataFrame:
         train = data.where(F.col("fold") != f)
         test = data.where(F.col("fold") == f)
         if exclude_dictionary_docs:
             test = test.where(~F.col("in_dictionary"))
-        labels = [r[0] for r in train.select("label").distinct().collect()]
-        if len(labels) < 2:
+        present = [y for y, n in counts[f].items() if n > 0]
+        if len(present) < 2:
             # one class only: every vote is that class
-            only = int(labels[0] == 1.0) * 2 - 1 if labels else -1
-            outs.append(test.select("id", "fold", F.lit(voter.name).alias("learner"), F.lit(only).alias("vote"), "y"))
-            continue
-        model = voter.estimator(train.count(), n_features, weight_col).fit(train)
-        pred = model.transform(test)
-        outs.append(
-            pred.select(
+            only = present[0] if present else -1
+            votes = test.select("id", "fold", F.lit(voter.name).alias("learner"), F.lit(only).alias("vote"), "y")
+        else:
+            n_train = counts[f][1] + counts[f][-1]
+            model = voter.estimator(n_train, n_features, weight_col).fit(train)
+            votes = model.transform(test).select(
                 "id", "fold", F.lit(voter.name).alias("learner"),
                 F.when(F.col("prediction") > 0.5, 1).otherwise(-1).cast("int").alias("vote"), "y",
             )
-        )
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+        return reliable_checkpoint(votes)
+
+    return _union(_per_fold(one, n_folds))
 
 
 def sgd_fold_votes(
@@ -402,14 +428,16 @@ def sgd_fold_votes(
     from pyspark.mllib.regression import LabeledPoint
     from pyspark.mllib.util import MLUtils
 
-    data = MLUtils.convertVectorColumnsFromML(vectors.join(folds, "id"), "features")
+    data = reliable_checkpoint(MLUtils.convertVectorColumnsFromML(vectors.join(folds, "id"), "features"))
     spark = vectors.sparkSession
-    outs = []
-    for f in range(n_folds):
+
+    def one(f: int) -> DataFrame:
         train = data.where(F.col("fold") != f).rdd.map(
             lambda r: LabeledPoint(1.0 if r["y"] == 1 else 0.0, MVectors.fromML(r["features"].asML()))
         )
+        train.cache()
         model = SVMWithSGD.train(train, iterations=iterations, step=1.0, regParam=reg, miniBatchFraction=1.0)
+        train.unpersist()
         test = data.where(F.col("fold") == f)
         if exclude_dictionary_docs:
             test = test.where(~F.col("in_dictionary"))
@@ -421,12 +449,9 @@ def sgd_fold_votes(
                 yield (r["id"], r["fold"], 1 if (w_.dot(r["features"]) + b_) > 0 else -1, r["y"])
 
         scored = test.select("id", "fold", "features", "y").rdd.mapPartitions(score)
-        outs.append(
-            spark.createDataFrame(scored, "id long, fold int, vote int, y int").select(
-                "id", "fold", F.lit(learner).alias("learner"), "vote", "y"
-            )
+        votes = spark.createDataFrame(scored, "id long, fold int, vote int, y int").select(
+            "id", "fold", F.lit(learner).alias("learner"), "vote", "y"
         )
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+        return reliable_checkpoint(votes)
+
+    return _union(_per_fold(one, n_folds))

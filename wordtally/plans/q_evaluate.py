@@ -335,37 +335,64 @@ def _vectors(c: CVContext):
     return c._votes[key]
 
 
+def _ml_votes(c: CVContext, name: str, weighted: bool = False):
+    key = ("ml", name, weighted)
+    if key not in c._votes:
+        w = "error_cost" if weighted else None
+        if name == "svm_linear":
+            v = LR.ml_fold_votes(LR.MLVoter("svm_linear", True), _vectors(c), c.folds, c.tm.size, weight_col=w)
+        elif name == "svm_rff":
+            z = reliable_checkpoint(LR.rff_features(c.feats, c.tm.size))
+            v = LR.ml_fold_votes(LR.MLVoter("svm_rff", True), z, c.folds, c.tm.size, weight_col=w)
+        elif name == "sgd_linear":
+            v = LR.sgd_fold_votes(_vectors(c), c.folds)
+        elif name == "boosting":
+            v = LR.ml_fold_votes(LR.MLVoter("boosting", False), _vectors(c), c.folds, c.tm.size)
+        else:
+            raise ValueError(name)
+        c._votes[key] = v
+    return c._votes[key]
+
+
 @query("svm_linear")
 def svm_linear(spark, sf_dir):
     """M5: linear SVM votes per fold (pyspark.ml LinearSVC)."""
-    c = ctx(spark, sf_dir)
-    return LR.ml_fold_votes(LR.MLVoter("svm_linear", True), _vectors(c), c.folds, c.tm.size)
+    return _ml_votes(ctx(spark, sf_dir), "svm_linear")
 
 
 @query("svm_weighted")
 def svm_weighted(spark, sf_dir):
     """M5 + M11: linear SVM with error cost as sample weight."""
-    c = ctx(spark, sf_dir)
-    return LR.ml_fold_votes(LR.MLVoter("svm_linear", True), _vectors(c), c.folds, c.tm.size, weight_col="error_cost")
+    return _ml_votes(ctx(spark, sf_dir), "svm_linear", weighted=True).withColumn("learner", F.lit("svm_weighted"))
 
 
 @query("svm_rff")
 def svm_rff(spark, sf_dir):
     """M6: RBF-kernel SVM approximated by random Fourier features + LinearSVC."""
-    c = ctx(spark, sf_dir)
-    z = reliable_checkpoint(LR.rff_features(c.feats, c.tm.size))
-    return LR.ml_fold_votes(LR.MLVoter("svm_rff", True), z, c.folds, c.tm.size)
+    return _ml_votes(ctx(spark, sf_dir), "svm_rff")
 
 
 @query("sgd_linear")
 def sgd_linear(spark, sf_dir):
     """M8: hinge-loss linear model by stochastic gradient."""
-    c = ctx(spark, sf_dir)
-    return LR.sgd_fold_votes(_vectors(c), c.folds)
+    return _ml_votes(ctx(spark, sf_dir), "sgd_linear")
 
 
 @query("boosting")
 def boosting(spark, sf_dir):
     """Gradient-boosted trees per fold."""
+    return _ml_votes(ctx(spark, sf_dir), "boosting")
+
+
+@query("cv_metrics_all")
+def cv_metrics_all(spark, sf_dir):
+    """M12 as the reference runs it: six voters, three ensembles over them,
+    three baselines, one metric aggregation."""
     c = ctx(spark, sf_dir)
-    return LR.ml_fold_votes(LR.MLVoter("boosting", False), _vectors(c), c.folds, c.tm.size)
+    nb = LR.naive_bayes_votes(c.nb_scores(False), "naive_bayes")
+    voters = nb.unionByName(c.knn())
+    for name in ("svm_linear", "svm_rff", "sgd_linear", "boosting"):
+        voters = voters.unionByName(_ml_votes(c, name))
+    ens = E.ensemble_votes(voters, ALL_VOTERS)
+    votes = voters.unionByName(ens).unionByName(E.baseline_votes(c.tests, SEED))
+    return E.fold_metrics(votes, c.folds)
