@@ -129,11 +129,65 @@ def _flatten(ix_lists, vx_lists):
     return lens, ix, vx
 
 
-def _block_topk(k: int, chunk_entries: int = 1 << 16):
+def _block_dots(nq, q_rows, q_cols, q_vals, nt, t_rows, t_cols, t_vals, heavy_min: int = 16, max_heavy: int = 4096,
+                chunk_pairs: int = 1 << 22):
+    """Sparse product of a query block and a training block: ``dots[q, t]``.
+
+    Columns held by many queries of the block (frequent words) go through one
+    dense BLAS product; the others through explicit (query entry, training
+    entry) pairs accumulated with ``bincount`` - at most ``heavy_min`` pairs
+    per training entry. Training entries arrive sorted by row and column, so
+    equal training rows accumulate in the same order."""
+    dots = np.zeros(nq * nt)
+    if not len(q_cols) or not len(t_cols):
+        return dots.reshape(nq, nt)
+    order = np.lexsort((q_rows, q_cols))
+    q_rows, q_cols, q_vals = q_rows[order], q_cols[order], q_vals[order]
+    ucols, qstart, qcount = np.unique(q_cols, return_index=True, return_counts=True)
+    # training entries on columns the query block has
+    pos = np.minimum(np.searchsorted(ucols, t_cols), len(ucols) - 1)
+    hit = ucols[pos] == t_cols
+    t_rows, pos, t_vals = t_rows[hit], pos[hit], t_vals[hit]
+    heavy_cols = np.nonzero(qcount >= heavy_min)[0]
+    if len(heavy_cols) > max_heavy:
+        heavy_cols = heavy_cols[np.argsort(-qcount[heavy_cols], kind="stable")[:max_heavy]]
+        heavy_cols.sort()
+    is_heavy = np.zeros(len(ucols), dtype=bool)
+    is_heavy[heavy_cols] = True
+    out = dots.reshape(nq, nt)
+    if len(heavy_cols):
+        slot = np.full(len(ucols), -1)
+        slot[heavy_cols] = np.arange(len(heavy_cols))
+        qd = np.zeros((nq, len(heavy_cols)))
+        qh = is_heavy[np.searchsorted(ucols, q_cols)]
+        qd[q_rows[qh], slot[np.searchsorted(ucols, q_cols[qh])]] = q_vals[qh]
+        th = is_heavy[pos]
+        td = np.zeros((nt, len(heavy_cols)))
+        td[t_rows[th], slot[pos[th]]] = t_vals[th]
+        out += qd @ td.T
+    light = ~is_heavy[pos]
+    lr, lp, lv = t_rows[light], pos[light], t_vals[light]
+    reps = qcount[lp]
+    a = 0
+    while a < len(lr):
+        # chunks hold whole training entries; each entry pairs with its column's query entries
+        csum = np.cumsum(reps[a:])
+        b = a + max(1, int(np.searchsorted(csum, chunk_pairs, side="right")))
+        r, p_, v, k = lr[a:b], lp[a:b], lv[a:b], reps[a:b]
+        tot = int(k.sum())
+        if tot:
+            first = np.repeat(qstart[p_], k)
+            offs = np.arange(tot) - np.repeat(np.cumsum(k) - k, k)
+            qi = first + offs
+            flat = q_rows[qi] * nt + np.repeat(r, k)
+            dots += np.bincount(flat, weights=q_vals[qi] * np.repeat(v, k), minlength=nq * nt)
+        a = b
+    return out
+
+
+def _block_topk(k: int):
     """Grouped-map kernel: distances between one query block and one training
-    block, k best per query. Dot products only touch the training entries
-    whose index occurs in the query block (a gather over a dense query matrix
-    restricted to those columns), in chunks of bounded memory."""
+    block, the k best per query (ties by training id)."""
     empty = pd.DataFrame({c: [] for c in ["qid", "qfold", "qy", "tid", "ty", "d2"]})
 
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -144,30 +198,11 @@ def _block_topk(k: int, chunk_entries: int = 1 << 16):
         nq, nt = len(q), len(t)
         q_len, q_ix, q_vx = _flatten(list(q["ix"]), list(q["vx"]))
         t_len, t_ix, t_vx = _flatten(list(t["ix"]), list(t["vx"]))
-        cols = np.unique(q_ix)
-        qmt = np.zeros((max(len(cols), 1), nq))  # query block, one row per index: gathers read whole rows
-        if len(cols):
-            qmt[np.searchsorted(cols, q_ix), np.repeat(np.arange(nq), q_len)] = q_vx
-        qn = np.bincount(np.repeat(np.arange(nq), q_len), weights=q_vx * q_vx, minlength=nq)
-        tn = np.bincount(np.repeat(np.arange(nt), t_len), weights=t_vx * t_vx, minlength=nt)
-        dots_t = np.zeros((nt, nq))
-        if len(cols) and len(t_ix):
-            rows = np.repeat(np.arange(nt), t_len)
-            pos = np.minimum(np.searchsorted(cols, t_ix), len(cols) - 1)
-            hit = cols[pos] == t_ix
-            rows, pos, val = rows[hit], pos[hit], t_vx[hit]
-            # chunks end on training-row boundaries: every row's dot product is
-            # one reduceat segment, so equal rows get bit-equal distances
-            row_end = np.cumsum(np.bincount(rows, minlength=nt))
-            a = 0
-            while a < len(rows):
-                last = rows[min(a + chunk_entries, len(rows)) - 1]
-                b = max(int(row_end[last]), a + 1)
-                r, p, v = rows[a:b], pos[a:b], val[a:b]
-                contrib = qmt[p] * v[:, None]  # (entries of the chunk, nq), entries sorted by training row
-                uniq, starts = np.unique(r, return_index=True)
-                dots_t[uniq] += np.add.reduceat(contrib, starts, axis=0)
-                a = b
+        q_rows = np.repeat(np.arange(nq), q_len)
+        t_rows = np.repeat(np.arange(nt), t_len)
+        qn = np.bincount(q_rows, weights=q_vx * q_vx, minlength=nq)
+        tn = np.bincount(t_rows, weights=t_vx * t_vx, minlength=nt)
+        dots_t = _block_dots(nq, q_rows, q_ix, q_vx, nt, t_rows, t_ix, t_vx).T
         d2 = np.round(np.maximum(qn[:, None] + tn[None, :] - 2.0 * dots_t.T, 0.0), 6)
         qfold = q["fold"].to_numpy()
         tfold = t["fold"].to_numpy()
@@ -198,9 +233,10 @@ def knn_neighbours(
     feats: DataFrame,
     folds: DataFrame,
     k: int = 11,
-    block_rows: int = 1024,
+    block_rows: int = 2048,
     exclude_dictionary_docs: bool = True,
     queries: DataFrame | None = None,
+    query_block_rows: int = 512,
 ) -> DataFrame:
     """``qid, qfold, qy, tid, ty, d2``: the k nearest training documents of
     every query document, ties broken by training id.
@@ -224,17 +260,23 @@ def knn_neighbours(
         queries = folds.where(~F.col("in_dictionary")) if exclude_dictionary_docs else folds
     train = with_rows(folds)
     tests = with_rows(queries)
-    n = max(folds.count(), 1)
-    nb = max(1, math.ceil(n / block_rows))
-    blk = F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")
-    all_blocks = F.sequence(F.lit(0), F.lit(nb - 1))
+    # query blocks bound the dense query matrix of a task, training blocks the
+    # entries it streams; both counts follow the data
+    n_tb = max(1, math.ceil(max(folds.count(), 1) / block_rows))
+    n_qb = max(1, math.ceil(max(queries.count(), 1) / query_block_rows))
+    qblk = F.pmod(F.xxhash64("id"), F.lit(n_qb)).cast("int")
+    tblk = F.pmod(F.xxhash64("id"), F.lit(n_tb)).cast("int")
     # both sides may come from one lineage: fresh names keep the cogroup unambiguous
     side = ["id", "y", "fold", "ix", "vx"]
-    q = tests.select(blk.alias("qb"), F.explode(all_blocks).alias("tb"), *[F.col(c).alias("q_" + c) for c in side])
-    t = train.select(F.explode(all_blocks).alias("qb"), blk.alias("tb"), *[F.col(c).alias("t_" + c) for c in side])
+    q = tests.select(
+        qblk.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1))).alias("tb"), *[F.col(c).alias("q_" + c) for c in side]
+    )
+    t = train.select(
+        F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"), tblk.alias("tb"), *[F.col(c).alias("t_" + c) for c in side]
+    )
     # one task per block pair: the input is small in bytes but heavy in CPU,
     # so the pairs are spread explicitly (AQE would coalesce them into few tasks)
-    parts = nb * nb
+    parts = n_qb * n_tb
     cand = (
         q.repartition(parts, "qb", "tb")
         .groupBy("qb", "tb")
