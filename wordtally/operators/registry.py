@@ -86,6 +86,20 @@ def upsert(registry: DataFrame | None, incoming: DataFrame, modify: bool = False
     )
 
 
+def stamp(new_registry: DataFrame, old_registry: DataFrame | None, modify: bool = False) -> DataFrame:
+    """Insert and update times, one value per run (``current_timestamp``
+    is fixed for the whole query). Rows already registered keep their insert
+    time; with ``modify`` every row of a hash seen in this run is updated."""
+    now = F.current_timestamp()
+    if old_registry is None or "insert_time" not in old_registry.columns:
+        return new_registry.withColumn("insert_time", now).withColumn("update_time", now)
+    old = old_registry.select("orig_md5", F.col("insert_time").alias("_it"), F.col("update_time").alias("_ut"))
+    out = new_registry.join(old, "orig_md5", "left")
+    return out.withColumn("insert_time", F.coalesce("_it", now)).withColumn(
+        "update_time", (now if modify else F.coalesce("_ut", now))
+    ).drop("_it", "_ut")
+
+
 def import_status(registry: DataFrame | None, incoming: DataFrame, modify: bool = False) -> DataFrame:
     """One status per incoming row: ``missing`` (F13), ``inserted`` (the
     first row of its hash), ``modified`` or ``skipped`` (a later row, with or

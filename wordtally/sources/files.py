@@ -15,6 +15,32 @@ from wordtally.functions.cells import file_type, fix_apostrophes
 from wordtally.functions.html import html_block, html_to_text
 
 
+# Input extensions of the predict step.
+SAMPLE_EXTENSIONS = ("pdf", "htm", "html", "text", "txt")
+MODEL_EXTENSION = "pickle"
+
+
+def split_inputs(paths: list[str], model_extension: str = MODEL_EXTENSION) -> tuple[list[str], list[str]]:
+    """Tell sample files from model folders by extension (after the last
+    dot, lower-cased); a name without extension or with another one rejects
+    the whole run, as in the reference."""
+    import re
+
+    samples, models = [], []
+    for p in paths:
+        m = re.search(r"\A.*\.(.+)\Z", p.strip())
+        if not m:
+            raise ValueError(f"cannot tell the format of {p!r}: no extension")
+        ext = m.group(1).lower()
+        if ext in SAMPLE_EXTENSIONS:
+            samples.append(p)
+        elif ext == model_extension:
+            models.append(p)
+        else:
+            raise ValueError(f"{p!r}: unsupported file type")
+    return samples, models
+
+
 def scan_files(spark: SparkSession, root: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """``path, file_type, length, orig_md5, content``."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
