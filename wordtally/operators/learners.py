@@ -236,7 +236,7 @@ def knn_neighbours(
     block_rows: int = 2048,
     exclude_dictionary_docs: bool = True,
     queries: DataFrame | None = None,
-    query_block_rows: int = 512,
+    query_block_rows: int = 1024,
 ) -> DataFrame:
     """``qid, qfold, qy, tid, ty, d2``: the k nearest training documents of
     every query document, ties broken by training id.
@@ -262,8 +262,13 @@ def knn_neighbours(
     tests = with_rows(queries)
     # query blocks bound the dense query matrix of a task, training blocks the
     # entries it streams; both counts follow the data
-    n_tb = max(1, math.ceil(max(folds.count(), 1) / block_rows))
-    n_qb = max(1, math.ceil(max(queries.count(), 1) / query_block_rows))
+    n_train, n_query = max(folds.count(), 1), max(queries.count(), 1)
+    n_tb = max(1, math.ceil(n_train / block_rows))
+    n_qb = max(1, math.ceil(n_query / query_block_rows))
+    # small inputs: at least about two block pairs per core, but no query
+    # block under 64 rows; large inputs keep the fixed block sizes
+    cores = folds.sparkSession.sparkContext.defaultParallelism
+    n_qb = max(n_qb, min(math.ceil(2 * cores / n_tb), math.ceil(n_query / 64)))
     qblk = F.pmod(F.xxhash64("id"), F.lit(n_qb)).cast("int")
     tblk = F.pmod(F.xxhash64("id"), F.lit(n_tb)).cast("int")
     # both sides may come from one lineage: fresh names keep the cogroup unambiguous
