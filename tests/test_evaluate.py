@@ -129,3 +129,17 @@ def test_scan_files(spark, tmpdir_path):
     got = {os.path.basename(r.path): r for r in to_text(scan_files(spark, tmpdir_path)).collect()}
     assert got["a.txt"].text == "plain text's" and got["b.html"].text == "hi there"
     assert got["c.pdf"].text is None and got["c.pdf"].error
+
+
+def test_rff_features_approximate_kernel(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.random((6, 8)) * (rng.random((6, 8)) < 0.6)).round(3)
+    x[5] = 0.0  # an empty document
+    feats = spark.createDataFrame([Row(id=i, idx=j, value=float(x[i, j])) for i in range(6) for j in range(8) if x[i, j] > 0])
+    ids = spark.createDataFrame([Row(id=i) for i in range(6)])
+    z = {r.id: np.asarray(r.features.toArray()) for r in LR.rff_features(feats, 8, n_components=4096, gamma=0.5, ids=ids).collect()}
+    for a in range(5):
+        for b in range(5):
+            k = math.exp(-0.5 * ((x[a] - x[b]) ** 2).sum())
+            assert abs(float(z[a] @ z[b]) - k) < 0.08
+    assert abs(float(z[5] @ z[5]) - 1.0) < 0.08  # the empty document is projected too: k(0, 0) = 1

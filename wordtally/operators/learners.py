@@ -362,7 +362,8 @@ class MLVoter:
         raise ValueError(self.name)
 
 
-def rff_features(long: DataFrame, n_features: int, n_components: int = 256, gamma: float | None = None, seed: int = 11):
+def rff_features(long: DataFrame, n_features: int, n_components: int = 256, gamma: float | None = None, seed: int = 11,
+                 ids: DataFrame | None = None):
     """M6 helper: random Fourier features z(x) = sqrt(2/D) cos(W x + b) for the
     RBF kernel exp(-gamma |x - y|^2) (Rahimi & Recht 2007). Rows of W are drawn
     per feature index from a seeded generator inside each task, so nothing of
@@ -377,19 +378,28 @@ def rff_features(long: DataFrame, n_features: int, n_components: int = 256, gamm
     def project(batches):
         cache: dict[int, np.ndarray] = {}
         for pdf in batches:
-            out = []
-            for ix, vx in zip(pdf["ix"], pdf["vx"]):
-                acc = np.zeros(d)
-                for j, v in zip(ix, vx):
-                    row = cache.get(int(j))
-                    if row is None:
-                        row = np.random.default_rng([seed, int(j)]).standard_normal(d) * scale
-                        cache[int(j)] = row
-                    acc += v * row
-                out.append((math.sqrt(2.0 / d) * np.cos(acc + b)).tolist())
-            yield pd.DataFrame({"id": pdf["id"], "z": out})
+            lens, ix, vx = _flatten(list(pdf["ix"]), list(pdf["vx"]))
+            uniq, inv = np.unique(ix, return_inverse=True)
+            for j in uniq:
+                if int(j) not in cache:
+                    cache[int(j)] = np.random.default_rng([seed, int(j)]).standard_normal(d) * scale
+            w = np.stack([cache[int(j)] for j in uniq]) if len(uniq) else np.zeros((0, d))
+            acc = np.zeros((len(pdf), d))
+            nonempty = lens > 0
+            if nonempty.any():
+                starts = (np.cumsum(lens) - lens)[nonempty]
+                acc[nonempty] = np.add.reduceat(w[inv] * vx[:, None], starts, axis=0)
+            z = np.sqrt(2.0 / d) * np.cos(acc + b)
+            yield pd.DataFrame({"id": pdf["id"], "z": list(z)})
 
     rows = sparse_rows(long)
+    if ids is not None:
+        # documents without any feature still get z(0) = sqrt(2/D) cos(b)
+        rows = ids.select("id").join(rows, "id", "left").select(
+            "id",
+            F.coalesce("ix", F.array().cast("array<int>")).alias("ix"),
+            F.coalesce("vx", F.array().cast("array<double>")).alias("vx"),
+        )
     z = rows.mapInPandas(project, "id long, z array<double>")
     return z.select("id", array_to_vector("z").alias("features"))
 

@@ -342,7 +342,7 @@ def _ml_votes(c: CVContext, name: str, weighted: bool = False):
         if name == "svm_linear":
             v = LR.ml_fold_votes(LR.MLVoter("svm_linear", True), _vectors(c), c.folds, c.tm.size, weight_col=w)
         elif name == "svm_rff":
-            z = reliable_checkpoint(LR.rff_features(c.feats, c.tm.size))
+            z = reliable_checkpoint(LR.rff_features(c.feats, c.tm.size, ids=c.folds))
             v = LR.ml_fold_votes(LR.MLVoter("svm_rff", True), z, c.folds, c.tm.size, weight_col=w)
         elif name == "sgd_linear":
             v = LR.sgd_fold_votes(_vectors(c), c.folds)
