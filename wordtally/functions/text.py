@@ -6,9 +6,10 @@ Rules (SURVEY 7.4):
   * words: ``--`` is a space, a final ``n't`` is split off its word, the
     clitics ``'s 'm 'd 'll 're 've`` are dropped, the text is cut at
     whitespace and ``, ; : ! ? ( ) [ ] { } < > " # $ % & @ * .``;
-  * token filter, in this order: ASCII only, lower-case, ``n't`` -> ``not``,
+  * token filter, in this order: ASCII only (X5), lower-case, ``n't`` -> ``not`` (X6),
     keep ``\\w+-?\\w+`` without digits (at least two characters, at most one
-    inner hyphen).
+    inner hyphen; X7 - it also covers the reference's unused punctuation
+    test, X22).
 
 Because sentence ends are always cut points of the word split, the words of a
 whole text equal the concatenated words of its sentences; :func:`words` is

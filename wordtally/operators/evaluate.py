@@ -22,7 +22,8 @@ CLASSES = (1, 0, -1)
 def training_set(samples: DataFrame, table: DataFrame, dictionary_ids: DataFrame) -> DataFrame:
     """``samples(id)`` -> ``id, y, success_gain, error_cost, in_dictionary``.
 
-    J3 looks up label, gain and cost by id (equi join); J4 marks the ids that
+    J3 looks up label, gain and cost by id (equi join; the reference's point
+    lookup per id, F14, done for all ids at once); J4 marks the ids that
     built the dictionary (left join on the id list, flag when matched); F9
     maps ``pos`` -> +1 and anything else -> -1.
     """
@@ -94,7 +95,8 @@ def ensemble_votes(votes: DataFrame, voters: list[str]) -> DataFrame:
 
 
 def fold_metrics(votes: DataFrame, folds: DataFrame) -> DataFrame:
-    """G9-G14 in one aggregation per (fold, learner), then one row per class.
+    """G9-G14 (G11: no-decision rate per true class) in one aggregation per
+    (fold, learner), then one row per class.
 
     ``fold, learner, cls, precision, recall, support, no_decision, supposed,
     gain, gain_per_supposition, precision_total``. Precision with no

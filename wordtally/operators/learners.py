@@ -10,7 +10,9 @@
   grouped-map task that computes the block's distances with numpy and emits
   only its k best per query; a windowed top-k merges the blocks. Memory per
   task is bounded by the block size; no pair is ever emitted as a row.
-* pyspark.ml / pyspark.mllib voters (M5, M6, M8, M10) fitted per fold.
+* pyspark.ml / pyspark.mllib voters (M5, M6, M8, M10) fitted per fold. The
+  reference shuffles training rows before fitting (W8); the full-batch
+  solvers used here do not depend on row order, so no shuffle is spent.
 * ``standard_scale`` (M4) and ``pca_reduce`` (M3).
 """
 

@@ -128,3 +128,36 @@ def fit_transformation(selection: DataFrame, options: TransformOptions | None =
         idf = dfs.select("idx", (F.log((F.lit(n_corpus) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
         tm.idf = reliable_checkpoint(idf)
     return tm
+
+
+def save_transformation(tm: TransformationModel, path: str, replace: bool = False) -> None:
+    """K2: dictionary, corpus idf, sample ids and options as Parquet/JSON under ``path``."""
+    import json
+    import os
+
+    mode = "overwrite" if replace else "errorifexists"
+    dm = tm.dictmodel
+    dm.dictionary.write.mode(mode).parquet(os.path.join(path, "dictionary"))
+    if tm.idf is not None:
+        tm.idf.write.mode(mode).parquet(os.path.join(path, "idf"))
+    dm.sample_ids.write.mode(mode).parquet(os.path.join(path, "sample_ids"))
+    meta = {"size": dm.size, "n_pos": dm.n_pos, "n_neg": dm.n_neg, "n_corpus": tm.n_corpus,
+            "options": {k: (list(v) if isinstance(v, tuple) else v) for k, v in vars(tm.options).items()}}
+    spark = dm.dictionary.sparkSession
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(mode).text(os.path.join(path, "meta"))
+
+
+def load_transformation(spark, path: str) -> TransformationModel:
+    """A saved transformation, to vectorize another document set with it."""
+    import json
+    import os
+
+    meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
+    opts = meta["options"]
+    if opts.get("stopwords") is not None:
+        opts["stopwords"] = tuple(opts["stopwords"])
+    o = TransformOptions(**opts)
+    dm = DictionaryModel(spark.read.parquet(os.path.join(path, "dictionary")), meta["size"], meta["n_pos"], meta["n_neg"], o,
+                         spark.read.parquet(os.path.join(path, "sample_ids")))
+    idf = spark.read.parquet(os.path.join(path, "idf")) if o.tfidf and not o.boolean else None
+    return TransformationModel(dm, idf, meta["n_corpus"], o)
