@@ -42,70 +42,97 @@ def naive_bayes_scores(
     exclude_dictionary_docs: bool = True,
     n_folds: int = 10,
 ) -> DataFrame:
-    """``id, fold, y, jll_pos, jll_neg`` for every test document.
+    """``id, fold, y, jll_pos, jll_neg`` for every test document (one weighting)."""
+    multi = naive_bayes_scores_multi(
+        presence, folds, dict_size, {"nb": weight_col}, alpha, exclude_dictionary_docs, n_folds
+    )
+    return multi.drop("learner")
+
+
+def naive_bayes_scores_multi(
+    presence: DataFrame,
+    folds: DataFrame,
+    dict_size: int,
+    weightings: dict[str, str | None],
+    alpha: float = 1.0,
+    exclude_dictionary_docs: bool = True,
+    n_folds: int = 10,
+) -> DataFrame:
+    """``id, fold, y, learner, jll_pos, jll_neg`` for every test document and
+    every weighting (learner name -> weight column or None), all fitted by
+    the same aggregations.
 
     ``presence(id, idx)`` lists the present features (binarized at 0),
-    ``folds(id, y, fold, in_dictionary[, weight])``.
+    ``folds(id, y, fold, in_dictionary[, weight columns])``. Training counts of
+    fold f are totals minus fold f.
     """
     spark = folds.sparkSession
-    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    docs = folds.select("id", "y", "fold", "in_dictionary", w.alias("w"))
+    names = list(weightings)
+    ks = range(len(names))
+    docs = folds.select(
+        "id", "y", "fold", "in_dictionary",
+        *[(F.col(w).cast("double") if w else F.lit(1.0)).alias(f"w{k}") for k, w in zip(ks, weightings.values())],
+    )
 
     # class weight per (fold, class) and per class: 2 x n_folds rows
-    cls_fold = docs.groupBy("fold", "y").agg(F.sum("w").alias("cw_f"))
-    cls_tot = docs.groupBy("y").agg(F.sum("w").alias("cw_t"))
+    cls_fold = docs.groupBy("fold", "y").agg(*[F.sum(f"w{k}").alias(f"cwf{k}") for k in ks])
+    cls_tot = docs.groupBy("y").agg(*[F.sum(f"w{k}").alias(f"cwt{k}") for k in ks])
     fold_class = [(f, y) for f in range(n_folds) for y in (1, -1)]
     grid_fc = spark.createDataFrame(fold_class, "fold int, y int")
-    cls = (
-        grid_fc.join(F.broadcast(cls_tot), "y", "left")
-        .join(F.broadcast(cls_fold), ["fold", "y"], "left")
-        .select("fold", "y", (F.coalesce("cw_t", F.lit(0.0)) - F.coalesce("cw_f", F.lit(0.0))).alias("cw"))
+    cls = grid_fc.join(F.broadcast(cls_tot), "y", "left").join(F.broadcast(cls_fold), ["fold", "y"], "left").select(
+        "fold", "y", *[(F.coalesce(f"cwt{k}", F.lit(0.0)) - F.coalesce(f"cwf{k}", F.lit(0.0))).alias(f"cw{k}") for k in ks]
     )
-    cls = cls.withColumn("log_prior", F.log(F.col("cw") / F.sum("cw").over(Window.partitionBy("fold"))))
+    per_fold = Window.partitionBy("fold")
+    cls = cls.select("fold", "y", *[F.col(f"cw{k}") for k in ks],
+                     *[F.log(F.col(f"cw{k}") / F.sum(f"cw{k}").over(per_fold)).alias(f"prior{k}") for k in ks])
 
     # feature weight per (fold, class, idx), bounded by folds x 2 x dictionary
-    feat_fold = reliable_checkpoint(presence.join(docs, "id").groupBy("fold", "y", "idx").agg(F.sum("w").alias("fw_f")))
-    feat_tot = feat_fold.groupBy("y", "idx").agg(F.sum("fw_f").alias("fw_t"))
+    feat_fold = reliable_checkpoint(
+        presence.join(docs, "id").groupBy("fold", "y", "idx").agg(*[F.sum(f"w{k}").alias(f"fwf{k}") for k in ks])
+    )
+    feat_tot = feat_fold.groupBy("y", "idx").agg(*[F.sum(f"fwf{k}").alias(f"fwt{k}") for k in ks])
     # every (fold, class, index): dictionary x 2 x n_folds rows, generated, not joined
     grid = spark.range(dict_size).select(
         F.col("id").cast("int").alias("idx"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(y).alias("y")) for f, y in fold_class])).alias("g"),
     ).select("idx", "g.fold", "g.y")
-    stats = (
-        grid.join(feat_tot, ["y", "idx"], "left")
-        .join(feat_fold, ["fold", "y", "idx"], "left")
-        .join(F.broadcast(cls), ["fold", "y"])
-        .select(
-            "fold",
-            "y",
-            "idx",
-            "log_prior",
-            (
-                (F.coalesce("fw_t", F.lit(0.0)) - F.coalesce("fw_f", F.lit(0.0)) + alpha) / (F.col("cw") + 2 * alpha)
-            ).alias("p"),
+    joined = grid.join(feat_tot, ["y", "idx"], "left").join(feat_fold, ["fold", "y", "idx"], "left").join(
+        F.broadcast(cls), ["fold", "y"]
+    )
+    p = {
+        k: (F.coalesce(f"fwt{k}", F.lit(0.0)) - F.coalesce(f"fwf{k}", F.lit(0.0)) + alpha) / (F.col(f"cw{k}") + 2 * alpha)
+        for k in ks
+    }
+    # the fitted model of every fold and weighting, read twice below
+    stats = reliable_checkpoint(
+        joined.select(
+            "fold", "y", "idx",
+            *[F.col(f"prior{k}") for k in ks],
+            *[F.log(1 - p[k]).alias(f"l1p{k}") for k in ks],
+            *[(F.log(p[k]) - F.log(1 - p[k])).alias(f"delta{k}") for k in ks],
         )
-        .select("fold", "y", "idx", "log_prior", F.log("p").alias("lp"), F.log(1 - F.col("p")).alias("l1p"))
     )
-    # the fitted model of every fold (n_folds x 2 x dictionary rows), read twice below
-    stats = reliable_checkpoint(stats)
-    base = stats.groupBy("fold", "y").agg((F.first("log_prior") + F.sum("l1p")).alias("base"))
-    delta = stats.select("fold", "y", "idx", (F.col("lp") - F.col("l1p")).alias("delta"))
+    base = stats.groupBy("fold", "y").agg(*[(F.first(f"prior{k}") + F.sum(f"l1p{k}")).alias(f"base{k}") for k in ks])
+    delta = stats.select("fold", "y", "idx", *[f"delta{k}" for k in ks])
 
     tests = docs.where(~F.col("in_dictionary")) if exclude_dictionary_docs else docs
     tests = tests.select("id", "fold", F.col("y").alias("true_y"))
     present = presence.join(tests.select("id", "fold"), "id")
     per_doc = present.join(checked_broadcast(delta, 2 * n_folds * dict_size), ["fold", "idx"]).groupBy("id", "y").agg(
-        F.sum("delta").alias("ds")
+        *[F.sum(f"delta{k}").alias(f"ds{k}") for k in ks]
+    )
+    scored = tests.join(F.broadcast(base), "fold").join(per_doc, ["id", "y"], "left").select(
+        "id", "fold", "true_y", "y", *[(F.col(f"base{k}") + F.coalesce(f"ds{k}", F.lit(0.0))).alias(f"jll{k}") for k in ks]
     )
-    scored = (
-        tests.join(F.broadcast(base), "fold")
-        .join(per_doc, ["id", "y"], "left")
-        .select("id", "fold", "true_y", "y", (F.col("base") + F.coalesce("ds", F.lit(0.0))).alias("jll"))
+    wide = scored.groupBy("id", "fold", F.col("true_y").alias("y")).agg(
+        *[F.max(F.when(F.col("y") == 1, F.col(f"jll{k}"))).alias(f"pos{k}") for k in ks],
+        *[F.max(F.when(F.col("y") == -1, F.col(f"jll{k}"))).alias(f"neg{k}") for k in ks],
     )
-    return scored.groupBy("id", "fold", F.col("true_y").alias("y")).agg(
-        F.max(F.when(F.col("y") == 1, F.col("jll"))).alias("jll_pos"),
-        F.max(F.when(F.col("y") == -1, F.col("jll"))).alias("jll_neg"),
+    per_learner = F.explode(
+        F.array(*[F.struct(F.lit(n).alias("learner"), F.col(f"pos{k}").alias("jll_pos"), F.col(f"neg{k}").alias("jll_neg"))
+                  for k, n in zip(ks, names)])
     )
+    return wide.select("id", "fold", "y", per_learner.alias("s")).select("id", "fold", "y", "s.learner", "s.jll_pos", "s.jll_neg")
 
 
 def naive_bayes_votes(scores: DataFrame, learner: str = "naive_bayes", digits: int = 5) -> DataFrame:

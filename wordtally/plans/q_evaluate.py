@@ -38,12 +38,15 @@ class CVContext:
         self._votes = {}
 
     def nb_scores(self, weighted: bool):
-        key = ("nb_scores", weighted)
-        if key not in self._votes:
-            self._votes[key] = reliable_checkpoint(
-                LR.naive_bayes_scores(self.presence, self.folds, self.tm.size, "error_cost" if weighted else None)
+        """Scores of both naive Bayes weightings, fitted together once."""
+        if "nb" not in self._votes:
+            self._votes["nb"] = reliable_checkpoint(
+                LR.naive_bayes_scores_multi(
+                    self.presence, self.folds, self.tm.size, {"naive_bayes": None, "naive_bayes_weighted": "error_cost"}
+                )
             )
-        return self._votes[key]
+        name = "naive_bayes_weighted" if weighted else "naive_bayes"
+        return self._votes["nb"].where(F.col("learner") == name).drop("learner")
 
     def knn(self):
         if "knn" not in self._votes:
