@@ -119,6 +119,7 @@ class DictionaryBuilder:
         n_pos, n_neg = (int(counts[0]), int(counts[1])) if counts else (0, 0)
 
         words = dfs.where(F.col("word").isNotNull() & ((F.col("pos_df") + F.col("neg_df")) >= o.min_tokens))
+        size = words.count()  # read from the materialised frequencies
         words = words.select(
             "word",
             class_idf(F.lit(n_pos), F.col("pos_df")).alias("pos_idf"),
@@ -130,8 +131,6 @@ class DictionaryBuilder:
             ((F.col("neg_df") + 1.0) / (F.col("pos_df") + 1.0)).alias("_order"),
         )
         ranked = dense_index(words, [F.col("_order").desc(), F.col("word").asc()], idx_col="idx").drop("_order")
-        ranked = reliable_checkpoint(ranked)
-        size = ranked.count()
         k = o.dict_cut
         if k > 0 and size > 2 * k + 1:
             # The first k and the last k words, re-indexed 0..2k-1

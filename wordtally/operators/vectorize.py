@@ -121,7 +121,8 @@ def fit_transformation(selection: DataFrame, options: TransformOptions | None =
     """M1 + the corpus idf over the whole selection (G7, not only the sample)."""
     o = options or TransformOptions()
     dm = DictionaryBuilder(o).fit(selection)
-    n_corpus = selection.count()
+    # with the whole selection as sample, the class counts already add up to it
+    n_corpus = dm.n_docs if o.ratio >= 1.0 else selection.count()
     tm = TransformationModel(dm, None, n_corpus, o)
     if o.tfidf and not o.boolean:
         dfs = tm.bag(selection).groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
