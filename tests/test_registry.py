@@ -130,3 +130,29 @@ def test_demo_manifest(spark):
     assert [r.code for r in neg] == ["MOVIE_SHORT", "MOVIE_SHORT", "MOVIE"]
     assert [r.date for r in neg] == ["03.01.1990", "05.01.1990", "07.01.1990"]
     assert [r.date for r in rows if r.class_label == "pos"][0] == "04.01.1990"
+
+
+def test_import_end_to_end(spark, tmpdir_path):
+    from wordtally.sources.files import scan_files
+
+    docs = os.path.join(tmpdir_path, "docs")
+    os.makedirs(docs)
+    for name, text in [("a.txt", "same text"), ("b.txt", "same text"), ("c.html", "<p>other</p>")]:
+        with open(os.path.join(docs, name), "w") as f:
+            f.write(text)
+    man = os.path.join(tmpdir_path, "m.csv")
+    with open(man, "w", encoding="utf-8") as f:
+        f.write("Code;Date;Class Label;Error Cost;Success Gain;Announcement\n")
+        f.write("AAA;01.02.2012;pos;1;2;a.txt;c.html\n")
+        f.write("BBB;02.02.2012;neg;3;1;b.txt;missing.txt\n")
+    wide, rejected = M.read_manifests(spark, [man], max_paths=4)
+    assert rejected == []
+    rows = M.announcement_rows(wide, root=docs)
+    inc = R.incoming_rows(rows, scan_files(spark, docs))
+    st = {os.path.basename(r.original_url): r.status for r in R.import_status(None, inc).collect()}
+    assert st == {"a.txt": "inserted", "c.html": "inserted", "b.txt": "skipped", "missing.txt": "missing"}
+    reg = {os.path.basename(r.original_url): r for r in R.upsert(None, inc, modify=True).collect()}
+    # b.txt has a's content: with modify the later row relabels the same registry row
+    assert set(reg) == {"b.txt", "c.html"}
+    assert reg["b.txt"].class_label == "neg" and reg["b.txt"].error_cost == 3.0 and reg["c.html"].file_type == "html"
+    assert reg["b.txt"].associated_date == dt.date(2012, 2, 2)

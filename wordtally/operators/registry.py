@@ -44,8 +44,12 @@ def incoming_rows(manifest: DataFrame, files: DataFrame, store_content: bool = T
     and content hash (G19)."""
     from wordtally.functions.cells import file_type
 
-    f = files.select(F.col("path").alias("original_url"), "orig_md5")
-    rows = manifest.join(f, "original_url", "left")
+    # local scans report file:/... URIs, manifests plain paths: compare without the scheme
+    def key(c):
+        return F.regexp_replace(c, "^file:(//)?", "")
+
+    f = files.select(key(F.col("path")).alias("_key"), "orig_md5")
+    rows = manifest.withColumn("_key", key(F.col("original_url"))).join(f, "_key", "left").drop("_key")
     ftype = file_type(F.col("original_url"))
     return rows.withColumn("file_type", ftype).withColumn(
         "path_saved", saved_path(F.col("orig_md5"), ftype) if store_content else F.col("original_url")

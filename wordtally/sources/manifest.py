@@ -127,3 +127,27 @@ def generate_demo(files: DataFrame, short_per_class: int = 100) -> DataFrame:
         F.lit("1").alias("success_gain"),
         "path",
     )
+
+
+def announcement_rows(wide: DataFrame, root: str | None = None) -> DataFrame:
+    """Typed, unpivoted manifest rows in the shape the registry imports:
+    ``id, seq, symbol, associated_date, class_label, error_cost, success_gain,
+    original_url``. Each announcement keeps its row's order and its cell
+    position (``seq * 64 + slot``; at most 64 path cells per row); a relative
+    path is resolved against ``root``."""
+    rows = unpivot(typed(wide))
+    path = F.col("path")
+    if root:
+        rel = ~(path.startswith("/") | path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))
+        path = F.when(rel, F.concat(F.lit(root.rstrip("/") + "/"), path)).otherwise(path)
+    seq = F.col("seq") * F.lit(64) + F.col("slot")
+    return rows.select(
+        seq.alias("id"),
+        seq.alias("seq"),
+        F.col("code").alias("symbol"),
+        F.col("date").alias("associated_date"),
+        "class_label",
+        "error_cost",
+        "success_gain",
+        path.alias("original_url"),
+    )
\ No newline at end of file
