@@ -156,3 +156,28 @@ def test_import_end_to_end(spark, tmpdir_path):
     assert set(reg) == {"b.txt", "c.html"}
     assert reg["b.txt"].class_label == "neg" and reg["b.txt"].error_cost == 3.0 and reg["c.html"].file_type == "html"
     assert reg["b.txt"].associated_date == dt.date(2012, 2, 2)
+
+
+def test_tokenize_documents_and_merge(spark, tmpdir_path):
+    from wordtally.sources.files import scan_files, to_text
+
+    docs = os.path.join(tmpdir_path, "d")
+    os.makedirs(docs)
+    with open(os.path.join(docs, "a.txt"), "w") as f:
+        f.write("Good film. I don't like it!")
+    with open(os.path.join(docs, "b.html"), "w") as f:
+        f.write("<p>Bad <b>plot</b>.</p><script>x()</script>")
+    with open(os.path.join(docs, "c.pdf"), "wb") as f:
+        f.write(b"%PDF")
+    reg = spark.createDataFrame(
+        [Row(id=i, seq=i, symbol="S", associated_date=dt.date(2012, 1, 1), class_label=lab, error_cost=1.0, success_gain=1.0,
+             original_url=os.path.join(docs, n)) for i, (n, lab) in enumerate([("a.txt", "pos"), ("b.html", "neg"), ("c.pdf", "pos"),
+                                                                             ("gone.txt", "pos")])]
+    )
+    tok = {os.path.basename(r.original_url): r for r in R.tokenize_documents(reg, to_text(scan_files(spark, docs))).collect()}
+    assert tok["a.txt"].status == "tokenized" and tok["a.txt"].text_tokenized == [["good", "film"], ["do", "not", "like", "it"]]
+    assert tok["b.html"].words == ["bad", "plot"] and tok["b.html"].sentences == 1
+    assert tok["c.pdf"].status == "unsupported file type" and tok["c.pdf"].tokens == 0
+    assert tok["gone.txt"].status == "missing file"
+    merged = R.merge_tokenized(R.tokenize_documents(reg, to_text(scan_files(spark, docs))).where(F.col("status") == "tokenized")).first()
+    assert (merged.sentences, merged.tokens, merged.parts, merged.class_label) == (3, 8, 2, "neg")

@@ -192,6 +192,36 @@ def merge_parts(tok: DataFrame) -> DataFrame:
     return dense_index(tok.select(*merge_key(), "id", "seq"), [F.col("seq").desc()], group=merge_key(), idx_col="part_no")
 
 
+def tokenize_documents(registry: DataFrame, texts: DataFrame, keep_sentences: bool = True) -> DataFrame:
+    """Tokenize registry rows from their converted texts (``path, text,
+    error`` from ``sources.files.to_text``), looked up by original url.
+
+    One row per registry row with ``status``: ``tokenized``, ``unsupported
+    file type`` (no text for the type) or ``missing file``; empty texts give
+    zero sentences (Q5). The rows feed ``merge_tokenized``."""
+    from wordtally.functions import text as T
+
+    def key(c):
+        return F.regexp_replace(c, "^file:(//)?", "")
+
+    t = texts.select(key(F.col("path")).alias("_key"), "text", "error", F.lit(True).alias("_found"))
+    r = registry.withColumn("_key", key(F.col("original_url"))).join(t, "_key", "left").drop("_key")
+    status = (
+        F.when(F.col("_found").isNull(), "missing file")
+        .when(F.col("text").isNull(), "unsupported file type")
+        .otherwise("tokenized")
+    )
+    cols = [c for c in registry.columns]
+    out = r.select(
+        *cols,
+        status.alias("status"),
+        T.sentence_count("text").alias("sentences"),
+        T.words("text").alias("words"),
+        *([T.sentence_words("text").alias("text_tokenized")] if keep_sentences else []),
+    ).withColumn("tokens", F.size("words"))
+    return out
+
+
 def untokenized(registry: DataFrame, tokenized_ids: DataFrame, symbols: tuple[str, ...] = ()) -> DataFrame:
     """registry rows with no tokenization yet (anti join), optional symbol list."""
     rows = registry.join(tokenized_ids.select("id"), "id", "left_anti")
