@@ -344,9 +344,10 @@ def knn_votes(neigh: DataFrame, learner: str = "knn") -> DataFrame:
 def standard_scale(long: DataFrame, key: str = "id", dim: str = "dim", value: str = "value") -> DataFrame:
     """M4 on long-form dense rows: (v - mean) / std per dimension, population
     std (Q9), a zero std left as 1. Stats come from a per-dimension
-    aggregation (tiny) joined back by broadcast."""
+    aggregation (partial, one row per dimension) joined back, broadcast when
+    the dimension count is under the row limit."""
     stats = long.groupBy(dim).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
-    return long.join(F.broadcast(stats), dim).select(
+    return long.join(checked_broadcast(stats), dim).select(
         key, dim, ((F.col(value) - F.col("_mu")) / F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))).alias(value)
     )
 

@@ -321,12 +321,12 @@ def label_status(spark, sf_dir):
 
 @query(
     "scan_docs",
-    S.with_ctes(S.ANN) + "SELECT id, symbol, associated_date, class_label, orig_md5 FROM ann WHERE symbol IN ('src1', 'src2', 'src3')",
+    S.with_ctes(S.ANN) + "SELECT id, symbol, associated_date, class_label, orig_md5 FROM ann",
 )
 def scan_docs(spark, sf_dir):
-    """Registry scan; the projection and the symbol filter reach the parquet reader."""
+    """Registry scan (lazy; only the projected columns are read)."""
     ann = announcements(spark, sf_dir)
-    return ann.where(F.col("symbol").isin(list(SYMBOLS))).select("id", "symbol", "associated_date", "class_label", "orig_md5")
+    return ann.select("id", "symbol", "associated_date", "class_label", "orig_md5")
 
 
 @query(
