@@ -89,3 +89,16 @@ def test_tfidf_norm_and_presence(spark):
     vec = {r.id: r.features for r in raw.vectors(c).collect()}
     assert abs(vec[0][idx["aaa"]] - v) < 1e-12
     assert vec[3].numNonzeros() == 0
+
+
+def test_bag_without_broadcast(spark):
+    docs = [("pos", ["aaa", "aaa", "bbb"]), ("neg", ["bbb", "ccc"]), ("pos", ["aaa", "ccc", "zzz"])]
+    c = corpus(spark, docs)
+    tm = fit_transformation(c, TransformOptions(min_tokens=2))
+    want = sorted(map(tuple, tm.bag(c).collect()))
+    spark.conf.set("wordtally.broadcast.maxRows", "1")
+    try:
+        got = sorted(map(tuple, tm.bag(c).collect()))
+    finally:
+        spark.conf.unset("wordtally.broadcast.maxRows")
+    assert got == want and ("zzz" not in {r[1] for r in got})

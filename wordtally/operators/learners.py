@@ -465,9 +465,14 @@ def ml_fold_votes(
     weight_col: str | None = None,
     exclude_dictionary_docs: bool = True,
     n_folds: int = 10,
+    scale: bool = False,
 ) -> DataFrame:
     """Fit on ``fold <> f`` and vote on ``fold = f`` (U3) for every fold.
 
+    ``scale`` (dense features, M4): a standard scaler is fitted on the
+    training rows of each fold and applied to both sides, as the reference
+    does for reduced (dense) samples.
+
     The joined training data is written to the checkpoint folder once (the
     iterative solvers read it many times); the folds are fitted concurrently
     and their votes materialised, so the returned frame does not refit."""
@@ -489,7 +494,16 @@ def ml_fold_votes(
             votes = test.select("id", "fold", F.lit(voter.name).alias("learner"), F.lit(only).alias("vote"), "y")
         else:
             n_train = counts[f][1] + counts[f][-1]
-            model = voter.estimator(n_train, n_features, weight_col).fit(train)
+            est = voter.estimator(n_train, n_features, weight_col)
+            if scale:
+                from pyspark.ml import Pipeline
+                from pyspark.ml.feature import StandardScaler
+
+                est = Pipeline(stages=[
+                    StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="_scaled"),
+                    est.copy().setFeaturesCol("_scaled"),
+                ])
+            model = est.fit(train)
             votes = model.transform(test).select(
                 "id", "fold", F.lit(voter.name).alias("learner"),
                 F.when(F.col("prediction") > 0.5, 1).otherwise(-1).cast("int").alias("vote"), "y",

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordtally.operators.dictionary import DictionaryBuilder, DictionaryModel, prepared_tokens
-from wordtally.operators.joins import checked_broadcast
+from wordtally.operators.joins import broadcast_limit, checked_broadcast
 from wordtally.options import TransformOptions
 from wordtally.session import reliable_checkpoint
 
@@ -43,16 +43,22 @@ class TransformationModel:
     def size(self) -> int:
         return self.dictmodel.size
 
-    def _dict_lookup(self) -> DataFrame:
-        d = self.dictmodel.dictionary.select("word", "idx")
-        return checked_broadcast(d, self.dictmodel.size)
-
     def bag(self, docs: DataFrame) -> DataFrame:
-        """G3 restricted to dictionary words (F4): ``id, word, idx, tf``."""
+        """G3 restricted to dictionary words (F4): ``id, word, idx, tf``.
+
+        With a broadcastable dictionary the join runs map-side before the
+        count, so words outside it never reach the shuffle. Otherwise the
+        tokens are first counted per (document, word) - map-side partial
+        aggregation, one row per word a document holds - and only that bag is
+        shuffle-joined to the dictionary (AQE splits hot words)."""
         toks = prepared_tokens(F.col("words"), self.options, for_dictionary=False)
         exploded = docs.select("id", F.explode(toks).alias("word"))
-        joined = exploded.join(self._dict_lookup(), "word")
-        return joined.groupBy("id", "word", "idx").agg(F.count(F.lit(1)).alias("tf"))
+        d = self.dictmodel.dictionary.select("word", "idx")
+        if self.dictmodel.size <= broadcast_limit(d):
+            joined = exploded.join(F.broadcast(d), "word")
+            return joined.groupBy("id", "word", "idx").agg(F.count(F.lit(1)).alias("tf"))
+        counted = exploded.groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
+        return counted.join(d, "word").select("id", "word", "idx", "tf")
 
     def term_counts(self, docs: DataFrame) -> DataFrame:
         """Count matrix in long form ``id, idx, value``."""
