@@ -64,3 +64,13 @@ def test_lemma_table(spark):
     vocab = spark.createDataFrame([(w,) for w in ["cats", "cat", "boxes", "box", "making", "make", "men", "man", "fly", "flies"]], "word string")
     got = {r.form: r.lemma for r in lemma_table(vocab).collect()}
     assert got == {"cats": "cat", "boxes": "box", "making": "make", "flies": "fly"}
+
+
+def test_apply_lemmas(spark):
+    from wordtally.functions.lemma import apply_lemmas
+
+    docs = spark.createDataFrame([(1, "pos", ["cats", "sat", "boxes", "cats"]), (2, "neg", [])],
+                                 "id long, class_label string, words array<string>")
+    table = spark.createDataFrame([("cats", 1, "cat"), ("boxes", 1, "box")], "form string, pos_rank int, lemma string")
+    got = {r.id: r.words for r in apply_lemmas(docs, table).collect()}
+    assert got == {1: ["cat", "sat", "box", "cat"], 2: []}

@@ -71,4 +71,21 @@ def lemma_table(vocabulary: DataFrame) -> DataFrame:
     return best.select("form", F.col("b.pos_rank").alias("pos_rank"), F.col("b.lemma").alias("lemma"))
 
 
-__all__ = ["DETACHMENT_RULES", "candidates", "lemma_table", "Window"]
+def apply_lemmas(docs: DataFrame, table: DataFrame, words_col: str = "words") -> DataFrame:
+    """X8 inside the token filter: replace every token of ``words_col`` by its
+    lemma when the table ``(form, lemma)`` has one, keeping token order. The
+    table is joined after a size check (broadcast under the row limit); the
+    tokens of a document are regrouped by its id, so a group is one
+    document."""
+    from wordtally.operators.joins import checked_broadcast
+
+    others = [c for c in docs.columns if c != words_col]
+    toks = docs.select("id", F.posexplode(words_col).alias("_pos", "_tok"))
+    lem = checked_broadcast(table.select(F.col("form").alias("_tok"), F.col("lemma").alias("_lemma")))
+    mapped = toks.join(lem, "_tok", "left").select("id", "_pos", F.coalesce("_lemma", "_tok").alias("_w"))
+    regrouped = mapped.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_pos", "_w"))).alias("_l"))
+    out = docs.select(*others).join(regrouped, "id", "left")
+    return out.select(*others, F.coalesce(F.col("_l._w"), F.array().cast("array<string>")).alias(words_col))
+
+
+__all__ = ["DETACHMENT_RULES", "apply_lemmas", "candidates", "lemma_table", "Window"]

@@ -144,3 +144,42 @@ def doc_sample(spark, sf_dir):
     """F8: the repeatable half sample that builds the dictionary."""
     b = DictionaryBuilder(TransformOptions(ratio=SAMPLE_RATIO, seed=SEED))
     return b.sample(labelled_selection(spark, sf_dir)).select("id", "class_label")
+
+
+def _lemma_dictionary_sql() -> str:
+    from wordtally.functions.lemma import DETACHMENT_RULES
+
+    rules = ", ".join(f"({p_}, {i}, {S.q(sf)}, {S.q(r)})" for i, (p_, sf, r) in enumerate(DETACHMENT_RULES))
+    ctes = dictionary_ctes(TransformOptions())
+    k = next(i for i, c in enumerate(ctes) if c.startswith("sel AS ("))
+    lemma_ctes = [
+        ctes[k].replace("sel AS (", "sel0 AS (", 1),
+        "vocab AS (SELECT DISTINCT unnest(words) AS word FROM sel0)",
+        f"rules(pos_rank, rule_rank, suffix, repl) AS (VALUES {rules})",
+        """cand AS (SELECT v.word AS form, r.pos_rank, r.rule_rank,
+                  substring(v.word, 1, length(v.word) - length(r.suffix)) || r.repl AS lemma
+           FROM vocab v JOIN rules r ON ends_with(v.word, r.suffix) AND length(v.word) > length(r.suffix))""",
+        "known AS (SELECT * FROM cand WHERE lemma IN (SELECT word FROM vocab) AND length(lemma) < length(form))",
+        """best AS (SELECT form, lemma FROM (SELECT *, row_number() OVER (
+                  PARTITION BY form ORDER BY pos_rank, length(lemma), rule_rank) AS rn FROM known) WHERE rn = 1)""",
+        "lm AS (SELECT map(coalesce(list(form), []), coalesce(list(lemma), [])) AS m FROM best)",
+        "sel AS (SELECT sel0.* REPLACE (list_transform(words, lambda x: coalesce(lm.m[x], x)) AS words) FROM sel0, lm)",
+    ]
+    ctes = ctes[:k] + lemma_ctes + ctes[k + 1:]
+    return S.with_ctes(*ctes) + (
+        "SELECT word, idx, round(pos_idf, 6) AS pos_idf, round(neg_idf, 6) AS neg_idf, pos_df, neg_df FROM dict"
+    )
+
+
+@query("dictionary_lemmas", _lemma_dictionary_sql())
+def dictionary_lemmas(spark, sf_dir):
+    """X8 in the token filter: the dictionary over lemmatized tokens, the lemma
+    table derived from the selection's own vocabulary."""
+    from wordtally.functions.lemma import apply_lemmas, lemma_table
+    from wordtally.session import reliable_checkpoint
+
+    sel = labelled_selection(spark, sf_dir)
+    vocab = sel.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
+    table = reliable_checkpoint(lemma_table(vocab))
+    lemmatized = apply_lemmas(sel, table)
+    return rounded(DictionaryBuilder(TransformOptions()).fit(lemmatized).dictionary)
\ No newline at end of file
