@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordtally.operators.joins import checked_broadcast
 from wordtally.session import reliable_checkpoint
 
 
@@ -44,7 +45,8 @@ def dense_index(
     if count_col:
         w_all = Window.partitionBy(*groups)
         stats = stats.withColumn(count_col, F.sum("_n").over(w_all))
-    out = tagged.join(F.broadcast(stats), gcols).withColumn(
+    stats = reliable_checkpoint(stats)
+    out = tagged.join(checked_broadcast(stats), gcols).withColumn(
         idx_col, (F.col("_offset") + F.col("_mono") - F.col("_first")).cast("long")
     )
     return out.drop("_mono", "_pid", "_first", "_n", "_offset")
