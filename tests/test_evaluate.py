@@ -143,3 +143,23 @@ def test_rff_features_approximate_kernel(spark):
             k = math.exp(-0.5 * ((x[a] - x[b]) ** 2).sum())
             assert abs(float(z[a] @ z[b]) - k) < 0.08
     assert abs(float(z[5] @ z[5]) - 1.0) < 0.08  # the empty document is projected too: k(0, 0) = 1
+
+
+def test_ml_voters_on_separable_data(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(9)
+    n = 80
+    ys = np.where(np.arange(n) % 2 == 0, 1, -1)
+    x = rng.normal(0, 0.3, (n, 3)) + np.outer(ys, [2.0, -2.0, 0.0])
+    vectors = spark.createDataFrame([Row(id=i, features=Vectors.dense(x[i].tolist())) for i in range(n)])
+    folds = spark.createDataFrame(
+        [Row(id=i, y=int(ys[i]), fold=int(i % 4), in_dictionary=False, error_cost=1.0 + (i % 3)) for i in range(n)]
+    )
+    for voter, kw in [(LR.MLVoter("svm_linear", True), {}), (LR.MLVoter("svm_linear", True), {"weight_col": "error_cost"}),
+                      (LR.MLVoter("boosting", False), {}), (LR.MLVoter("svm_linear", True), {"scale": True})]:
+        v = LR.ml_fold_votes(voter, vectors, folds, 3, n_folds=4, **kw).collect()
+        assert len(v) == n
+        assert sum(r.vote == r.y for r in v) >= 0.95 * n
+    v = LR.sgd_fold_votes(vectors, folds, n_folds=4).collect()
+    assert len(v) == n and sum(r.vote == r.y for r in v) >= 0.9 * n
