@@ -38,6 +38,10 @@ class TransformationModel:
     idf: DataFrame | None  # idx, idf (= ln((n+1)/(df+1)) + 1), present when tf-idf is on
     n_corpus: int  # documents in the selection the transformation was fitted on
     options: TransformOptions
+    # the fitting selection and its materialised bag, reused when that same
+    # selection is vectorized (a second pass over its tokens saved)
+    fit_docs: DataFrame | None = None
+    fit_bag: DataFrame | None = None
 
     @property
     def size(self) -> int:
@@ -51,6 +55,8 @@ class TransformationModel:
         tokens are first counted per (document, word) - map-side partial
         aggregation, one row per word a document holds - and only that bag is
         shuffle-joined to the dictionary (AQE splits hot words)."""
+        if self.fit_bag is not None and docs is self.fit_docs:
+            return self.fit_bag
         toks = prepared_tokens(F.col("words"), self.options, for_dictionary=False)
         exploded = docs.select("id", F.explode(toks).alias("word"))
         d = self.dictmodel.dictionary.select("word", "idx")
@@ -131,7 +137,9 @@ def fit_transformation(selection: DataFrame, options: TransformOptions | None =
     n_corpus = dm.n_docs if o.ratio >= 1.0 else selection.count()
     tm = TransformationModel(dm, None, n_corpus, o)
     if o.tfidf and not o.boolean:
-        dfs = tm.bag(selection).groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
+        tm.fit_bag = reliable_checkpoint(tm.bag(selection))
+        tm.fit_docs = selection
+        dfs = tm.fit_bag.groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
         idf = dfs.select("idx", (F.log((F.lit(n_corpus) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
         tm.idf = reliable_checkpoint(idf)
     return tm
