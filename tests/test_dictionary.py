@@ -102,3 +102,12 @@ def test_bag_without_broadcast(spark):
     finally:
         spark.conf.unset("wordtally.broadcast.maxRows")
     assert got == want and ("zzz" not in {r[1] for r in got})
+
+
+def test_dense_index_hot_group(spark):
+    # one group holds ~90% of the rows and spans many partitions
+    df = spark.range(0, 20000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g"))
+    got = dense_index(df.repartition(13), [F.col("k")], group="g", idx_col="i", count_col="n")
+    hot = got.where(F.col("g") == "hot").orderBy("k").select("i", "n").collect()
+    assert [r.i for r in hot] == list(range(18000)) and {r.n for r in hot} == {18000}
+    assert got.where(F.col("g") == "cold").agg(F.max("i")).first()[0] == 1999

@@ -181,3 +181,19 @@ def test_tokenize_documents_and_merge(spark, tmpdir_path):
     assert tok["gone.txt"].status == "missing file"
     merged = R.merge_tokenized(R.tokenize_documents(reg, to_text(scan_files(spark, docs))).where(F.col("status") == "tokenized")).first()
     assert (merged.sentences, merged.tokens, merged.parts, merged.class_label) == (3, 8, 2, "neg")
+
+
+def test_upsert_hot_hash(spark):
+    n = 5000
+    inc = spark.range(n).select(
+        F.col("id"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 50 == 0, F.concat(F.lit("u"), F.col("id").cast("string"))).otherwise(F.lit("hot")).alias("orig_md5"),
+        F.lit("S").alias("symbol"), F.lit(dt.date(2011, 1, 1)).alias("associated_date"),
+        F.when(F.col("id") == n - 1, "neg").otherwise("pos").alias("class_label"), F.lit(1.0).alias("error_cost"),
+        F.lit(1.0).alias("success_gain"), F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("original_url"),
+        F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("path_saved"), F.lit("txt").alias("file_type"),
+        F.lit(False).alias("use_saved"),
+    ).repartition(9)
+    reg = {r.orig_md5: r for r in R.upsert(None, inc, modify=True).collect()}
+    assert len(reg) == 1 + n // 50
+    assert (reg["hot"].id, reg["hot"].class_label, reg["hot"].original_url) == (1, "neg", f"{n - 1}.txt")
