@@ -197,3 +197,19 @@ def test_upsert_hot_hash(spark):
     reg = {r.orig_md5: r for r in R.upsert(None, inc, modify=True).collect()}
     assert len(reg) == 1 + n // 50
     assert (reg["hot"].id, reg["hot"].class_label, reg["hot"].original_url) == (1, "neg", f"{n - 1}.txt")
+
+
+def test_tokenize_with_stored_block_selector(spark, tmpdir_path):
+    from wordtally.sources.files import scan_files
+
+    docs = os.path.join(tmpdir_path, "h")
+    os.makedirs(docs)
+    for n in ("p1.html", "p2.html"):
+        with open(os.path.join(docs, n), "w") as f:
+            f.write("<nav>menu words</nav><article>main story here</article>")
+    reg = spark.createDataFrame(
+        [Row(id=i, seq=i, symbol="S", associated_date=dt.date(2012, 1, 1), class_label="pos", error_cost=1.0, success_gain=1.0,
+             original_url=os.path.join(docs, n), xpath=x) for i, (n, x) in enumerate([("p1.html", "article"), ("p2.html", None)])]
+    )
+    tok = {os.path.basename(r.original_url): r.words for r in R.tokenize_documents(reg, scan_files(spark, docs)).collect()}
+    assert tok == {"p1.html": ["main", "story", "here"], "p2.html": ["menu", "wordsmain", "story", "here"]}  # element texts join without a space

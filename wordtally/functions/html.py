@@ -43,3 +43,13 @@ def html_block(html: Column, tag: str) -> Column:
     """Text of the first ``<tag>`` element, ``''`` when there is none."""
     t = re.escape(tag)
     return _finish(F.regexp_extract(_clean(html), rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>", 1))
+
+
+def html_block_by(html: Column, tag: Column) -> Column:
+    """X15 with a per-row block selector (the stored ``xpath`` of a registry
+    row, a tag name): the whole text when the selector is null or empty, the
+    first element's text otherwise, ``''`` when there is none."""
+    safe = F.regexp_replace(tag, r"[^A-Za-z0-9_-]", "")
+    pattern = F.concat(F.lit("(?is)<"), safe, F.lit(r"\b[^>]*>(.*?)</"), safe, F.lit(r"\s*>"))
+    block = _finish(F.call_function("regexp_extract", _clean(html), pattern, F.lit(1)))
+    return F.when(F.coalesce(safe, F.lit("")) == "", html_to_text(html)).otherwise(block)
\ No newline at end of file

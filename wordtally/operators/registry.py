@@ -194,7 +194,9 @@ def merge_parts(tok: DataFrame) -> DataFrame:
 
 def tokenize_documents(registry: DataFrame, texts: DataFrame, keep_sentences: bool = True) -> DataFrame:
     """Tokenize registry rows from their converted texts (``path, text,
-    error`` from ``sources.files.to_text``), looked up by original url.
+    error`` from ``sources.files.to_text``, or scanned files ``path,
+    file_type, content`` - then each html row's stored block selector is
+    applied, Q2), looked up by original url.
 
     One row per registry row with ``status``: ``tokenized``, ``unsupported
     file type`` (no text for the type) or ``missing file``; empty texts give
@@ -204,6 +206,14 @@ def tokenize_documents(registry: DataFrame, texts: DataFrame, keep_sentences: bo
     def key(c):
         return F.regexp_replace(c, "^file:(//)?", "")
 
+    if "content" in texts.columns and "text" not in texts.columns:
+        from wordtally.sources.files import to_text
+
+        sel = registry.select(key(F.col("original_url")).alias("_key"), F.col("xpath")) if "xpath" in registry.columns else None
+        files = texts.withColumn("_key", key(F.col("path")))
+        if sel is not None:
+            files = files.join(sel, "_key", "left")
+        texts = to_text(files.drop("_key"))
     t = texts.select(key(F.col("path")).alias("_key"), "text", "error", F.lit(True).alias("_found"))
     r = registry.withColumn("_key", key(F.col("original_url"))).join(t, "_key", "left").drop("_key")
     status = (

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordtally.functions.cells import file_type, fix_apostrophes
-from wordtally.functions.html import html_block, html_to_text
+from wordtally.functions.html import html_block, html_block_by, html_to_text
 
 
 # Input extensions of the predict step.
@@ -52,9 +52,14 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None, recursiv
 
 def to_text(df: DataFrame, block_tag: str | None = None) -> DataFrame:
     """``path, file_type, text, error`` from scanned files (or any
-    frame with ``path, file_type`` and ``content`` or ``raw`` text)."""
+    frame with ``path, file_type`` and ``content`` or ``raw`` text). A per-row
+    ``xpath`` column (a tag name) selects the block of each html row; else
+    ``block_tag`` applies to all."""
     raw = F.col("raw") if "raw" in df.columns else F.decode(F.col("content"), "UTF-8")
-    html = html_block(raw, block_tag) if block_tag else html_to_text(raw)
+    if "xpath" in df.columns:
+        html = html_block_by(raw, F.col("xpath"))
+    else:
+        html = html_block(raw, block_tag) if block_tag else html_to_text(raw)
     text = (
         F.when(F.col("file_type") == "txt", fix_apostrophes(raw))
         .when(F.col("file_type") == "html", fix_apostrophes(html))
