@@ -111,3 +111,14 @@ def test_dense_index_hot_group(spark):
     hot = got.where(F.col("g") == "hot").orderBy("k").select("i", "n").collect()
     assert [r.i for r in hot] == list(range(18000)) and {r.n for r in hot} == {18000}
     assert got.where(F.col("g") == "cold").agg(F.max("i")).first()[0] == 1999
+
+
+def test_cut_as_post_step(spark):
+    ws = _words(9)
+    docs = [("pos", ws[:7])] * 3 + [("neg", ws[3:])] * 2 + [("pos", ws[:2])]
+    c = corpus(spark, docs)
+    direct = fit_transformation(c, TransformOptions(min_tokens=1, dict_cut=3))
+    derived = fit_transformation(c, TransformOptions(min_tokens=1)).cut(3)
+    assert sorted(map(tuple, direct.dictmodel.dictionary.collect())) == sorted(map(tuple, derived.dictmodel.dictionary.collect()))
+    assert sorted(map(tuple, direct.long_form(c).collect())) == sorted(map(tuple, derived.long_form(c).collect()))
+    assert derived.size == direct.size == 6

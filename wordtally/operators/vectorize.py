@@ -47,6 +47,32 @@ class TransformationModel:
     def size(self) -> int:
         return self.dictmodel.size
 
+    def cut(self, k: int) -> "TransformationModel":
+        """W2 as a post-step: the same transformation with the first k and last
+        k dictionary words, re-indexed 0..2k-1. Document frequencies, class
+        idfs and corpus idfs do not depend on the cut, so nothing is rescanned.
+        Only valid on an uncut transformation."""
+        if self.options.dict_cut:
+            raise ValueError("the transformation is already cut")
+        n = self.size
+        if k <= 0 or n <= 2 * k + 1:
+            return TransformationModel(self.dictmodel, self.idf, self.n_corpus, self.options.replace(dict_cut=k))
+
+        def keep(df: DataFrame) -> DataFrame:
+            return df.where((F.col("idx") < k) | (F.col("idx") >= n - k)).withColumn(
+                "idx", F.when(F.col("idx") < k, F.col("idx")).otherwise(F.col("idx") - (n - 2 * k)).cast("int")
+            )
+
+        dm = self.dictmodel
+        cut_dm = DictionaryModel(reliable_checkpoint(keep(dm.dictionary)), 2 * k, dm.n_pos, dm.n_neg,
+                                 dm.options.replace(dict_cut=k), dm.sample_ids)
+        out = TransformationModel(cut_dm, keep(self.idf) if self.idf is not None else None, self.n_corpus,
+                                  self.options.replace(dict_cut=k))
+        if self.fit_bag is not None:
+            out.fit_bag = keep(self.fit_bag)
+            out.fit_docs = self.fit_docs
+        return out
+
     def bag(self, docs: DataFrame) -> DataFrame:
         """G3 restricted to dictionary words (F4): ``id, word, idx, tf``.
 
