@@ -99,8 +99,9 @@ def lemmatize(spark, sf_dir):
     from wordtally.session import reliable_checkpoint
 
     ann = announcements(spark, sf_dir)
-    toks = ann.select("id", F.posexplode(T.words("text")).alias("token_no", "token"))
-    vocab = ann.select(F.explode(F.array_distinct(T.words("text"))).alias("word")).distinct()
+    words = reliable_checkpoint(ann.select("id", T.words("text").alias("w")))  # tokenized once, read twice
+    toks = words.select("id", F.posexplode("w").alias("token_no", "token"))
+    vocab = words.select(F.explode(F.array_distinct("w")).alias("word")).distinct()
     table = reliable_checkpoint(L.lemma_table(vocab))
     out = toks.join(checked_broadcast(table), toks.token == table.form, "left")
     return out.select("id", "token_no", F.coalesce("lemma", "token").alias("lemma"))
