@@ -163,3 +163,12 @@ def test_ml_voters_on_separable_data(spark):
         assert sum(r.vote == r.y for r in v) >= 0.95 * n
     v = LR.sgd_fold_votes(vectors, folds, n_folds=4).collect()
     assert len(v) == n and sum(r.vote == r.y for r in v) >= 0.9 * n
+
+
+def test_html_block_by_row(spark):
+    from wordtally.functions import html as H
+
+    page = "<nav>menu</nav><article>Main</article><table>T</table>"
+    df = spark.createDataFrame([(page, "article"), (page, None), (page, ""), (page, "tab)le"), (page, "aside")], "h string, x string")
+    got = [r.t for r in df.select(H.html_block_by(F.col("h"), F.col("x")).alias("t")).collect()]
+    assert got == ["Main", "menuMainT", "menuMainT", "T", ""]
