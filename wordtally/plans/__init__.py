@@ -6,10 +6,13 @@ twin (absent for learners whose result no SQL can state: rows-only check).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wordtally.session import ship_package
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
@@ -19,7 +22,12 @@ def query(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
