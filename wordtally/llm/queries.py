@@ -32,6 +32,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordtally.llm import substring_dedup
+
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), Work(spark))
+
+
 def oracle_sql() -> dict[str, str]:
     from wordtally.llm import oracles
 
