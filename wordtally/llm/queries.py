@@ -49,6 +49,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wordtally.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), Work(spark), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def oracle_sql() -> dict[str, str]:
     from wordtally.llm import oracles
 
