@@ -161,7 +161,7 @@ def combinations(hist: np.ndarray) -> np.ndarray:
     return np.array(pairs + sorted(triples), dtype=np.int64).reshape(-1, 3)
 
 
-def repeplacescounts(combos: np.ndarray, hist: np.ndarray) -> np.ndarray:
+def repeat_counts(combos: np.ndarray, hist: np.ndarray) -> np.ndarray:
     """How often to use each combination: non-negative least squares by accelerated projected gradients."""
     want = hist.astype(float)
     want[0] = 0
@@ -273,7 +273,7 @@ def plan(hist: np.ndarray) -> list[tuple[int, ...]]:
     rest = p.left.copy()
     combos = combinations(rest)
     if len(combos):
-        x = repeplacescounts(combos, rest)
+        x = repeat_counts(combos, rest)
         for k in np.argsort(-x, kind="stable"):
             lengths = [int(c) for c in combos[k] if c]
             need = {c: lengths.count(c) for c in lengths}

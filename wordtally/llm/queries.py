@@ -58,6 +58,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Work(spark), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordtally.llm import quality_pu
+
+    return quality_pu.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Work(spark))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordtally.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, *toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def oracle_sql() -> dict[str, str]:
     from wordtally.llm import oracles
 
