@@ -73,6 +73,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, *toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordtally.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents"), Work(spark))
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordtally.llm import vamana
+
+    return vamana.nearest(table(spark, sf_dir, "embeddings"), Work(spark))
+
+
 def oracle_sql() -> dict[str, str]:
     from wordtally.llm import oracles
 
