@@ -80,7 +80,7 @@ def measures(docs: DataFrame, keep: str = "") -> DataFrame:
         }
 
     needed = list(dict.fromkeys(["doc_id", "lang", "source", "text", *more]))
-    return map_rows(docs.select(*needed), run, MEASURES + ", lang string, source string" + (f", {keep}" if keep else ""))
+    return map_rows(docs.select(*needed), run, MEASURES + "".join(f", {c} string" for c in ("lang", "source") if c not in more) + (f", {keep}" if keep else ""))
 
 
 def _rates(m: DataFrame) -> DataFrame:

@@ -87,6 +87,13 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vamana.nearest(table(spark, sf_dir, "embeddings"), Work(spark))
 
 
+@query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordtally.llm import html_wrapper
+
+    return html_wrapper.extract(table(spark, sf_dir, "pages"), Work(spark))
+
+
 def oracle_sql() -> dict[str, str]:
     from wordtally.llm import oracles
 

@@ -176,17 +176,36 @@ def links(nodes: DataFrame, work: Work) -> DataFrame:
     return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(_compare_cells, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, work: Work, keep: str = "") -> DataFrame:
-    """doc_id, fp, component_id (and the ``keep`` columns): the smallest doc_id reachable over linked fingerprints."""
-    f = work.store(fingerprints(docs, keep), "fp")
+def grouped(f: DataFrame, work: Work) -> DataFrame:
+    """Rows with a fingerprint ``fp`` and ``doc_id``, with ``root`` (least linked fp) and ``component_id`` (smallest linked doc_id)."""
     nodes = work.store(f.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     comp = components(links(nodes.select("fp"), work), work)
     node = nodes.join(comp, nodes.fp == comp.node, "left").select(nodes.fp, F.coalesce("root", nodes.fp).alias("root"), "first")
     best = node.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = node.join(best, "root").select(F.col("fp").alias("l_fp"), "component_id")
+    label = node.join(best, "root").select(F.col("fp").alias("l_fp"), "root", "component_id")
     return f.join(label, f.fp == label.l_fp).drop("l_fp")
 
 
+def near_duplicates(docs: DataFrame, work: Work) -> DataFrame:
+    """doc_id, fp, root and component_id of every document."""
+    return grouped(work.store(fingerprints(docs), "fp"), work)
+
+
+def keep_one(docs: DataFrame, work: Work) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest ``doc_id`` (a null id only if there is no other)."""
+    columns = docs.columns
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "doc_id")
+    f = work.store(fingerprints(docs, ddl), "printed")
+    label = grouped(f.select("doc_id", "fp"), work)
+    best = label.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("b"))
+    ident = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("w_id")
+    best = best.select("b.doc_id", "b.fp").select(ident, F.col("fp").alias("w_fp"))
+    j = f.withColumn("k_id", ident).join(best, (F.col("k_id") == F.col("w_id")) & (f.fp == F.col("w_fp")))
+    # rows that share an id and a fingerprint are joined to one winner; the least of them stays
+    rows = j.groupBy("k_id", "fp").agg(F.min(F.struct(*columns)).alias("d"))
+    return rows.select(*[F.col("d")[c].alias(c) for c in columns])
+
+
 def hex_digits(fp):
     """16 lowercase hex digits of the 64 bits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
