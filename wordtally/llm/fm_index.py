@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 REACH = 32
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletTree:
@@ -26,22 +27,21 @@ class WaveletTree:
             raw = np.packbits(bit, bitorder="little")
             packed[: len(raw)] = raw
             word = packed.view(np.uint64)
-            count = np.bitwise_count(word).astype(np.int64)
+            count = np.bitwise_count(word).astype(np.int32)
             self.words.append(word)
-            self.before.append(np.cumsum(count) - count)
-            self.zeros.append(self.n - int(count.sum()))
+            self.before.append(np.cumsum(count, dtype=np.int32) - count)
+            self.zeros.append(np.int32(self.n - int(count.sum())))
             cur = np.concatenate([cur[~bit], cur[bit]])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
         """How often ``symbol`` stands before position ``at``; ``start`` is its first place in the last level's order."""
-        pos = at
+        pos, symbol = at.astype(np.int32), symbol.astype(np.int32)
         for k, (word, before, zeros) in enumerate(zip(self.words, self.before, self.zeros)):
             block = pos >> 6
-            low = (np.uint64(1) << (pos & 63).astype(np.uint64)) - np.uint64(1)
-            ones = before[block] + np.bitwise_count(word[block] & low)
-            bit = symbol >> (self.levels - 1 - k) & 1
-            pos = np.where(bit == 1, zeros + ones, pos - ones)
-        return pos - start
+            ones = before[block] + np.bitwise_count(word[block] & _BELOW[pos & 63])
+            bit = (symbol & np.int32(1 << (self.levels - 1 - k))) != 0
+            pos = np.where(bit, zeros + ones, pos - ones)
+        return pos.astype(np.int64) - start
 
     def starts(self, sigma: int) -> np.ndarray:
         """Place in the last level's order at which each symbol's run begins."""
@@ -122,20 +122,28 @@ class FMIndex:
             have[f] = self.depth - 1
             lo[f], hi[f] = lefts[self.depth - 1, lo[f]], rights[self.depth - 1, lo[f]]
             sym = self.seq[at]
+            fresh = have[todo] == 0  # one token alone: its run of suffixes is known
+            t, c = todo[fresh], sym[fresh]
+            alone = self.first[c + 1] - self.first[c] >= least
+            lo[t], hi[t] = np.where(alone, self.first[c], 0), np.where(alone, self.first[c + 1], n)
+            have[t] = alone
+            todo, sym = todo[~fresh], sym[~fresh]
             while len(todo):
                 l2, h2 = self.extend(sym, lo[todo], hi[todo])
                 ok = h2 - l2 >= least
                 t = todo[ok]
                 lo[t], hi[t], have[t] = l2[ok], h2[ok], have[t] + 1
                 todo, sym = todo[~ok], sym[~ok]
-                stuck = have[todo] == 0
-                t = todo[stuck]
-                lo[t], hi[t] = 0, n
-                todo, sym = todo[~stuck], sym[~stuck]
                 if len(todo):
                     up = np.maximum(self.lcp[lo[todo]], self.lcp[hi[todo]])
                     up = np.minimum(up, have[todo] - 1)
                     lo[todo], hi[todo], have[todo] = lefts[up, lo[todo]], rights[up, lo[todo]], up
+                    stuck = up == 0  # back at the token alone
+                    t, c = todo[stuck], sym[stuck]
+                    alone = self.first[c + 1] - self.first[c] >= least
+                    lo[t], hi[t] = np.where(alone, self.first[c], 0), np.where(alone, self.first[c + 1], n)
+                    have[t] = alone
+                    todo, sym = todo[~stuck], sym[~stuck]
             live = length >= back
             at = start[live] + length[live] - back
             ms[at], where[at] = have[live], lo[live]

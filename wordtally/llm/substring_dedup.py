@@ -45,8 +45,8 @@ WINDOW = 20
 GRAM = 3
 #: Tokens of one shard's index, about.
 SHARD_TOKENS = 250_000
-#: Occurrences of a minimizer from which its windows are keyed one by one.
-HOT_ROWS = 2_000
+#: Occurrences of a minimizer beyond which its windows are keyed one by one: as many segments as fill a shard.
+HOT_ROWS = SHARD_TOKENS // 28
 _NO_ID = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,9 +133,12 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     words = (text or "").encode().split()
                     h = word_hashes(words)
                     hasher = _Hasher(h)
-                    for p in parts:
-                        s, e = p["start"], p["start"] + p["len"]
-                        if e > len(words) or int(hasher.runs(np.array([s]), np.array([e])).view(np.int64)[0]) != p["content"]:
+                    begin = np.array([p["start"] for p in parts], dtype=np.int64)
+                    end = begin + np.array([p["len"] for p in parts], dtype=np.int64)
+                    inside = end <= len(words)
+                    content = hasher.runs(np.where(inside, begin, 0), np.where(inside, end, 0)).view(np.int64).tolist()
+                    for p, s, e, ok, c in zip(parts, begin.tolist(), end.tolist(), inside.tolist(), content):
+                        if not ok or c != p["content"]:
                             continue  # another row with this id
                         if p["hot"]:
                             w = np.arange(s, e - WINDOW + 1)
@@ -204,9 +207,12 @@ def _reports(rows: DataFrame, n_rows: int, width: int) -> DataFrame:
 def removals(docs: DataFrame, work: Work) -> DataFrame:
     """(doc, cuts): for each document that loses words, the starts of its windows that occur earlier."""
     occ = work.store(occurrences(docs), "occ")
-    twice = occ.groupBy("mini").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # stored, so that the join below shuffles both sides plainly and a frequent minimizer can be split
+    twice = work.store(occ.groupBy("mini").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "twice")
+    work.release()
     cand = work.store(occ.join(twice, "mini"), "cand")
     work.drop("occ")
+    work.drop("twice")
     first = cand.groupBy("mini", "content").agg(F.min(F.struct("doc", "start", "len")).alias("f"), F.count(F.lit(1)).alias("n"), F.max("times").alias("times"))
     wanted = first.select("mini", "content", "f.doc", "f.start", "f.len", "n", (F.col("times") > HOT_ROWS).alias("hot"))
     parts = work.store(_cut(docs, wanted), "parts")
