@@ -33,15 +33,18 @@ class Work:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}  # of the table last stored under each name
+        self.stored = 0
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        self.stored += 1
+        path = self.paths[name] = f"{self.root}/{self.stored}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         self.release()
 

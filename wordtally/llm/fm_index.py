@@ -62,7 +62,7 @@ class FMIndex:
         while size < REACH:
             r = ranks[-1]
             nxt = np.zeros(n, dtype=np.int64)
-            nxt[: n - size] = r[size:] + 1
+            nxt[: max(0, n - size)] = r[size:] + 1
             key = r * (n + 2) + nxt
             order = np.argsort(key)
             step = np.ones(n, dtype=np.int64)

@@ -253,14 +253,12 @@ class Plan:
             cut = None
             head = gap // GRID * GRID
             if head:
-                # items in this pattern are taken first, so what is cut must be beyond them
-                spare = self.uncut.copy()
-                for c, k in counts.items():
-                    spare[c] = min(spare[c], self.left[c] - k * times)
-                larger = np.nonzero(spare[gap + 1 :] > 0)[0]
+                # a class that the pattern uses too must have one more uncut item for each sequence
+                room = np.array([self.uncut[c] // (counts.get(c, 0) + 1) for c in range(gap + 1, WINDOW)], dtype=np.int64)
+                larger = np.nonzero(room)[0]
                 if len(larger):
                     cls = int(larger[0]) + gap + 1
-                    times = min(times, int(spare[cls]))
+                    times = min(times, int(room[larger[0]]))
                     cut = cls, head
             self.use(lengths, times, cut)
 

@@ -38,6 +38,8 @@ MAX_ROWS = 12_000
 BINS = 16
 STEPS = 600
 RIDGE = 1e-4
+#: Factor on the first classifier's log ratio as the starting score.
+SHARPEN = 3.0
 THRESHOLD = 0.3
 _MARKS = "!?.,;:|#*$%&<>()\"'"
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -122,6 +124,9 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> tuple[list[np.ndarray], np.ndarray,
         raw[~half] = a[~half] @ w
         start += w / 2
     prior = class_prior(raw[p], raw[~p])
+    # a text is as likely positive as not where the ratio of the densities is 1 / (2 prior): training starts there
+    start[-1] += np.log(2 * prior)
+    start *= SHARPEN
 
     def slope(z: np.ndarray) -> np.ndarray:
         s = _sigmoid(z)

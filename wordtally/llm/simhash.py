@@ -193,17 +193,15 @@ def near_duplicates(docs: DataFrame, work: Work) -> DataFrame:
 
 def keep_one(docs: DataFrame, work: Work) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest ``doc_id`` (a null id only if there is no other)."""
-    columns = docs.columns
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "doc_id")
-    f = work.store(fingerprints(docs, ddl), "printed")
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    f = work.store(fingerprints(whole, f"row {whole.schema['row'].dataType.simpleString()}"), "printed")
     label = grouped(f.select("doc_id", "fp"), work)
     best = label.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("b"))
-    ident = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("w_id")
-    best = best.select("b.doc_id", "b.fp").select(ident, F.col("fp").alias("w_fp"))
+    ident = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
+    best = best.select("b.doc_id", "b.fp").select(ident.alias("w_id"), F.col("fp").alias("w_fp"))
     j = f.withColumn("k_id", ident).join(best, (F.col("k_id") == F.col("w_id")) & (f.fp == F.col("w_fp")))
     # rows that share an id and a fingerprint are joined to one winner; the least of them stays
-    rows = j.groupBy("k_id", "fp").agg(F.min(F.struct(*columns)).alias("d"))
-    return rows.select(*[F.col("d")[c].alias(c) for c in columns])
+    return j.groupBy("k_id", "fp").agg(F.min("row").alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def hex_digits(fp):
