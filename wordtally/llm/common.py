@@ -76,6 +76,13 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
     return df.mapInArrow(run, schema)
 
 
+def ddl_names(ddl: str) -> list[str]:
+    """Column names of a Spark DDL string, none for an empty one."""
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl).names if ddl else []
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordtally.llm.common import Work, bucket_of, map_rows
+from wordtally.llm.common import Work, bucket_of, ddl_names, map_rows
 
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -68,7 +68,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
 
 def measures(docs: DataFrame, keep: str = "") -> DataFrame:
     """One row per document with its measures, language, source and, on request, more columns (``keep``: their DDL)."""
-    more = [c.split()[0] for c in keep.split(",") if c]
+    more = ddl_names(keep)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         rows = [measure(t) for t in cols["text"]]
@@ -150,5 +150,5 @@ def judge(docs: DataFrame, work: Work, keep: str = "") -> DataFrame:
     return j.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & F.coalesce(ok, F.lit(False))).alias("kept"),
-        *[c.split()[0] for c in keep.split(",") if c],
+        *ddl_names(keep),
     )

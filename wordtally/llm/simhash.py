@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordtally.llm.common import Work, map_rows
+from wordtally.llm.common import Work, ddl_names, map_rows
 from wordtally.llm.graph import components, spanning_forest
 
 SHINGLE = 4
@@ -69,7 +69,7 @@ def _signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, keep: str = "") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) and, on request, more columns (``keep``: their DDL)."""
-    more = [c.split()[0] for c in keep.split(",") if c]
+    more = ddl_names(keep)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         return {"doc_id": cols["doc_id"], "fp": [_signed(fingerprint(t)) for t in cols["text"]], **{c: cols[c] for c in more}}

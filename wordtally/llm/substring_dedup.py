@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordtally.llm.common import Work, map_rows, sha256_hex
+from wordtally.llm.common import Work, ddl_names, map_rows, sha256_hex
 from wordtally.llm.fm_index import FMIndex
 
 WINDOW = 20
@@ -256,7 +256,7 @@ def kept_words(text: str | None, cuts: list[int] | None) -> tuple[int, int, byte
 
 def deduplicate(docs: DataFrame, work: Work, keep: str = "", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text, and the ``keep`` columns) of every document."""
-    more = [c.split()[0] for c in keep.split(",") if c]
+    more = ddl_names(keep)
     cuts = removals(docs, work).withColumnRenamed("doc", "c_doc")
     need = docs.select(*dict.fromkeys(["doc_id", "text", *more]))
     j = need.join(cuts, _key(need.doc_id) == cuts.c_doc, "left").drop("c_doc")
