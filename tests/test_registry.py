@@ -213,3 +213,41 @@ def test_tokenize_with_stored_block_selector(spark, tmpdir_path):
     )
     tok = {os.path.basename(r.original_url): r.words for r in R.tokenize_documents(reg, scan_files(spark, docs)).collect()}
     assert tok == {"p1.html": ["main", "story", "here"], "p2.html": ["menu", "wordsmain", "story", "here"]}  # element texts join without a space
+
+
+def test_manifest_wide_rows_and_many_splits(spark, tmpdir_path):
+    """Rows of more than 64 path cells, and files of more than 128 splits, keep every path, order and distinct ids."""
+    names = []
+    for k in range(2):
+        p = os.path.join(tmpdir_path, f"wide{k}.csv")
+        names.append(p)
+        with open(p, "w", encoding="utf-8") as f:
+            f.write("Code;Date;Class Label;Error Cost;Success Gain;Announcement\n")
+            for i in range(400):
+                cells = [f"f{k}_{i}_{j}.txt" for j in range(70 if i == 7 else 1)]
+                f.write(f"S{k};01.01.2012;pos;1;1;" + ";".join(cells) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        wide, rejected = M.read_manifests(spark, names)
+        rows = M.announcement_rows(wide).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rejected == [] and len({r.id for r in rows}) == len(rows) == 2 * (399 + 70)
+    want = [f"f{k}_{i}_{j}.txt" for k in range(2) for i in range(400) for j in range(70 if i == 7 else 1)]
+    assert [r.original_url for r in rows] == want
+
+
+def test_tokenize_two_contents_of_one_url(spark):
+    """Two registry rows of one url are tokenized from their own contents, once each."""
+    reg = spark.createDataFrame([(1, "u.txt", "h1", None), (2, "u.txt", "h2", None)], "id long, original_url string, orig_md5 string, xpath string")
+    files = spark.createDataFrame([("u.txt", "txt", "h1", bytearray(b"old words")), ("v.txt", "txt", "h2", bytearray(b"new")), ("w.txt", "txt", "h2", bytearray(b"new"))],
+                                  "path string, file_type string, orig_md5 string, content binary")
+    out = {r.id: r for r in R.tokenize_documents(reg, files).collect()}
+    assert out[1].words == ["old", "words"] and out[2].words == ["new"] and len(out) == 2
+
+
+def test_stamp_touches_only_this_run(spark):
+    old = spark.sql("SELECT 'a' orig_md5, TIMESTAMP '2020-01-01' insert_time, TIMESTAMP '2020-01-02' update_time UNION ALL SELECT 'b', TIMESTAMP '2020-01-01', TIMESTAMP '2020-01-02'")
+    out = {r.orig_md5: r for r in R.stamp(old.select("orig_md5"), old, True, old.where("orig_md5 = 'a'")).collect()}
+    assert out["a"].update_time.year > 2020 and out["b"].update_time.year == 2020 and out["a"].insert_time.year == 2020

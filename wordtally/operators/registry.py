@@ -90,18 +90,25 @@ def upsert(registry: DataFrame | None, incoming: DataFrame, modify: bool = False
     )
 
 
-def stamp(new_registry: DataFrame, old_registry: DataFrame | None, modify: bool = False) -> DataFrame:
+def stamp(new_registry: DataFrame, old_registry: DataFrame | None, modify: bool = False, incoming: DataFrame | None = None) -> DataFrame:
     """Insert and update times, one value per run (``current_timestamp``
     is fixed for the whole query). Rows already registered keep their insert
-    time; with ``modify`` every row of a hash seen in this run is updated."""
+    time; with ``modify`` the rows whose hash is among those of ``incoming``
+    (this run's rows) get a new update time, all others keep theirs."""
     now = F.current_timestamp()
     if old_registry is None or "insert_time" not in old_registry.columns:
         return new_registry.withColumn("insert_time", now).withColumn("update_time", now)
     old = old_registry.select("orig_md5", F.col("insert_time").alias("_it"), F.col("update_time").alias("_ut"))
     out = new_registry.join(old, "orig_md5", "left")
+    touched = F.lit(False)
+    if modify:
+        if incoming is None:
+            raise ValueError("modify needs this run's incoming rows")
+        out = out.join(incoming.select("orig_md5", F.lit(True).alias("_seen")).distinct(), "orig_md5", "left")
+        touched = F.coalesce("_seen", F.lit(False))
     return out.withColumn("insert_time", F.coalesce("_it", now)).withColumn(
-        "update_time", (now if modify else F.coalesce("_ut", now))
-    ).drop("_it", "_ut")
+        "update_time", F.when(touched, now).otherwise(F.coalesce("_ut", now))
+    ).drop("_it", "_ut", "_seen")
 
 
 def import_status(registry: DataFrame | None, incoming: DataFrame, modify: bool = False) -> DataFrame:
@@ -206,16 +213,24 @@ def tokenize_documents(registry: DataFrame, texts: DataFrame, keep_sentences: bo
     def key(c):
         return F.regexp_replace(c, "^file:(//)?", "")
 
+    if "orig_md5" in texts.columns and "orig_md5" in registry.columns:
+        # the registered content, wherever a copy of it lies: one file per hash
+        one = texts.groupBy("orig_md5").agg(F.min("path").alias("path"))
+        found = texts.join(one, ["orig_md5", "path"], "left_semi").dropDuplicates(["orig_md5"]).withColumnRenamed("orig_md5", "_key")
+        r = registry.withColumn("_key", F.col("orig_md5"))
+    else:
+        found = texts.withColumn("_key", key(F.col("path"))).dropDuplicates(["_key"])
+        r = registry.withColumn("_key", key(F.col("original_url")))
+    found = found.withColumn("_found", F.lit(True))
     if "content" in texts.columns and "text" not in texts.columns:
         from wordtally.sources.files import to_text
 
-        sel = registry.select(key(F.col("original_url")).alias("_key"), F.col("xpath")) if "xpath" in registry.columns else None
-        files = texts.withColumn("_key", key(F.col("path")))
-        if sel is not None:
-            files = files.join(sel, "_key", "left")
-        texts = to_text(files.drop("_key"))
-    t = texts.select(key(F.col("path")).alias("_key"), "text", "error", F.lit(True).alias("_found"))
-    r = registry.withColumn("_key", key(F.col("original_url"))).join(t, "_key", "left").drop("_key")
+        # converted per registry row, so that rows sharing a file keep their own selector
+        files = found.select("_key", "path", F.col("file_type").alias("_type"), "content", "_found")
+        j = r.drop("file_type").join(files, "_key", "left").withColumnRenamed("_type", "file_type")
+        r = to_text(j, keep=[c for c in j.columns if c not in ("content", "path", "file_type")])
+    else:
+        r = r.join(found.select("_key", "text", "error", "_found"), "_key", "left")
     status = (
         F.when(F.col("_found").isNull(), "missing file")
         .when(F.col("text").isNull(), "unsupported file type")

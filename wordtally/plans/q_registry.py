@@ -15,7 +15,7 @@ from wordtally.operators import registry as R
 from wordtally.plans import query
 from wordtally.plans import sql as S
 from wordtally.sources import manifest as M
-from wordtally.sources.tables import announcements, read_table
+from wordtally.sources.tables import announcements, doc_texts, read_table
 
 SPLIT = "2010-02-15"
 SYMBOLS = ("src1", "src2", "src3")
@@ -347,11 +347,10 @@ def select_docs(spark, sf_dir):
 
 def _reg_tokenized(reg, spark, sf_dir):
     """Tokenized rows of registry documents (text looked up by id)."""
-    ann = announcements(spark, sf_dir).select("id", "text")
-    r = reg.join(ann, "id")
-    return r.select(
-        "id", "seq", "symbol", "associated_date", "class_label", "error_cost", "success_gain",
-        T.sentence_count("text").alias("sentences"), F.size(T.words("text")).alias("tokens"),
+    # counted where the text is read; only the two counts are joined
+    counts = doc_texts(spark, sf_dir).select("id", T.sentence_count("text").alias("sentences"), F.size(T.words("text")).alias("tokens"))
+    return reg.join(counts, "id").select(
+        "id", "seq", "symbol", "associated_date", "class_label", "error_cost", "success_gain", "sentences", "tokens"
     )
 
 

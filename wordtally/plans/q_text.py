@@ -8,7 +8,7 @@ from wordtally.functions import lemma as L
 from wordtally.functions import text as T
 from wordtally.plans import query
 from wordtally.plans import sql as S
-from wordtally.sources.tables import announcements
+from wordtally.sources.tables import doc_texts
 
 NEG_TRIGGER = "the"  # no "not" occurs in the driver documents (SURVEY 7.2)
 
@@ -20,7 +20,7 @@ NEG_TRIGGER = "the"  # no "not" occurs in the driver documents (SURVEY 7.2)
 FROM (SELECT id, {S.sentences('text')} AS s FROM ann)""",
 )
 def sentence_split(spark, sf_dir):
-    ann = announcements(spark, sf_dir)
+    ann = doc_texts(spark, sf_dir)
     return ann.select("id", F.posexplode(T.sentences("text")).alias("sentence_no", "sentence"))
 
 
@@ -33,7 +33,7 @@ FROM (SELECT id, sentence_no, {S.words('sentence')} AS w
             FROM (SELECT id, {S.sentences('text')} AS s FROM ann)))""",
 )
 def tokenize(spark, sf_dir):
-    ann = announcements(spark, sf_dir)
+    ann = doc_texts(spark, sf_dir)
     sents = ann.select("id", F.posexplode(T.sentence_words("text")).alias("sentence_no", "w"))
     return sents.select("id", "sentence_no", F.posexplode("w").alias("token_no", "token"))
 
@@ -46,7 +46,7 @@ FROM ann""",
 )
 def doc_stats(spark, sf_dir):
     """Sentences (empty ones count) and kept tokens per document."""
-    ann = announcements(spark, sf_dir)
+    ann = doc_texts(spark, sf_dir)
     return ann.select("id", T.sentence_count("text").alias("sentences"), F.size(T.words("text")).alias("tokens"))
 
 
@@ -58,7 +58,7 @@ FROM (SELECT id, {S.join_negations(S.words('text'), NEG_TRIGGER)} AS w FROM ann)
 )
 def negation(spark, sf_dir):
     """X10 over whole documents with the trigger word ``the``."""
-    ann = announcements(spark, sf_dir)
+    ann = doc_texts(spark, sf_dir)
     return ann.select("id", F.posexplode(T.join_negations(T.words("text"), NEG_TRIGGER)).alias("token_no", "token"))
 
 
@@ -69,7 +69,7 @@ def negation(spark, sf_dir):
 FROM (SELECT id, {S.remove_stopwords(S.words('text'), T.ENGLISH_STOPWORDS)} AS w FROM ann)""",
 )
 def stopword_filter(spark, sf_dir):
-    ann = announcements(spark, sf_dir)
+    ann = doc_texts(spark, sf_dir)
     return ann.select("id", F.posexplode(T.remove_stopwords(T.words("text"))).alias("token_no", "token"))
 
 
@@ -98,7 +98,7 @@ def lemmatize(spark, sf_dir):
     from wordtally.operators.joins import checked_broadcast
     from wordtally.session import reliable_checkpoint
 
-    ann = announcements(spark, sf_dir)
+    ann = doc_texts(spark, sf_dir)
     words = reliable_checkpoint(ann.select("id", T.words("text").alias("w")))  # tokenized once, read twice
     toks = words.select("id", F.posexplode("w").alias("token_no", "token"))
     vocab = words.select(F.explode(F.array_distinct("w")).alias("word")).distinct()

@@ -50,11 +50,11 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None, recursiv
     return df.select("path", file_type(F.col("path")).alias("file_type"), "length", F.md5("content").alias("orig_md5"), "content")
 
 
-def to_text(df: DataFrame, block_tag: str | None = None) -> DataFrame:
+def to_text(df: DataFrame, block_tag: str | None = None, keep: list[str] = ()) -> DataFrame:
     """``path, file_type, text, error`` from scanned files (or any
     frame with ``path, file_type`` and ``content`` or ``raw`` text). A per-row
     ``xpath`` column (a tag name) selects the block of each html row; else
-    ``block_tag`` applies to all."""
+    ``block_tag`` applies to all. ``keep`` names further columns to pass on."""
     raw = F.col("raw") if "raw" in df.columns else F.decode(F.col("content"), "UTF-8")
     if "xpath" in df.columns:
         html = html_block_by(raw, F.col("xpath"))
@@ -68,7 +68,8 @@ def to_text(df: DataFrame, block_tag: str | None = None) -> DataFrame:
         F.when(F.col("file_type") == "pdf", F.lit("pdf text extraction is not built"))
         .when(~F.col("file_type").isin("txt", "html"), F.lit("unsupported file type"))
     )
-    return df.select("path", "file_type", text.alias("text"), err.alias("error"))
+    more = [c for c in keep if c not in ("path", "file_type")]
+    return df.select("path", "file_type", text.alias("text"), err.alias("error"), *more)
 
 
 def write_texts(texts: DataFrame, out: str, mode: str = "errorifexists") -> None:

@@ -7,6 +7,10 @@ paths from the sixth column on.
 
 from __future__ import annotations
 
+import os
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,42 +31,69 @@ def wide_schema(max_paths: int) -> T.StructType:
     )
 
 
-def header_ok(spark: SparkSession, path: str) -> bool:
+def header_matches(line: str | None) -> bool:
     """The first six names, stripped, equal the fixed header in order."""
-    first = spark.read.text(path).first()
-    if first is None:
-        return False
-    names = [c.strip() for c in first[0].lstrip("﻿").split(";")]
+    names = [c.strip() for c in (line or "").lstrip("\ufeff").split(";")]
     return len(names) >= len(HEADER) and names[: len(HEADER)] == HEADER
 
 
-def read_manifests(spark: SparkSession, paths: list[str], max_paths: int = 20) -> tuple[DataFrame, list[str]]:
-    """S1 + S2: read the accepted files as wide rows with their file name.
+def _plain_path(path: str) -> str:
+    return unquote(re.sub("^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?", "", path))
+
+
+#: Place of a line: file, start of its block in the file, order within the block.
+_PLACE = ["file", "_block", "_line"]
+
+
+def manifest_lines(text: DataFrame) -> DataFrame:
+    """Lines of a (batch or streaming) text scan with their file and block."""
+    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def parse_lines(lines: DataFrame, min_paths: int = 1) -> tuple[DataFrame, list[str], list[str]]:
+    """S1 + S2 over the lines of any number of files in one pass: (wide rows
+    with their place, accepted files, rejected files).
+
+    Header and width come from one aggregation with a row per file; the width
+    is that of the widest row, so no path cell is lost.
+    """
+    lines = lines.withColumn("_line", F.monotonically_increasing_id())
+    place = F.struct("_block", "_line")
+    cells = F.length("value") - F.length(F.replace(F.col("value"), F.lit(";"), F.lit(""))) + 1
+    heads = lines.groupBy("file").agg(F.min_by("value", place).alias("head"), F.min(place).alias("at"), F.max(cells).alias("cells")).collect()
+    ok = sorted(r.file for r in heads if header_matches(r.head))
+    rejected = sorted(r.file for r in heads if not header_matches(r.head))
+    width = max([min_paths, *(r.cells - len(FIELDS) for r in heads if r.file in ok)])
+    schema = wide_schema(width)
+    first = lines.sparkSession.createDataFrame([(r.file, r["at"]["_block"], r["at"]["_line"]) for r in heads if r.file in ok], "_f string, _b long, _l long")
+    body = lines.join(F.broadcast(first), F.col("file") == F.col("_f"))  # a row per file
+    body = body.where(((F.col("_block") != F.col("_b")) | (F.col("_line") != F.col("_l"))) & (F.trim("value") != ""))
+    row = F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "), {"sep": ";", "mode": "PERMISSIVE"})
+    return body.select(*_PLACE, row.alias("r")).select("r.*", *_PLACE), ok, rejected
+
+
+def read_manifests(spark: SparkSession, paths: list[str], max_paths: int = 1) -> tuple[DataFrame, list[str]]:
+    """S1 + S2: the accepted files as wide rows with their file name and
+    ``seq``, the dense order (file position in the list, row order) in which
+    the reference processes rows. One scan reads all files; the width is that
+    of the widest row (``max_paths`` is only a least width).
     Returns (rows, rejected file names)."""
-    ok = [p for p in paths if header_ok(spark, p)]
-    rejected = [p for p in paths if p not in ok]
-    schema = wide_schema(max_paths)
-    if not ok:
-        return spark.createDataFrame([], wide_schema(max_paths).add("file", T.StringType()).add("seq", T.LongType())), rejected
-    parts = []
-    for i, p in enumerate(ok):
-        # seq = (file position in the list, row order in the file): the order
-        # in which the reference processes rows, whatever the task layout
-        part = (
-            spark.read.schema(schema)
-            .option("sep", ";")
-            .option("header", True)
-            .option("encoding", "UTF-8")
-            .option("mode", "PERMISSIVE")
-            .csv(p)
-            .withColumn("file", F.lit(p))
-            .withColumn("seq", F.lit(i).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id())
-        )
-        parts.append(part)
-    raw = parts[0]
-    for part in parts[1:]:
-        raw = raw.unionByName(part)
-    return raw, rejected
+    from wordtally.operators.ranking import dense_index
+
+    rows, ok, rejected = parse_lines(manifest_lines(spark.read.text(paths)), max_paths)
+    plain = [_plain_path(p if "://" in p or p.startswith(("/", "file:")) else os.path.abspath(p)).rstrip("/") for p in paths]
+
+    def position(file: str) -> int:
+        f = _plain_path(file)
+        return next(i for i, p in enumerate(plain) if f == p or f.startswith(p + "/"))
+
+    of = [(f, position(f)) for f in ok]
+    good = {i for _, i in of}
+    names = spark.createDataFrame([(f, i, paths[i]) for f, i in of], "_f string, _pos long, _name string")
+    rows = rows.join(F.broadcast(names), F.col("file") == F.col("_f"))
+    seq = dense_index(rows, [F.col("_pos"), F.col("file"), F.col("_block"), F.col("_line")], idx_col="seq")
+    out = seq.withColumn("file", F.col("_name")).drop("_f", "_pos", "_name", "_block", "_line")
+    return out, [p for i, p in enumerate(paths) if i not in good]
 
 
 def typed(wide: DataFrame) -> DataFrame:
@@ -74,7 +105,7 @@ def typed(wide: DataFrame) -> DataFrame:
         cell_text(F.col("class_label")).alias("class_label"),
         cell_number(F.col("error_cost")).alias("error_cost"),
         cell_number(F.col("success_gain")).alias("success_gain"),
-        *[c for c in wide.columns if c.startswith("path") or c in ("file", "line", "seq")],
+        *[c for c in wide.columns if c.startswith("path") or c in ("file", "line", "seq", "_block", "_line")],
     )
 
 
@@ -132,18 +163,18 @@ def generate_demo(files: DataFrame, short_per_class: int = 100) -> DataFrame:
 def announcement_rows(wide: DataFrame, root: str | None = None) -> DataFrame:
     """Typed, unpivoted manifest rows in the shape the registry imports:
     ``id, seq, symbol, associated_date, class_label, error_cost, success_gain,
-    original_url``. Each announcement keeps its row's order and its cell
-    position (``seq * 64 + slot``; at most 64 path cells per row); a relative
-    path is resolved against ``root``."""
-    rows = unpivot(typed(wide))
+    original_url``. ``seq`` is the dense position in (row, cell) order; a
+    relative path is resolved against ``root``."""
+    from wordtally.operators.ranking import dense_index
+
+    rows = dense_index(unpivot(typed(wide)).withColumnRenamed("seq", "_row"), [F.col("_row"), F.col("slot")], idx_col="seq")
     path = F.col("path")
     if root:
         rel = ~(path.startswith("/") | path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))
         path = F.when(rel, F.concat(F.lit(root.rstrip("/") + "/"), path)).otherwise(path)
-    seq = F.col("seq") * F.lit(64) + F.col("slot")
     return rows.select(
-        seq.alias("id"),
-        seq.alias("seq"),
+        F.col("seq").alias("id"),
+        "seq",
         F.col("code").alias("symbol"),
         F.col("date").alias("associated_date"),
         "class_label",

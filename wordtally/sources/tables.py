@@ -34,6 +34,11 @@ def class_label(quality: F.Column) -> F.Column:
     return F.when(quality == 1, "pos").when(quality == 0, "neg").otherwise("none")
 
 
+def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, text`` of every document, for steps that need no label: nothing is joined, so no text is shuffled."""
+    return spread(read_table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("id"), "text")
+
+
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document registry as the reference keeps it, one row per document.
 

@@ -2,11 +2,11 @@
 
 The reference imports manifests one run at a time and skips what it has
 seen. Here a Structured Streaming file source watches the manifest folder;
-each micro-batch (exactly once per file, tracked by the query's checkpoint
-in the shared checkpoint folder) checks the headers of its new files (S2),
-unpivots the rows (S3), joins them to the scanned document files (F13, G19)
-and appends them to an import log with their processing order
-``seq = batch << 40 | row``. The registry is a view over the whole log: the
+each micro-batch (files are tracked by the query's checkpoint) checks the
+headers of its new files (S2), unpivots the rows (S3), joins them to the
+scanned document files (F13, G19) and writes them to the batch's folder of the
+import log with their order ``seq = batch << 40 | dense row``; a replayed batch
+overwrites its folder. The registry is a view over the whole log: the
 same order-aware aggregation as a batch import (G2), so replaying the log
 always yields the same registry and a lost executor only reruns its batch.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordtally.operators import registry as R
-from wordtally.session import ensure_checkpoint_dir
+from wordtally.operators.ranking import dense_index
 from wordtally.sources import manifest as M
 
 LOG_COLUMNS = ["id", "seq", "orig_md5", "symbol", "associated_date", "class_label", "error_cost", "success_gain",
@@ -28,10 +28,11 @@ LOG_COLUMNS = ["id", "seq", "orig_md5", "symbol", "associated_date", "class_labe
 
 def _batch_writer(spark: SparkSession, files: DataFrame, log_path: str, modify: bool, store_content: bool):
     def write(batch: DataFrame, epoch: int) -> None:
-        names = [r.file for r in batch.select("file").distinct().collect()]  # the batch's new files: few
-        ok = [n for n in names if M.header_ok(spark, n)]
-        rows = M.unpivot(M.typed(batch.where(F.col("file").isin(ok))))
-        seq = F.lit(int(epoch)).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id()
+        rows, _, _ = M.parse_lines(batch)
+        rows = M.unpivot(M.typed(rows))
+        order = [F.col("file"), F.col("_block"), F.col("_line"), F.col("slot")]
+        rows = dense_index(rows, order, idx_col="idx")
+        seq = F.lit(int(epoch)).cast("long") * F.lit(1 << 40) + F.col("idx")
         man = rows.select(
             seq.alias("seq"),
             F.col("code").alias("symbol"),
@@ -43,7 +44,9 @@ def _batch_writer(spark: SparkSession, files: DataFrame, log_path: str, modify:
             F.col("file").alias("status_file"),
         ).withColumn("id", F.col("seq"))
         inc = R.incoming_rows(man, files, store_content).withColumn("xpath", F.lit(None).cast("string"))
-        inc.withColumn("modify", F.lit(bool(modify))).select(*LOG_COLUMNS).write.mode("append").parquet(log_path)
+        out = inc.withColumn("modify", F.lit(bool(modify))).select(*LOG_COLUMNS)
+        # a folder of its own for each batch: a replayed batch replaces what it wrote before
+        out.write.mode("overwrite").parquet(os.path.join(log_path, f"epoch={int(epoch)}"))
 
     return write
 
@@ -55,28 +58,25 @@ def import_stream(
     log_path: str,
     modify: bool = False,
     store_content: bool = True,
-    max_paths: int = 20,
     checkpoint: str | None = None,
 ):
     """Process every manifest not seen before (``availableNow``) and return
     the finished streaming query. ``files(path, orig_md5)`` are the scanned
-    document files."""
-    ck = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "import-stream")
-    stream = (
-        spark.readStream.schema(M.wide_schema(max_paths))
-        .option("sep", ";")
-        .option("header", True)
-        .option("encoding", "UTF-8")
-        .csv(manifest_dir)
-        .withColumn("file", F.input_file_name())
-    )
+    document files. ``checkpoint`` is the stream's own folder in shared
+    storage: it must stay the same from run to run and belong to one manifest
+    folder and log."""
+    if not checkpoint:
+        raise ValueError("name the stream's checkpoint folder: it remembers which manifests were imported")
+    stream = M.manifest_lines(spark.readStream.format("text").load(manifest_dir))
     q = (
         stream.writeStream.foreachBatch(_batch_writer(spark, files, log_path, modify, store_content))
-        .option("checkpointLocation", ck)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
     return q
 
 
@@ -86,4 +86,4 @@ def registry_view(log: DataFrame) -> DataFrame:
     from the first row when none was)."""
     first = log.groupBy("orig_md5").agg(F.min("seq").alias("_first"))
     counted = log.join(first, "orig_md5").where((F.col("seq") == F.col("_first")) | F.col("modify"))
-    return R.upsert(None, counted.drop("_first", "modify", "status_file"), modify=True)
+    return R.upsert(None, counted.drop("_first", "modify", "status_file", "epoch"), modify=True)
