@@ -105,6 +105,23 @@ def test_bundle_save_load_predict(spark, tmpdir_path):
     assert {r.word for r in rep} == {"bad", "awful"} and all(r.argument_for == "neg" for r in rep)
 
 
+def test_prediction_with_training_ids(spark):
+    """Samples whose ids also occur in training are scored on their own words; the projected voter is projected at prediction."""
+    from wordtally.operators import predict as P
+    from wordtally.options import TransformOptions
+
+    docs = [("pos", ["good", "fine", "film"]), ("pos", ["good", "nice"]), ("neg", ["bad", "film", "awful"]), ("neg", ["bad", "dull"])]
+    sel = spark.createDataFrame([Row(id=i, class_label=lab, words=w, success_gain=1.0, error_cost=1.0) for i, (lab, w) in enumerate(docs)])
+    b = P.train_bundle("m", sel, TransformOptions(min_tokens=1), ml_voters=["svm_rff"])
+    words = [["bad", "awful"], ["bad", "dull"], ["good", "nice"]]
+    votes = []
+    for shift in (0, 1000):
+        samples = spark.createDataFrame([Row(id=shift + i, words=w) for i, w in enumerate(words)])
+        votes.append(sorted((r.id - shift, r.learner, r.vote) for r in P.predict_votes(b, samples).collect()))
+    assert votes[0] == votes[1]
+    assert [v for i, name, v in votes[0] if name == "naive_bayes"] == [-1, -1, 1]
+
+
 def test_html(spark):
     from wordtally.functions import html as H
 
