@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from wordtally.functions import text as T
 from wordtally.functions.hashing import in_sample
+from wordtally.operators.joins import checked_broadcast
 from wordtally.operators.ranking import dense_index
 from wordtally.options import TransformOptions
 from wordtally.session import reliable_checkpoint
@@ -112,9 +113,27 @@ class DictionaryBuilder:
         )
 
     def fit(self, selection: DataFrame) -> DictionaryModel:
-        o = self.options
         sample = self.sample(selection)
-        dfs = reliable_checkpoint(self.document_frequencies(sample))
+        return self._from_frequencies(self.document_frequencies(sample), sample.select("id"))
+
+    def fit_bag(self, rows: DataFrame, bag: DataFrame) -> DictionaryModel:
+        """Fit on documents whose words are counted already: ``rows`` has ``id``
+        and ``class_label``, ``bag`` one row per (``id``, ``word``), negations joined."""
+        o = self.options
+        sample = self.sample(rows).select("id", F.when(F.col("class_label") == "pos", 1).otherwise(0).alias("_pos"))
+        own = F.array("word")
+        if o.stop:
+            own = T.remove_stopwords(own, list(o.stopwords) if o.stopwords is not None else None)
+        words = bag.where(F.size(T.min_length(own, o.min_tlen)) > 0).join(checked_broadcast(sample), "id").select("_pos", "word")
+        counted = words.unionByName(sample.select("_pos", F.lit(None).cast("string").alias("word")))
+        dfs = counted.groupBy("word").agg(
+            F.sum("_pos").cast("long").alias("pos_df"), F.sum(1 - F.col("_pos")).cast("long").alias("neg_df")
+        )
+        return self._from_frequencies(dfs, sample.select("id"))
+
+    def _from_frequencies(self, frequencies: DataFrame, sample_ids: DataFrame) -> DictionaryModel:
+        o = self.options
+        dfs = reliable_checkpoint(frequencies)
         counts = dfs.where(F.col("word").isNull()).select("pos_df", "neg_df").first()
         n_pos, n_neg = (int(counts[0]), int(counts[1])) if counts else (0, 0)
 
@@ -145,5 +164,5 @@ class DictionaryBuilder:
             n_pos=n_pos,
             n_neg=n_neg,
             options=o,
-            sample_ids=sample.select("id"),
+            sample_ids=sample_ids,
         )

@@ -135,8 +135,9 @@ def label_update(registry: DataFrame, labels: DataFrame) -> DataFrame:
     """J2 + W6: label rows (path, class_label, error_cost, success_gain, seq
     [, xpath]) matched to the registry by original url, first registry row per
     url (lowest id); several label rows for one url: the last one wins. A
-    block selector on an html row is stored (Q2) and, as in the reference,
-    asks for a new tokenization."""
+    block selector on an html row is stored (Q2) and drops the row's
+    tokenization: a ``tokenization_id`` of the registry becomes null, so the
+    next tokenization picks the row up."""
     first = registry.groupBy("original_url").agg(F.min("id").alias("id"))
     lab = labels
     if "xpath" not in lab.columns:
@@ -147,6 +148,8 @@ def label_update(registry: DataFrame, labels: DataFrame) -> DataFrame:
     hit = first.join(last, "original_url").select("id", "l")
     out = registry.join(hit, "id", "left")
     new_xpath = F.when(F.col("l").isNotNull() & F.col("l.xpath").isNotNull() & (F.col("file_type") == "html"), F.col("l.xpath"))
+    if "tokenization_id" in registry.columns:
+        out = out.withColumn("tokenization_id", F.when(new_xpath.isNull(), F.col("tokenization_id")))
     return out.select(
         *[c for c in registry.columns if c not in ("class_label", "error_cost", "success_gain", "xpath")],
         F.coalesce("l.class_label", "class_label").alias("class_label"),

@@ -92,6 +92,11 @@ class TransformationModel:
         counted = exploded.groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
         return counted.join(d, "word").select("id", "word", "idx", "tf")
 
+    def corpus_idf(self) -> DataFrame:
+        """``idx, idf`` over the materialised bag of the fitting selection."""
+        dfs = self.fit_bag.groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
+        return reliable_checkpoint(dfs.select("idx", (F.log((F.lit(self.n_corpus) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+
     def term_counts(self, docs: DataFrame) -> DataFrame:
         """Count matrix in long form ``id, idx, value``."""
         return self.bag(docs).select("id", "idx", F.col("tf").cast("double").alias("value"))
@@ -165,9 +170,7 @@ def fit_transformation(selection: DataFrame, options: TransformOptions | None =
     if o.tfidf and not o.boolean:
         tm.fit_bag = reliable_checkpoint(tm.bag(selection))
         tm.fit_docs = selection
-        dfs = tm.fit_bag.groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
-        idf = dfs.select("idx", (F.log((F.lit(n_corpus) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-        tm.idf = reliable_checkpoint(idf)
+        tm.idf = tm.corpus_idf()
     return tm
 
 

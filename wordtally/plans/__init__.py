@@ -37,4 +37,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module (each registers on import)."""
-    from wordtally.plans import q_dictionary, q_evaluate, q_html, q_learn, q_predict, q_registry, q_text, q_vectorize  # noqa: F401
+    from wordtally.plans import q_dictionary, q_evaluate, q_html, q_learn, q_merged, q_predict, q_registry, q_text, q_vectorize  # noqa: F401

@@ -96,7 +96,7 @@ def labelled_selection(spark: SparkSession, sf_dir: str, min_sentences: int = 1)
     from wordtally.operators.registry import select_docs
     from wordtally.session import reliable_checkpoint
 
-    key = (id(spark), sf_dir, min_sentences)
+    key = (spark.sparkContext.applicationId, sf_dir, min_sentences)
     if key not in _SELECTIONS:
         sel = select_docs(tokenized(announcements(spark, sf_dir)), min_sentences=min_sentences)
         _SELECTIONS[key] = reliable_checkpoint(sel.drop("text"))
