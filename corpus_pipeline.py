@@ -12,7 +12,7 @@ columns of ``documents``.
 5. packing: the pieces of all texts and their places in windows.
 
 ``ORACLE_SQL`` is None: the forest of stage 4 and the tokenizer and least squares
-of stage 5 have no SQL form. ``tests/llm/test_pipeline.py`` holds the result
+of stage 5 have no SQL form. ``tests/llm/test_models_and_pages.py`` holds the result
 against brute-force versions.
 """
 
