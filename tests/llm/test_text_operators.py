@@ -139,6 +139,30 @@ def test_substring_dedup(make_docs, work, rows, hot, monkeypatch):
         assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_substring_dedup_rows_that_share_an_id(make_docs, work, broadcast, monkeypatch):
+    from wordtally.llm import substring_dedup as D
+    from wordtally.llm.common import Work
+
+    monkeypatch.setattr(D, "REPEATED_IDS", broadcast, raising=False)
+    words = {k: " ".join(passage(900 + k, n)) for k, n in enumerate((30, 10, 50, 90, 40, 80, 5, 40, 70))}
+    texts = [(3, f"{words[1]} {words[0]}"), (None, f"{words[0]} {words[2]}"), (None, words[3]), (None, f"{words[4]} {words[0]}"),
+             (None, words[3]), (7, words[5]), (7, f"{words[6]} {words[0]} {words[7]}"), (8, words[8])]
+    places = {}
+    for d, t in texts:
+        w = t.split()
+        for s in range(len(w) - 19):
+            places.setdefault(tuple(w[s : s + 20]), []).append((D._NO_ID if d is None else d, s))
+    want = []
+    for d, t in texts:
+        w, key = t.split(), D._NO_ID if d is None else d
+        gone = {k for s in range(len(w) - 19) if min(places[tuple(w[s : s + 20])]) < (key, s) for k in range(s, s + 20)}
+        want.append((str(d), len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    out = D.deduplicate(make_docs([(d, t, "en", "web") for d, t in texts]), Work(work.spark)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in out) == sorted(want)
+    assert sorted(n for _, _, n, _ in want) == [0, 0, 0, 0, 0, 30, 30, 30]
+
+
 def test_fm_index_matching_statistics():
     from wordtally.llm.fm_index import FMIndex
 

@@ -23,8 +23,9 @@ others, so no shard depends on the size of a group.
 Words are compared by 64-bit hashes when segments are grouped and as words in
 the index. Defined cases: a null or empty text has no words; texts shorter than a window lose
 nothing; a null ``doc_id`` comes after all others; rows with one ``doc_id`` are
-one place (equal positions are not earlier than each other); an empty table
-gives no rows.
+one place (equal positions are not earlier than each other), but a cut goes only
+to rows with the text it was found in (told apart by a 64-bit hash of the text
+where an id is not one row's alone); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ GRAM = 3
 SHARD_TOKENS = 250_000
 #: Occurrences of a minimizer beyond which its windows are keyed one by one: as many segments as fill a shard.
 HOT_ROWS = SHARD_TOKENS // 28
+#: Ids of several rows that are broadcast, at most; beyond, every row is told apart by its text.
+REPEATED_IDS = 200_000
 _NO_ID = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,6 +58,23 @@ def _key(doc_id):
     return F.coalesce(doc_id, F.lit(_NO_ID))
 
 
+def repeated_ids(docs: DataFrame, work: Work) -> DataFrame | None:
+    """(r_doc): the ids that several rows have; None if they are too many to broadcast."""
+    per = docs.groupBy(_key(F.col("doc_id")).alias("r_doc")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = work.store(per.where("n > 1").select("r_doc"), "repeated_ids")
+    return repeated if repeated.count() <= REPEATED_IDS else None
+
+
+def placed(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``docs`` with their place: c_doc, and c_part, which is 0 for the only row of an id and else a hash of the text."""
+    d = docs.withColumn("c_doc", _key(F.col("doc_id")))
+    text = F.xxhash64("text")
+    if repeated is None:
+        return d.withColumn("c_part", text)
+    j = d.join(F.broadcast(repeated), F.col("c_doc") == F.col("r_doc"), "left")  # at most REPEATED_IDS rows
+    return j.withColumn("c_part", F.when(F.col("r_doc").isNull(), F.lit(0)).otherwise(text).cast("long")).drop("r_doc")
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
@@ -99,29 +119,32 @@ def segments(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return grams[least[first]].view(np.int64), hasher.runs(first, end).view(np.int64), first, end - first
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """Every segment of every document: (mini, content, doc, start, len)."""
+def occurrences(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """Every segment of every document: (mini, content, doc, part, start, len)."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
-                for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
+                for doc, which, text in zip(part.column("c_doc").to_pylist(), part.column("c_part").to_pylist(), part.column("text").to_pylist()):
                     if text:
                         m, c, s, length = segments(word_hashes(text.encode().split()))
-                        out.append((m, c, np.full(len(m), doc, dtype=np.int64), s, length))
+                        out.append((m, c, np.full(len(m), doc, dtype=np.int64), np.full(len(m), which, dtype=np.int64), s, length))
                 if out:
-                    m, c, d, s, n = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(c), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["mini", "content", "doc", "start", "len"])
+                    m, c, d, w, s, n = (np.concatenate(x) for x in zip(*out))
+                    cols = [pa.array(x) for x in (m, c, d, w, s.astype(np.int32), n.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, ["mini", "content", "doc", "part", "start", "len"])
 
-    return docs.select(_key(F.col("doc_id")).alias("doc"), "text").mapInArrow(run, "mini long, content long, doc long, start int, len int")
+    need = placed(docs.select("doc_id", "text"), repeated).select("c_doc", "c_part", "text")
+    return need.mapInArrow(run, "mini long, content long, doc long, part long, start int, len int")
 
 
-def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _cut(docs: DataFrame, wanted: DataFrame, repeated: DataFrame | None) -> DataFrame:
     """The words of the wanted segments, fetched from the document of their first place; a hot one is cut into its windows."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("mini", "content", "start", "len", "n", "hot")).alias("parts"))
-    j = docs.select(_key(F.col("doc_id")).alias("doc"), "text").join(lists, "doc")
+    lists = wanted.groupBy("doc", "part").agg(F.collect_list(F.struct("mini", "content", "start", "len", "n", "hot")).alias("parts"))  # segments of one text
+    need = placed(docs.select("doc_id", "text"), repeated).select(F.col("c_doc").alias("doc"), F.col("c_part").alias("part"), "text")
+    j = need.join(lists, ["doc", "part"])
 
     def run(batches):
         names = ["key", "mini", "content", "off", "doc", "start", "n", "hot", "words"]
@@ -139,7 +162,7 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     content = hasher.runs(np.where(inside, begin, 0), np.where(inside, end, 0)).view(np.int64).tolist()
                     for p, s, e, ok, c in zip(parts, begin.tolist(), end.tolist(), inside.tolist(), content):
                         if not ok or c != p["content"]:
-                            continue  # another row with this id
+                            continue  # another text with this id and hash
                         if p["hot"]:
                             w = np.arange(s, e - WINDOW + 1)
                             for o, k in enumerate(hasher.runs(w, w + WINDOW).view(np.int64).tolist()):
@@ -204,18 +227,18 @@ def _reports(rows: DataFrame, n_rows: int, width: int) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(lambda pdf: index_shard(pdf), "key long, content long, off int, doc0 long, start0 int")
 
 
-def removals(docs: DataFrame, work: Work) -> DataFrame:
-    """(doc, cuts): for each document that loses words, the starts of its windows that occur earlier."""
-    occ = work.store(occurrences(docs), "occ")
+def removals(docs: DataFrame, work: Work, repeated: DataFrame | None) -> DataFrame:
+    """(doc, part, cuts): for each place that loses words, the starts of its windows that occur earlier."""
+    occ = work.store(occurrences(docs, repeated), "occ")
     # stored, so that the join below shuffles both sides plainly and a frequent minimizer can be split
     twice = work.store(occ.groupBy("mini").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "twice")
     work.release()
     cand = work.store(occ.join(twice, "mini"), "cand")
     work.drop("occ")
     work.drop("twice")
-    first = cand.groupBy("mini", "content").agg(F.min(F.struct("doc", "start", "len")).alias("f"), F.count(F.lit(1)).alias("n"), F.max("times").alias("times"))
-    wanted = first.select("mini", "content", "f.doc", "f.start", "f.len", "n", (F.col("times") > HOT_ROWS).alias("hot"))
-    parts = work.store(_cut(docs, wanted), "parts")
+    first = cand.groupBy("mini", "content").agg(F.min(F.struct("doc", "start", "len", "part")).alias("f"), F.count(F.lit(1)).alias("n"), F.max("times").alias("times"))
+    wanted = first.select("mini", "content", "f.doc", "f.part", "f.start", "f.len", "n", (F.col("times") > HOT_ROWS).alias("hot"))
+    parts = work.store(_cut(docs, wanted, repeated), "parts")
     work.release()
     plain = parts.where("NOT hot")
     seen = _reports(plain.select("key", "content", "doc", "start", "n", "words"), plain.count(), 28)
@@ -231,9 +254,9 @@ def removals(docs: DataFrame, work: Work) -> DataFrame:
     lists = work.store(lists, "reports")
     work.drop("parts")
     work.drop("windows")
-    j = cand.select("mini", "content", "doc", "start").join(lists, ["mini", "content"])
-    cuts = j.select("doc", F.expr("transform(filter(w, x -> x.doc0 < doc OR (x.doc0 = doc AND x.start0 < start + x.off)), x -> start + x.off)").alias("c"))
-    cuts = work.store(cuts.where("size(c) > 0").groupBy("doc").agg(F.flatten(F.collect_list("c")).alias("cuts")), "cuts")  # windows of one document
+    j = cand.select("mini", "content", "doc", "part", "start").join(lists, ["mini", "content"])
+    cuts = j.select("doc", "part", F.expr("transform(filter(w, x -> x.doc0 < doc OR (x.doc0 = doc AND x.start0 < start + x.off)), x -> start + x.off)").alias("c"))
+    cuts = work.store(cuts.where("size(c) > 0").groupBy("doc", "part").agg(F.array_distinct(F.flatten(F.collect_list("c"))).alias("cuts")), "cuts")  # windows of one text
     work.drop("cand")
     work.drop("reports")
     return cuts
@@ -257,9 +280,10 @@ def kept_words(text: str | None, cuts: list[int] | None) -> tuple[int, int, byte
 def deduplicate(docs: DataFrame, work: Work, keep: str = "", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text, and the ``keep`` columns) of every document."""
     more = ddl_names(keep)
-    cuts = removals(docs, work).withColumnRenamed("doc", "c_doc")
-    need = docs.select(*dict.fromkeys(["doc_id", "text", *more]))
-    j = need.join(cuts, _key(need.doc_id) == cuts.c_doc, "left").drop("c_doc")
+    repeated = repeated_ids(docs, work)
+    cuts = removals(docs, work, repeated).withColumnsRenamed({"doc": "c_doc", "part": "c_part"})
+    need = placed(docs.select(*dict.fromkeys(["doc_id", "text", *more])), repeated)
+    j = need.join(cuts, ["c_doc", "c_part"], "left").drop("c_doc", "c_part")
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         rows = [kept_words(t, c) for t, c in zip(cols["text"], cols["cuts"])]
