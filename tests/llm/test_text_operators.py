@@ -281,6 +281,45 @@ def test_secret_scan_and_mask(make_docs, work, rows):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_secret_forms(make_docs, work):
+    from wordtally.llm import secrets as S
+
+    def hexes(i, n=40):
+        return hashlib.sha256(f"s{i}".encode()).hexdigest()[:n]
+
+    def b64(i, n):
+        return base64.b64encode(hashlib.sha512(f"k{i}".encode()).digest()).decode()[:n]
+
+    forms = {
+        "run": lambda i: (f"set API_KEY=sk_live_{hexes(i, 24)} now", [f"sk_live_{hexes(i, 24)}"]),
+        "quoted": lambda i: (f'call with api_key="{hexes(i, 32)}" here', [hexes(i, 32)]),
+        "short": lambda i: (f"use password=pw-{hexes(i, 6)} or db_password: Zq{hexes(i, 5)}! there", [f"pw-{hexes(i, 6)}", f"Zq{hexes(i, 5)}"]),
+        "aws": lambda i: (f"the id AKIA{hexes(i, 16).upper()} stands alone", [f"AKIA{hexes(i, 16).upper()}"]),
+        "github": lambda i: (f"clone ghp_{hexes(i, 36)} alone", [f"ghp_{hexes(i, 36)}"]),
+        "pem": lambda i: (f"-----BEGIN RSA PRIVATE KEY-----\n{b64(i, 64)}\n{b64(-i - 1, 10)}\n-----END RSA PRIVATE KEY----- end", [b64(i, 64), b64(-i - 1, 10)]),
+    }
+    rows, want = [], {}
+    for k, (name, form) in enumerate(forms.items()):
+        for i in range(15):
+            text, found = form(100 * k + i)
+            rows.append((1000 + 100 * k + i, f"word aninternationalisation and 4929348385146306 {text} the secret: we went", "en", "a"))
+            want[rows[-1][0]] = name, found
+    docs = make_docs(rows)
+    judged = {(r.doc_id, r.value): r.is_secret for r in S.scan(docs, work).collect()}
+    masked = {r.doc_id: r.text for r in S.mask(docs, work).collect()}
+    for d, (name, found) in want.items():
+        for v in found:
+            assert judged.get((d, v)), (name, v)
+            assert v not in masked[d], (name, masked[d])
+        assert not judged[d, "aninternationalisation"] and not judged[d, "4929348385146306"]
+        assert masked[d].endswith("the secret: we went") and not judged[d, "we"]
+    # one form, and no rows of the rule in the training fold at all
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert held
+    alone = {(r.doc_id, r.value): r.is_secret for r in S.scan(make_docs(held), work).collect()}
+    assert all(alone[r[0], v] for r in held for v in want[r[0]][1]) and not any(alone[r[0], "aninternationalisation"] for r in held)
+
+
 def test_empty_tables(spark, make_docs, work):
     import public_tokenizers as P
 

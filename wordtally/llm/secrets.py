@@ -1,9 +1,16 @@
 """Secret scan with a random forest against false positives (operator 1), on DataFrame functions only.
 
-Candidates are long runs of token characters. A forest (pyspark.ml) judges each
+Candidates are long runs of token characters (the value alone where a name is
+assigned it within the word), whatever is assigned to a secret's name, however
+short, and all lines of a private key block. A forest (pyspark.ml) judges each
 by its length, the transitions between character classes, how much of it the
-corpus dictionary covers, the path it was found under and the words around it.
-It is trained on labelled findings: candidates with a 0/1 label.
+corpus dictionary covers, whether its form or name is a secret's, the path it was
+found under and the words around it. For an assignment within a word the word to
+the left is the name; lines of a private key have the key's header to their left.
+It is trained on labelled findings: candidates with a 0/1 label. Without such a
+table, those that a rule decides are learnt from: known key formats, key blocks
+and named values are 1, plainly harmless runs (words, numbers, paths of words,
+named checksums) and placeholders are 0, all others stay unlabelled.
 
 The dictionary holds the ``DICTIONARY`` words found in most documents, counted
 over the whole corpus. The forest is fitted on at most ``MAX_ROWS`` findings of
@@ -12,7 +19,8 @@ neighbouring words come from these rows too, so they are bounded and broadcast.
 
 Defined cases: a null or empty text has no candidates; null labels are not
 learnt from; without findings of both labels every candidate gets the share of
-positive ones (0 without any); null paths and missing neighbours have log odds of
+positive ones (0 without any), or the rule's label (0 without one) where the
+findings come from the rule; null paths and missing neighbours have log odds of
 their own; repeated rows are scanned one by one; extra columns are ignored; an
 empty table gives no rows.
 """
@@ -30,7 +38,22 @@ from wordtally.llm.common import Work, in_training_fold
 CANDIDATE = "[A-Za-z0-9_+/=-]{16,}"
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Names that are given secrets as values, for findings labelled by rule.
-SECRET_NAME = "(?i)^\\W*\\w*(token|secret|passw|pwd|apikey|api_key|access_key|private_key|credential|auth)\\w*\\W*$"
+_NAME = "[\\w.-]{0,64}(?:token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?!or))[\\w.-]{0,64}"
+_ASSIGNED = "[\"'\\]]{0,2}(?::=|=>|[=:])(?![=:]|//)"
+#: Names that are given secrets as values, for findings labelled by rule.
+SECRET_NAME = f"(?i)^\\W*{_NAME}\\W*$"
+_VALUE = "[^\\s\"'`,;&<>(){}\\[\\]]+"
+#: A secret's name and its value, of any length, in one word; any name and a candidate in one word.
+NAMED_VALUE = f"(?i)({_NAME}{_ASSIGNED})[\"'`]{{0,3}}({_VALUE})"
+OTHER_VALUE = f"([A-Za-z_][\\w.-]{{0,64}}{_ASSIGNED})[\"'`]{{0,3}}({CANDIDATE})"
+KNOWN_FORMAT = (
+    "^(?:(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\\w{22,}|glpat-[\\w-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|"
+    "[sr]k_(?:live|test)_[A-Za-z0-9]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[\\w-]{35}|npm_[A-Za-z0-9]{36}|eyJ[\\w-]{13,})$"
+)
+_PROSE = "^\\p{L}+[.!?:]*$"
+_PLACEHOLDER = "(?i)^(?:\\$.*|%.*|null|none|nil|true|false|undefined|x+|\\*+|\\.+|(?:os|process)\\..*)$"
+_HARMLESS = "^(?:[A-Za-z]?[a-z]+|[A-Z]+|[-_=+/0-9]+|/?[A-Za-z]?[a-z]+(?:[-_/][A-Za-z]?[a-z]*)+)$"
+_CHECKSUM = "(?i)(?:sha\\d*|md5|commit|checksum|digest|integrity|etag|crc\\d*)\\W*$"
 DICTIONARY = 300
 MAX_ROWS = 5_000
 TREES = 20
@@ -41,22 +64,82 @@ MASK = "[SECRET]"
 _CLASSES = {"v": "aeiouy", "c": "bcdfghjklmnpqrstvwxz", "U": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "d": "0123456789", "o": "_+/=-"}
 
 
+def _named(left2: Column, left1: Column) -> Column:
+    return left1.rlike("^\\W*[=:]\\W*$") & left2.rlike(SECRET_NAME) | left1.rlike(SECRET_NAME.replace("\\W*$", "[\"'\\]\\s]*[=:]+\\W*$"))
+
+
+def _in_key(left2: Column, left1: Column) -> Column:
+    return (left2 == "PRIVATE") & (left1 == "KEY-----")
+
+
+def _values(left2: Column, left1: Column, x: Column, in_key: Column) -> Column:
+    """(left2, left1, value) of every candidate in a word: the lines of a key, what is assigned in the word, other long runs."""
+
+    def at(l2: Column, l1: Column, v: Column) -> Column:
+        return F.struct(l2.alias("left2"), l1.alias("left1"), v.alias("value"))
+
+    def assigned(word: Column, pattern: str) -> Column:
+        return F.zip_with(F.regexp_extract_all(word, F.lit(pattern), F.lit(1)), F.regexp_extract_all(word, F.lit(pattern), F.lit(2)), lambda n, v: at(left1, n, v))
+
+    def runs(word: Column) -> Column:
+        return F.transform(F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0)), lambda v: at(left2, left1, v))
+
+    rest = F.regexp_replace(x, NAMED_VALUE, " ")
+    other = F.concat(assigned(x, NAMED_VALUE), assigned(rest, OTHER_VALUE), runs(F.regexp_replace(rest, OTHER_VALUE, " ")))
+    quoted, bare = F.regexp_extract(x, "^[\"'`]+([^\"'`\\s]+)", 1), F.regexp_extract(x, f"({_VALUE}?)[.!?#$*]*(?:[\"'`,;&<>(){{}}\\[\\]]|$)", 1)
+    whole = F.when(quoted != "", quoted).when(~x.rlike(CANDIDATE), bare).otherwise(F.lit(""))
+    lines = F.transform(F.regexp_extract_all(x, F.lit("[A-Za-z0-9+/=]+"), F.lit(0)), lambda v: at(F.lit("PRIVATE"), F.lit("KEY-----"), v))
+    named = F.coalesce(_named(left2, left1), F.lit(False)) & ~x.rlike(NAMED_VALUE)
+    return F.when(in_key, lines).when(named & (whole != ""), F.array(at(left2, left1, whole))).otherwise(other)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """One row per candidate: doc_id, path, word_index, run (within the word), value and the words around it."""
-    words = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", F.col("source").alias("path"), F.split("text", SPACE).alias("w"))
-    hits = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(CANDIDATE))
+    likely = F.col("text").rlike(f"{CANDIDATE}|PRIVATE KEY-----|(?i:{_NAME})[\"'`\\]\\s]{{0,4}}[=:]")
+    words = docs.where(likely).select("doc_id", F.col("source").alias("path"), "text", F.split("text", SPACE).alias("w"))
+
+    def word(i: Column, back: int) -> Column:
+        return F.get("w", i - back)
+
+    every = F.sequence(F.lit(0), F.size("w") - 1)
+    begins = F.filter(every, lambda i: word(i, 0).startswith("KEY-----") & (word(i, 1) == "PRIVATE") & (word(i, 2).endswith("-----BEGIN") | word(i, 3).endswith("-----BEGIN") & ~word(i, 2).endswith("-----END")))
+    ends = F.filter(every, lambda i: word(i, 0).contains("-----END"))
+    none, key = F.array().cast("array<int>"), F.col("text").contains("PRIVATE KEY-----")
+    words = words.withColumn("begins", F.when(key, begins).otherwise(none)).withColumn("ends", F.when(key, ends).otherwise(none))
+
+    def in_key(i: Column) -> Column:
+        begin = F.array_max(F.filter("begins", lambda b: b < i))
+        return F.when(F.size("begins") == 0, False).otherwise(F.coalesce(begin > F.coalesce(F.array_max(F.filter("ends", lambda e: e <= i)), F.lit(-1)), F.lit(False)))
+
+    def wanted(s: Column) -> Column:
+        i, x = s["i"], s["x"]
+        after = word(i, 1).rlike("[=:]") & _named(word(i, 2), word(i, 1))
+        return x.rlike(CANDIDATE) | x.rlike(NAMED_VALUE) | F.coalesce(after, F.lit(False)) | in_key(i)
+
+    hits = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), wanted)
     c = words.select("doc_id", "path", F.explode(F.transform(hits, lambda s: F.struct(
-        s["i"].alias("i"), s["x"].alias("x"),
-        F.get("w", s["i"] - 2).alias("left2"), F.get("w", s["i"] - 1).alias("left1"), F.get("w", s["i"] + 1).alias("right1"),
+        s["i"].alias("i"), word(s["i"], -1).alias("right1"), _values(word(s["i"], 2), word(s["i"], 1), s["x"], in_key(s["i"])).alias("found"),
     ))).alias("h"))
-    runs = F.posexplode(F.regexp_extract_all("h.x", F.lit(CANDIDATE), F.lit(0)))
-    return c.select("doc_id", "path", F.col("h.i").cast("long").alias("word_index"), "h.left2", "h.left1", "h.right1", runs.alias("run", "value"))
+    c = c.select("doc_id", "path", F.col("h.i").cast("long").alias("word_index"), "h.right1", F.posexplode("h.found").alias("run", "v"))
+    return c.select("doc_id", "path", "word_index", "v.left2", "v.left1", "right1", "run", "v.value")
+
+
+def rule_label(words: list[str]) -> Column:
+    """1 for known key formats, lines of private keys and named values, 0 for plainly harmless ones and words of the dictionary, else null."""
+    value, left2, left1 = F.col("value"), F.col("left2"), F.col("left1")
+    checksum = value.rlike("^[0-9a-fA-F]+$") & (left1.rlike(_CHECKSUM) | left1.rlike("^\\W*[=:]\\W*$") & left2.rlike(_CHECKSUM))
+    word = F.regexp_replace(F.lower(value), "[.!?:]+$", "")
+    common = value.rlike(_PROSE) & ((F.length(word) <= 3) | word.isin(words))
+    return (
+        F.when(value.rlike(KNOWN_FORMAT) | _in_key(left2, left1), 1)
+        .when(_named(left2, left1), F.when(value.rlike(_PLACEHOLDER) | common, 0).when(~value.rlike(_PROSE), 1))
+        .when(value.rlike(_HARMLESS) | checksum, 0)
+    )
 
 
-def labelled_by_assignment(cands: DataFrame) -> DataFrame:
-    """Findings of the training fold, labelled 1 where a secret's name is assigned the candidate, else 0."""
-    named = F.col("left1").rlike("^\\W*[=:]\\W*$") & F.col("left2").rlike(SECRET_NAME) | F.col("left1").rlike(SECRET_NAME.replace("\\W*$", "\\s*[=:]+\\W*$"))
-    return cands.where(in_training_fold(F.col("doc_id"))).withColumn("label", F.coalesce(named, F.lit(False)).cast("int"))
+def labelled_by_rule(cands: DataFrame, words: list[str]) -> DataFrame:
+    """Findings of the training fold that the rule decides."""
+    return cands.where(in_training_fold(F.col("doc_id"))).withColumn("label", rule_label(words)).where("label IS NOT NULL")
 
 
 def dictionary(docs: DataFrame) -> list[str]:
@@ -76,6 +159,9 @@ def _shape(words: list[str]) -> dict[str, Column]:
         for b in _CLASSES:
             out[f"f_{a}{b}"] = F.regexp_count(cls, F.lit(f"{a}(?={b})")) / n
     known = "|".join(sorted(words, key=lambda x: (-len(x), x))) or "(?!)"
+    left2, left1 = F.col("left2"), F.col("left1")
+    for name, c in (("named", _named(left2, left1)), ("key", _in_key(left2, left1)), ("format", value.rlike(KNOWN_FORMAT))):
+        out[f"f_is_{name}"] = F.coalesce(c, F.lit(False)).cast("double")
     out["f_covered"] = F.lit(1.0) - F.length(F.regexp_replace(F.lower(value), f"(?:{known})", "")) / n
     return out
 
@@ -99,8 +185,8 @@ def _with_context(rows: DataFrame, odds: dict[str, DataFrame]) -> DataFrame:
     return rows.fillna(0.0, subset=[f"f_{c}" for c in odds])
 
 
-def judge(cands: DataFrame, findings: DataFrame, words: list[str], work: Work) -> DataFrame:
-    """Candidates with ``probability`` and ``is_secret``; ``findings`` are labelled candidates."""
+def judge(cands: DataFrame, findings: DataFrame, words: list[str], work: Work, rule: Column | None = None) -> DataFrame:
+    """Candidates with ``probability`` and ``is_secret``; ``findings`` are labelled candidates; ``rule`` stands in if no forest can be fitted."""
     known = findings.where(F.col("label").isin(0, 1)).select("value", *_CONTEXT, F.col("label").cast("long").alias("label"))
     by_hash = F.xxhash64("value", "left2", "left1", "right1", "path")
     sample = [known.where(F.col("label") == y).orderBy(by_hash, "value").limit(MAX_ROWS) for y in (0, 1)]
@@ -108,7 +194,7 @@ def judge(cands: DataFrame, findings: DataFrame, words: list[str], work: Work) -
     per = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = ["doc_id", "word_index", "run", "value", "left2", "left1", "right1", "path"]
     if len(per) < 2:
-        p = F.lit(1.0 if per.get(1) else 0.0)
+        p = F.lit(1.0 if per.get(1) else 0.0) if rule is None else F.coalesce(rule.cast("double"), F.lit(0.0))
         return cands.select(*out, p.alias("probability"), (p >= THRESHOLD).alias("is_secret"))
     shape = _shape(words)
     odds = {c: work.store(_odds(train, c), f"odds_{c}") for c in _CONTEXT}
@@ -122,10 +208,18 @@ def judge(cands: DataFrame, findings: DataFrame, words: list[str], work: Work) -
 
 
 def scan(docs: DataFrame, work: Work, findings: DataFrame | None = None) -> DataFrame:
-    """Judged candidates of all documents; without labelled findings, those labelled by assignment are learnt from."""
+    """Judged candidates of all documents; without labelled findings, those labelled by rule are learnt from."""
     words = dictionary(docs)
     found = work.store(candidates(docs), "candidates")
-    return judge(found, labelled_by_assignment(found) if findings is None else findings, words, work)
+    if findings is None:
+        return judge(found, labelled_by_rule(found, words), words, work, rule_label(words))
+    return judge(found, findings, words, work)
+
+
+def _masked(text: Column, value: Column) -> Column:
+    """A long value goes wherever it stands, a short one as a whole where it is assigned or stands in a line of a key."""
+    quoted = F.concat(F.lit("(?<=[=:>][\\s\"'`]{0,6}|[\\s`'\"]KEY-----[\\s]{0,3}|[\\n])\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9_])"))
+    return F.when(F.length(value) >= 16, F.replace(text, value, F.lit(MASK))).otherwise(F.regexp_replace(text, quoted, F.lit(MASK)))
 
 
 def mask(docs: DataFrame, work: Work) -> DataFrame:
@@ -133,5 +227,5 @@ def mask(docs: DataFrame, work: Work) -> DataFrame:
     secret = scan(docs, work).where("is_secret").groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_set("value").alias("found"))  # of one document
     longest = F.array_sort("found", lambda a, b: F.length(b) - F.length(a))
     j = docs.join(secret.withColumn("found", longest), docs.doc_id.eqNullSafe(F.col("s_id")), "left")
-    masked = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.aggregate("found", F.col("text"), lambda t, x: F.replace(t, x, F.lit(MASK))))
+    masked = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.aggregate("found", F.col("text"), _masked))
     return j.withColumn("text", masked).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
