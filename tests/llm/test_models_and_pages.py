@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 SF = "/root/testdata/sf0.01"
 
@@ -29,6 +30,21 @@ def test_classifiers(spark, make_docs, work):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in q.collect())
 
 
+@pytest.mark.parametrize("cap", [4_000, 40])
+def test_toxicity_keeps_the_balance_of_the_labelled_rows(spark, make_docs, cap, monkeypatch):
+    from wordtally.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "MAX_ROWS", cap)
+    # a word found in 80 % of 60 toxic rows and 15 % of 600 clean ones: toxic with a probability of about 48 / 138
+    rows = [(i, i < 60, (i % 5 != 0) if i < 60 else (i % 20 < 3)) for i in range(660)]
+    docs = make_docs([(3 * i, f"some plain words {'zyxwvut' if bad else 'common'} here", "en", "a") for i, _, bad in rows])
+    labels = spark.createDataFrame([(3 * i, int(toxic)) for i, toxic, _ in rows], "doc_id long, toxic int")
+    out = {r.doc_id: r.score for r in toxicity.score(docs, *toxicity.train(docs, labels)).collect()}
+    scores = np.array([out[3 * i] for i, _, bad in rows if bad])
+    assert 0.15 < scores.mean() < 0.5, scores.mean()
+    assert abs(np.mean(list(out.values())) - 60 / 660) < 0.04, np.mean(list(out.values()))
+
+
 def test_graph_index(spark, work):
     from wordtally.llm import vamana
 

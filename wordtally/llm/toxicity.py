@@ -7,9 +7,13 @@ ratio is not clearly away from zero are left out. A logistic regression is
 fitted on presence times ratio, and every document is scored by the sum of the
 weights of its n-grams.
 
-The model is fitted in one task on at most ``MAX_ROWS`` training rows of each
-class (those with the least hash of ``doc_id``); its table of weights has at
-most 2^BITS rows, so it travels inside the scoring function.
+The log-count ratios count all labelled training rows in one aggregation of at
+most 2^BITS features. The regression is fitted in one task on at most
+``MAX_ROWS`` training rows of each class (those with the least hash of
+``doc_id``), each weighted by the rows of its class that it stands for, so the
+balance of the classes is that of all labelled rows, whatever the cap leaves.
+The table of weights has at most 2^BITS rows, so it travels inside the scoring
+function.
 
 Defined cases: a null or empty text has no features and gets the score of the
 intercept; null labels are not learnt from; without rows of both classes every
@@ -21,10 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordtally.llm.common import in_training_fold, map_rows
+from wordtally.llm.common import in_training_fold, map_rows, slices
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -66,15 +71,18 @@ def features(text: str | None) -> np.ndarray:
     return np.nonzero(flags)[0].astype(np.int32)
 
 
-def fit(label: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
-    """(feature ids, weights on presence, intercept): logistic regression on presence times log-count ratio."""
+def fit(label: np.ndarray, rows: list[np.ndarray], p: np.ndarray, q: np.ndarray, totals: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """(feature ids, weights on presence, intercept): weighted logistic regression on presence times log-count ratio.
+
+    ``p`` and ``q`` count the toxic and the clean rows of each feature, ``totals`` all clean and toxic rows; ``rows`` are a sample.
+    """
     none = np.zeros(0, dtype=np.int64), np.zeros(0), -50.0
     pos, neg = label == 1, label == 0
     if not pos.any() or not neg.any():
         return none
     size = 1 << BITS
-    p = np.bincount(np.concatenate([r for r, y in zip(rows, pos) if y] or [[]]).astype(np.int64), minlength=size).astype(float)
-    q = np.bincount(np.concatenate([r for r, y in zip(rows, neg) if y] or [[]]).astype(np.int64), minlength=size).astype(float)
+    weight = np.where(pos, totals[1] / pos.sum(), totals[0] / neg.sum())
+    weight = weight / weight.sum()
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
     error = np.sqrt(1 / (p + 1) + 1 / (q + 1))
     used = np.nonzero((p + q >= LEAST_ROWS) & (np.abs(ratio) - error > LEAST_RATIO))[0]
@@ -92,7 +100,7 @@ def fit(label: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
         z = np.bincount(row, weights=w[col] * value, minlength=len(y)) + b
-        d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
+        d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
         g = np.append(np.bincount(col, weights=d[row] * value, minlength=len(used)) + RIDGE * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
@@ -100,9 +108,31 @@ def fit(label: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return used, w * ratio[used], float(b)
 
 
+def feature_counts(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """(toxic rows, clean rows) of every feature over all labelled rows ``known`` (doc_id, y), and (clean, toxic) rows in all."""
+    rows = docs.where(in_training_fold(F.col("doc_id"))).select("doc_id", "text").join(known.hint("merge"), "doc_id").select("y", "text")  # labels grow with the corpus: no broadcast
+    size = 1 << BITS
+
+    def run(batches):
+        n = np.zeros((2, size + 1), dtype=np.int64)  # the last one counts rows
+        for part in slices(batches):
+            for y, t in zip(part.column("y").to_pylist(), part.column("text").to_pylist()):
+                n[y, features(t)] += 1
+                n[y, size] += 1
+        at = np.nonzero(n.any(axis=0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[1, at]), pa.array(n[0, at])], ["f", "p", "q"])
+
+    found = rows.mapInArrow(run, "f int, p long, q long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    n = np.zeros((2, size + 1))
+    for r in found.collect():  # at most 2^BITS + 1 rows
+        n[:, r["f"]] = r["q"], r["p"]
+    return n[1, :size], n[0, :size], (int(n[0, size]), int(n[1, size]))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.ndarray, float]:
     """(weight of every hashed n-gram, intercept), learnt from labelled rows outside the held-out fold."""
     known = labels.where(F.col(label).isin(0, 1) & in_training_fold(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
+    p, q, totals = feature_counts(docs, known)
     sample = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS) for y in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(sample[0].union(sample[1])), "doc_id")  # bounded by MAX_ROWS
 
@@ -113,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.
 
     def learn(parts):
         pdf = pd.concat([pd.DataFrame({"doc_id": [], "y": [], "f": []}), *parts]).sort_values("doc_id", kind="stable")
-        ids, w, b = fit(pdf["y"].to_numpy().astype(int), [np.asarray(f, dtype=np.int32) for f in pdf["f"]])
+        ids, w, b = fit(pdf["y"].to_numpy().astype(int), [np.asarray(f, dtype=np.int32) for f in pdf["f"]], p, q, totals)
         yield pd.DataFrame({"ids": [ids.tolist()], "w": [w.tolist()], "b": [b]})
 
     model = found.repartition(1).mapInPandas(learn, "ids array<int>, w array<double>, b double").first()
