@@ -94,6 +94,20 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.extract(table(spark, sf_dir, "pages"), Work(spark))
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordtally.llm import lexical
+
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Work(spark))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordtally.llm import merkle
+
+    return merkle.manifest(table(spark, sf_dir, "documents"), Work(spark))
+
+
 def oracle_sql() -> dict[str, str]:
     from wordtally.llm import oracles
 
