@@ -108,6 +108,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), Work(spark))
 
 
+@query
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordtally.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), Work(spark))
+
+
 def oracle_sql() -> dict[str, str]:
     from wordtally.llm import oracles
 
