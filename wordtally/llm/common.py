@@ -7,6 +7,7 @@ import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,3 +102,31 @@ def bucket_of(value: Column) -> Column:
     """
     shift = F.greatest(F.length(F.bin(value)) - 8, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+
+
+#: Most bits of a table made by ``bit_table`` (32 MB).
+MAX_BITS = 1 << 28
+
+
+def bit_table(keys: DataFrame, key: str) -> np.ndarray:
+    """One bit for each value (a 64-bit hash) of a column, modulo the size of the table.
+
+    Built by a grouped ``bit_or``; the driver gets a word for each 64 bits at
+    most, so the table is bounded and can be broadcast whatever the number of
+    keys. A full table lets everything pass: it only spares work, an exact
+    join has to follow.
+    """
+    bits = 1 << 16
+    while bits < min(16 * keys.count(), MAX_BITS):
+        bits <<= 1
+    at = F.col(key).bitwiseAND(F.lit(bits - 1))
+    word = F.call_function("bit_or", F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")))
+    found = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(word.alias("word")).toArrow()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[found["at"].to_numpy()] = found["word"].to_numpy()
+    return table.view(np.uint64)
+
+
+def in_bit_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.astype(np.int64) & (64 * len(table) - 1)
+    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1

@@ -12,9 +12,9 @@ Equal sets are one node, so exact copies never multiply. ``BANDS`` bands of
 ``ROWS`` places give bucket keys; a pair at similarity 0.8 shares no bucket
 with probability 3e-6. In a bucket of several nodes, pairs are compared by
 sketch, one bit a place: at 0.8 the bits that differ exceed ``SKETCH_BITS``
-with probability 1e-7. Nodes joined by such pairs are a group. Within a group
-every pair near by sketch, and not linked already, is verified on the full
-sets. Buckets and groups of any size are dealt over grids of cells bounded by
+with probability 1e-7. Nodes joined by such pairs are a group; the full sets of
+their members alone are made again from the texts. Within a group every pair
+near by sketch, and not linked already, is verified on the full sets. Buckets and groups of any size are dealt over grids of cells bounded by
 rows and set sizes; a cell returns only a spanning forest, found by union-find.
 Components over the links come from ``graph.components``.
 
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordtally.llm.common import Work, map_rows
+from wordtally.llm.common import Work, bit_table, in_bit_table, map_rows, slices
 from wordtally.llm.graph import components, spanning_forest
 
 SHINGLE = 4
@@ -127,23 +127,43 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def _node(elements: np.ndarray) -> int:
+    """Signed 64-bit hash of a set."""
+    return xxhash.xxh64_intdigest(elements.tobytes(), SEED) - (1 << 63)
+
+
 def printed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the set), n, bucket keys, sketch and the set itself."""
+    """doc_id, text_key (hash of the text), node (hash of the set), n, bucket keys and sketch."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         sets = [shingles(t) for t in cols["text"]]
         signature = signatures(sets)
         return {
             "doc_id": cols["doc_id"],
-            "node": [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets],
+            "text_key": cols["text_key"],
+            "node": [_node(s) for s in sets],
             "n": [len(s) for s in sets],
             "bands": list(band_keys(signature)),
             **dict(zip(SKETCH, sketches(signature).T)),
-            "elements": [s.tobytes() for s in sets],
         }
 
-    ddl = "doc_id long, node long, n long, bands array<long>, s0 long, s1 long, s2 long, s3 long, elements binary"
-    return map_rows(docs.select("doc_id", "text"), run, ddl)
+    ddl = "doc_id long, text_key long, node long, n long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), run, ddl)
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and elements of the documents whose text may be among ``wanted`` (text_key); other texts are not shingled again."""
+    keys = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "text_key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            at = part["text_key"].to_numpy()
+            _, first = np.unique(at, return_index=True)
+            first = first[in_bit_table(keys.value, at[first])]
+            sets = [shingles(t) for t in part["text"].take(pa.array(first)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
+
+    return docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "node long, elements binary")
 
 
 def in_cells(rows: DataFrame, key: str, side: Column) -> DataFrame:
@@ -261,7 +281,7 @@ def _verify_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _links_out(*_verify_group(table, diagonal))
 
 
-def links(prints: DataFrame, nodes: DataFrame, work: Work) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, work: Work) -> DataFrame:
     """Verified links (a, b) that connect all nodes at or above the threshold."""
     placed = nodes.where("n > 0").select("node", F.explode("bands").alias("bucket"))
     size = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
@@ -271,19 +291,19 @@ def links(prints: DataFrame, nodes: DataFrame, work: Work) -> DataFrame:
     side = F.ceil(F.col("rows") / CELL_ROWS)
     near = in_cells(bucket, "bucket", side).mapInArrow(_compare_buckets, "a long, b long")
     group = components(near, work, "near").select("node", F.col("root").alias("grp"))
-    member = work.store(group.unionByName(group.select(F.col("grp").alias("node"), "grp")).distinct().join(shape, "node"), "members")
+    member = work.store(group.unionByName(group.select(F.col("grp").alias("node"), "grp")).distinct().join(nodes.drop("bands"), "node"), "members")
     size = member.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
     side = F.greatest(F.ceil(F.col("rows") / CELL_ROWS), F.ceil(F.col("total") / CELL_ELEMENTS))
-    whole = prints.select("node", "elements").join(member.select("node"), "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements"))
-    held = member.join(size.select("grp", side.alias("side")), "grp").join(whole, "node")
-    return in_cells(held, "grp", F.col("side")).drop("side").mapInArrow(_verify_groups, "a long, b long")
+    held = member.drop("text_key").join(size.select("grp", side.alias("side")), "grp")
+    whole = full_sets(docs, member.select("text_key")).groupBy("node").agg(F.first("elements").alias("elements"))
+    return in_cells(held.join(whole, "node"), "grp", F.col("side")).drop("side").mapInArrow(_verify_groups, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, work: Work) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     prints = work.store(printed(docs), "prints")
-    nodes = work.store(prints.drop("elements", "doc_id").dropDuplicates(["node"]), "sets")
-    comp = components(links(prints, nodes, work), work, "links")
+    nodes = work.store(prints.drop("doc_id").dropDuplicates(["node"]), "sets")
+    comp = components(links(docs, nodes, work), work, "links")
     first = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
     node = first.join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     node = work.store(node, "roots")
