@@ -13,7 +13,7 @@
 * pyspark.ml / pyspark.mllib voters (M5, M6, M8, M10) fitted per fold. The
   reference shuffles training rows before fitting (W8); the full-batch
   solvers used here do not depend on row order, so no shuffle is spent.
-* ``standard_scale`` (M4) and ``pca_reduce`` (M3).
+* ``standard_scale`` (M4); the reduction (M3) is in ``reduction.py``.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordtally.operators.joins import checked_broadcast
+from wordtally.operators.reduction import sparse_rows
 from wordtally.session import reliable_checkpoint
 
 VOTE_COLUMNS = ["id", "fold", "learner", "vote", "y"]
@@ -142,12 +143,6 @@ def naive_bayes_votes(scores: DataFrame, learner: str = "naive_bayes", digits: i
 
 
 # ----------------------------------------------------------------------- kNN
-def sparse_rows(long: DataFrame) -> DataFrame:
-    """``(id, idx, value)`` -> ``id, ix array<int>, vx array<double>`` sorted by idx."""
-    g = long.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("_e"))
-    return g.select("id", F.col("_e.idx").cast("array<int>").alias("ix"), F.col("_e.value").alias("vx"))
-
-
 _CAND_SCHEMA = "qid long, qfold int, qy int, tid long, ty int, d2 double"
 
 
@@ -340,7 +335,7 @@ def knn_votes(neigh: DataFrame, learner: str = "knn") -> DataFrame:
     )
 
 
-# ------------------------------------------------------------ scaling, PCA
+# ------------------------------------------------------------------ scaling
 def standard_scale(long: DataFrame, key: str = "id", dim: str = "dim", value: str = "value") -> DataFrame:
     """M4 on long-form dense rows: (v - mean) / std per dimension, population
     std (Q9), a zero std left as 1. Stats come from a per-dimension
@@ -352,25 +347,6 @@ def standard_scale(long: DataFrame, key: str = "id", dim: str = "dim", value: st
     )
 
 
-def pca_reduce(vectors: DataFrame, components: int, n_features: int, in_col: str = "features", out_col: str = "reduced"):
-    """M3: centred PCA with whitened outputs (unit variance per component),
-    ``k = min(n_docs, n_features, components)`` (Q13)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import PCA, StandardScaler
-
-    n_docs = vectors.count()
-    k = max(1, min(n_docs, n_features, components))
-    pipe = Pipeline(
-        stages=[
-            StandardScaler(withMean=True, withStd=False, inputCol=in_col, outputCol="_centred"),
-            PCA(k=k, inputCol="_centred", outputCol="_pc"),
-            StandardScaler(withMean=False, withStd=True, inputCol="_pc", outputCol=out_col),
-        ]
-    )
-    model = pipe.fit(vectors)
-    return model, model.transform(vectors).drop("_centred", "_pc"), k
-
-
 # ---------------------------------------------------- pyspark.ml voters
 @dataclass
 class MLVoter:
@@ -388,7 +364,7 @@ class MLVoter:
                 est.setWeightCol(weight_col)
             return est
         if self.name == "boosting":
-            return GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.1, featuresCol="features", labelCol="label", seed=7)
+            return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, featuresCol="features", labelCol="label", seed=7)
         raise ValueError(self.name)
 
 

@@ -7,10 +7,10 @@ Two physical forms of the same values:
   map-side partial aggregation (a document's tokens sit in one partition, so
   the shuffle carries the bag, not the tokens), corpus document frequency per
   index (G7), tf-idf (X13) or presence (X14), L2 norm per document (G8).
-* vector form ``(id, features)`` - the MLlib chain
-  ``CountVectorizerModel.from_vocabulary`` -> ``ElementwiseProduct(idf + 1)``
-  -> ``Normalizer(p=2)``: map-only per row, the vocabulary shipped once per
-  executor; used by the pyspark.ml learners.
+* vector form ``(id, features)`` for the pyspark.ml learners: the long form
+  gathered per document and written as the stored form of MLlib's vectors, so
+  neither the vocabulary nor the values pass the driver or Python. Reduced
+  rows (M3) are dense vectors.
 """
 
 from __future__ import annotations
@@ -20,15 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordtally.operators import reduction as R
 from wordtally.operators.dictionary import DictionaryBuilder, DictionaryModel, prepared_tokens
 from wordtally.operators.joins import broadcast_limit, checked_broadcast
 from wordtally.options import TransformOptions
 from wordtally.session import reliable_checkpoint
 
-# The vocabulary rides inside the MLlib model; above this size the vector form
-# is built from the long form instead.
-MAX_VOCAB_FOR_MLLIB = 2_000_000
-
 
 @dataclass
 class TransformationModel:
@@ -42,11 +39,17 @@ class TransformationModel:
     # selection is vectorized (a second pass over its tokens saved)
     fit_docs: DataFrame | None = None
     fit_bag: DataFrame | None = None
+    reduction: R.Reduction | None = None  # the fitted axes when the reduction option is on
 
     @property
     def size(self) -> int:
         return self.dictmodel.size
 
+    @property
+    def n_features(self) -> int:
+        """Columns of the samples: dictionary words, or components after a reduction."""
+        return self.reduction.components if self.reduction else self.size
+
     def cut(self, k: int) -> "TransformationModel":
         """W2 as a post-step: the same transformation with the first k and last
         k dictionary words, re-indexed 0..2k-1. Document frequencies, class
@@ -54,6 +57,8 @@ class TransformationModel:
         Only valid on an uncut transformation."""
         if self.options.dict_cut:
             raise ValueError("the transformation is already cut")
+        if self.reduction:
+            raise ValueError("a reduced transformation is fitted to its whole dictionary")
         n = self.size
         if k <= 0 or n <= 2 * k + 1:
             return TransformationModel(self.dictmodel, self.idf, self.n_corpus, self.options.replace(dict_cut=k))
@@ -117,47 +122,42 @@ class TransformationModel:
             vals = vals.select("id", "idx", (F.col("value") / norm).alias("value"))
         return vals
 
+    def features(self, docs: DataFrame) -> DataFrame:
+        """Samples in long form ``id, idx, value``: the values, reduced when the option is on."""
+        if not self.reduction:
+            return self.long_form(docs)
+        return self.reduced(docs).select("id", F.posexplode("reduced").alias("idx", "value"))
+
+    def reduced(self, docs: DataFrame) -> DataFrame:
+        """M3 applied: ``id, reduced array<double>``."""
+        return R.project(self.reduction, self.long_form(docs), docs.select("id"))
+
     def vectors(self, docs: DataFrame, out_col: str = "features") -> DataFrame:
-        """Vector form for pyspark.ml, map-only when the vocabulary is bounded."""
-        if self.size > MAX_VOCAB_FOR_MLLIB:
-            return assemble(self.long_form(docs), self.size, docs.select("id"), out_col)
-        from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-        from pyspark.ml.linalg import Vectors
+        """Vector form for pyspark.ml: ``id`` and one vector a document, an empty one without dictionary words."""
+        if self.reduction:
+            from pyspark.ml.functions import array_to_vector
 
-        words = [r.word for r in self.dictmodel.dictionary.orderBy("idx").select("word").toLocalIterator()]
-        o = self.options
-        toks = prepared_tokens(F.col("words"), o, for_dictionary=False)
-        df = docs.select("id", toks.alias("_toks"))
-        cv = CountVectorizerModel.from_vocabulary(words, inputCol="_toks", outputCol="_tf", binary=o.boolean)
-        cur = cv.transform(df)
-        col = "_tf"
-        if not o.boolean:
-            if o.tfidf and self.idf is not None:
-                idf = dict(self.idf.select("idx", "idf").toLocalIterator())
-                scale = Vectors.dense([idf.get(i, 0.0) for i in range(self.size)])
-                cur = ElementwiseProduct(scalingVec=scale, inputCol=col, outputCol="_tfidf").transform(cur)
-                col = "_tfidf"
-            if o.normalize:
-                cur = Normalizer(p=2.0, inputCol=col, outputCol="_norm").transform(cur)
-                col = "_norm"
-        return cur.select("id", F.col(col).alias(out_col))
+            return self.reduced(docs).select("id", array_to_vector("reduced").alias(out_col))
+        return assemble(self.long_form(docs), self.size, docs.select("id"), out_col)
 
 
 def assemble(long: DataFrame, size: int, ids: DataFrame, out_col: str = "features") -> DataFrame:
-    """Long form -> sparse vectors per document (documents without any value
-    get an empty vector). Only used for vocabularies too large to ship inside
-    the MLlib model; the per-row helper builds one vector from one document's
-    already aggregated entries."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    grouped = long.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("_e"))
-    full = ids.join(grouped, "id", "left")
+    """Long form -> sparse vectors of every document in ``ids``.
 
-    def to_vec(rows):
-        return SparseVector(size, [r[0] for r in rows or []], [r[1] for r in rows or []])
+    The columns of MLlib's stored sparse vector are written as Parquet and read
+    back as vectors, without a Python function for each row."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import LongType, StructField, StructType
 
-    to_vec_udf = F.udf(to_vec, VectorUDT())
-    return full.select("id", to_vec_udf("_e").alias(out_col))
+    rows = ids.select("id").join(R.sparse_rows(long), "id", "left")
+    vector = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size).alias("size"),
+        F.coalesce("ix", F.array().cast("array<int>")).alias("indices"),
+        F.coalesce("vx", F.array().cast("array<double>")).alias("values"),
+    )
+    schema = StructType([StructField("id", LongType()), StructField(out_col, VectorUDT())])
+    return reliable_checkpoint(rows.select(F.col("id").cast("long").alias("id"), vector.alias(out_col)), schema)
 
 
 def fit_transformation(selection: DataFrame, options: TransformOptions | None = None) -> TransformationModel:
@@ -171,11 +171,19 @@ def fit_transformation(selection: DataFrame, options: TransformOptions | None =
         tm.fit_bag = reliable_checkpoint(tm.bag(selection))
         tm.fit_docs = selection
         tm.idf = tm.corpus_idf()
+    return reduce_features(tm, selection)
+
+
+def reduce_features(tm: TransformationModel, docs: DataFrame) -> TransformationModel:
+    """M3 as the last step of the fit: axes over the values of the whole selection."""
+    if tm.options.reduction:
+        values = reliable_checkpoint(tm.long_form(docs))
+        tm.reduction = R.fit(values, docs.select("id"), tm.size, tm.options.components)
     return tm
 
 
 def save_transformation(tm: TransformationModel, path: str, replace: bool = False) -> None:
-    """K2: dictionary, corpus idf, sample ids and options as Parquet/JSON under ``path``."""
+    """K2: dictionary, corpus idf, axes of the reduction, sample ids and options as Parquet/JSON under ``path``."""
     import json
     import os
 
@@ -185,7 +193,9 @@ def save_transformation(tm: TransformationModel, path: str, replace: bool = Fals
     if tm.idf is not None:
         tm.idf.write.mode(mode).parquet(os.path.join(path, "idf"))
     dm.sample_ids.write.mode(mode).parquet(os.path.join(path, "sample_ids"))
-    meta = {"size": dm.size, "n_pos": dm.n_pos, "n_neg": dm.n_neg, "n_corpus": tm.n_corpus,
+    if tm.reduction is not None:
+        tm.reduction.axes.write.mode(mode).parquet(os.path.join(path, "axes"))
+    meta = {"size": dm.size, "components": tm.reduction and tm.reduction.components, "n_pos": dm.n_pos, "n_neg": dm.n_neg, "n_corpus": tm.n_corpus,
             "options": {k: (list(v) if isinstance(v, tuple) else v) for k, v in vars(tm.options).items()}}
     spark = dm.dictionary.sparkSession
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(mode).text(os.path.join(path, "meta"))
@@ -204,4 +214,5 @@ def load_transformation(spark, path: str) -> TransformationModel:
     dm = DictionaryModel(spark.read.parquet(os.path.join(path, "dictionary")), meta["size"], meta["n_pos"], meta["n_neg"], o,
                          spark.read.parquet(os.path.join(path, "sample_ids")))
     idf = spark.read.parquet(os.path.join(path, "idf")) if o.tfidf and not o.boolean else None
-    return TransformationModel(dm, idf, meta["n_corpus"], o)
+    axes = R.Reduction(spark.read.parquet(os.path.join(path, "axes")), meta["components"], meta["size"]) if o.reduction else None
+    return TransformationModel(dm, idf, meta["n_corpus"], o, reduction=axes)

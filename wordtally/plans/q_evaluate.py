@@ -403,13 +403,11 @@ def cv_metrics_all(spark, sf_dir):
 
 @query("svm_reduced")
 def svm_reduced(spark, sf_dir):
-    """M3 + M4 + M5: the dense branch - whitened PCA (10 components over a
-    100-word dictionary), a scaler fitted per training fold, linear SVM."""
+    """M3 + M4 + M5: the dense branch - 100 whitened components of the whole
+    dictionary, a scaler fitted per training fold, linear SVM."""
     c = ctx(spark, sf_dir)
-    opts = TransformOptions(ratio=CV_OPTS.ratio, seed=CV_OPTS.seed, dict_cut=50, reduction=True, components=10)
-    tm = fit_transformation(c.sel, opts)
-    _model, red, k = LR.pca_reduce(tm.vectors(c.sel), opts.components, tm.size)
-    dense = reliable_checkpoint(red.select("id", F.col("reduced").alias("features")))
-    return LR.ml_fold_votes(LR.MLVoter("svm_linear", True), dense, c.folds, k, scale=True).withColumn(
+    tm = fit_transformation(c.sel, CV_OPTS.replace(reduction=True))
+    dense = reliable_checkpoint(tm.vectors(c.sel))
+    return LR.ml_fold_votes(LR.MLVoter("svm_linear", True), dense, c.folds, tm.n_features, scale=True).withColumn(
         "learner", F.lit("svm_reduced")
     )

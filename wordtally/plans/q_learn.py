@@ -1,14 +1,15 @@
-"""Scaling and reduction queries: M4 (oracle) and M3 (rows only)."""
+"""Scaling and reduction queries: M4, M3."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from wordtally.operators import learners as LR
 from wordtally.operators.vectorize import fit_transformation
 from wordtally.options import TransformOptions
 from wordtally.plans import query
+from wordtally.plans import sql as S
+from wordtally.plans.q_vectorize import bag_ctes
 from wordtally.sources.tables import labelled_selection, read_table
 
 
@@ -30,12 +31,30 @@ def scale(spark, sf_dir):
     return out.select("vec_id", "dim", F.round("value", 6).alias("value"))
 
 
+REDUCE_OPTS = TransformOptions(reduction=True)
+
+
+def _reduced(spark, sf_dir):
+    sel = labelled_selection(spark, sf_dir)
+    return fit_transformation(sel, REDUCE_OPTS).features(sel)
+
+
 @query("reduce")
 def reduce(spark, sf_dir):
-    """M3: whitened PCA (10 components) of the tf-idf rows of a 100-word dictionary."""
-    sel = labelled_selection(spark, sf_dir)
-    opts = TransformOptions(dict_cut=50, reduction=True, components=10)
-    tm = fit_transformation(sel, opts)
-    vec = tm.vectors(sel)
-    _model, out, _k = LR.pca_reduce(vec, opts.components, tm.size)
-    return out.select("id", F.posexplode(vector_to_array("reduced")).alias("component", "value"))
+    """M3: whitened principal components (100) of the tf-idf rows over the whole dictionary."""
+    return _reduced(spark, sf_dir).select("id", F.col("idx").alias("component"), "value")
+
+
+@query(
+    "reduce_moments",
+    S.with_ctes(*bag_ctes(REDUCE_OPTS), f"k AS (SELECT least((SELECT count(*) FROM sel), (SELECT count(*) FROM dict), {REDUCE_OPTS.components}) AS k)")
+    + """SELECT CAST(a.range AS INTEGER) AS a, CAST(b.range AS INTEGER) AS b, 0.0::DOUBLE AS mean, CASE WHEN a.range = b.range THEN 1.0 ELSE 0.0 END::DOUBLE AS covariance
+FROM k, range(k) a, range(k) b WHERE a.range <= b.range""",
+)
+def reduce_moments(spark, sf_dir):
+    """M3: every component has mean 0 and variance 1, every two have correlation 0."""
+    z = _reduced(spark, sf_dir)
+    pair = z.select("id", F.col("idx").alias("a"), F.col("value").alias("x")).join(z.select("id", F.col("idx").alias("b"), F.col("value").alias("y")), "id")
+    pair = pair.where("a <= b").groupBy("a", "b").agg(F.avg("x").alias("m"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg("y").alias("my"))
+    zero = F.lit(0.0)  # rounding may leave a minus sign
+    return pair.select("a", "b", (F.round("m", 6) + zero).alias("mean"), (F.round(F.col("xy") - F.col("m") * F.col("my"), 6) + zero).alias("covariance"))
