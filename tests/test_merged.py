@@ -68,3 +68,54 @@ def test_label_row_with_a_selector_drops_the_tokenization(spark):
     )
     out = {r.id: (r.class_label, r.tokenization_id) for r in label_update(reg, lab).collect()}
     assert out == {1: ("pos", None), 2: ("neg", 12), 3: ("neg", 13)}
+
+
+def plain_negations(words, trigger):
+    out, i = [], 0
+    while i < len(words):
+        if words[i] == trigger and i + 1 < len(words):
+            out.append(f"{trigger} {words[i + 1]}")
+            i += 2
+        else:
+            out.append(words[i])
+            i += 1
+    return out
+
+
+def test_negations_join_over_the_borders_of_parts(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for symbol, n in [("hot", 400), ("a", 7), ("b", 1), (None, 9), ("c", 40)]:
+        for _ in range(n):
+            words = [] if rng.random() < 0.2 else rng.choices(["not", "good", "bad"], [4 if symbol != "c" else 99, 1, 1], k=rng.randint(1, 4))
+            rows.append((len(rows), symbol, 1 + len(rows) % 2, "pos", words))
+    sel = merged_selection(tokenized(spark, rows), TransformOptions(neg=True))
+    got = {}
+    keys = {r.id: (r.symbol, r.associated_date.day) for r in sel.rows.collect()}
+    for r in sel.bag.collect():
+        got.setdefault(keys[r.id], Counter())[r.word] = r.tf
+    want = {}
+    for i, symbol, day, _, words in sorted(rows, key=lambda r: -r[0]):  # the newest part first
+        want.setdefault((symbol, day), []).extend(words)
+    want = {k: Counter(plain_negations(w, "not")) for k, w in want.items() if w}
+    assert got == want
+
+
+def test_selection_by_date_and_symbol(spark):
+    tok = tokenized(spark, ROWS)
+    assert [r.id for r in merged_selection(tok, start_date="2020-01-02", end_date="2020-01-03").rows.orderBy("id").collect()] == [3, 4]
+    assert [r.id for r in merged_selection(tok, symbols=["a"]).rows.orderBy("id").collect()] == [1, 3]
+    assert {r.word for r in merged_selection(tok, symbols=["b"]).bag.collect()} == set()
+
+
+def test_vectors_and_other_merged_rows(spark):
+    sel = merged_selection(tokenized(spark, ROWS))
+    tm = fit_merged(sel, TransformOptions(tfidf=False, min_tokens=1))
+    sums = {r.id: sum(r.features.values) for r in tm.vectors(sel).collect()}
+    assert sums == {1: 5.0, 3: 2.0, 4: 1.0, 6: 0.0}
+    other = merged_selection(tokenized(spark, [(50, "z", 1, "pos", ["good", "new"]), (51, "z", 1, "pos", ["good"])]))
+    assert [(r.id, r.value) for r in tm.long_form(other).collect()] == [(50, 2.0)]
+    small = fit_merged(sel, TransformOptions(min_tokens=1, reduction=True, components=2))
+    assert small.vectors(sel).count() == 4 and small.n_features == 2

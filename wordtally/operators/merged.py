@@ -1,49 +1,115 @@
-"""Transformations over merged rows: one document per (symbol, date).
+"""Transformations over merged rows: one document per (symbol, date).
 
 A merged document may have any number of parts, so its tokens are never
 gathered into one row. Its bag is one aggregation over the tokens of all parts,
 keyed by (symbol, date, word) with map-side partial counts; everything a
 transformation needs (document frequencies, term frequencies, idf) comes from
 that bag and from the merged rows, whose number is bounded by symbols x days.
+
+Negations run over the border of two parts. The greedy joiner is an automaton
+with two states (free, or a trigger waits for its word), so a part is a
+function of the state before it: the identity, a swap, or a constant. These
+functions are composed along the ordered parts, within the partitions of a
+range sort and then over the partitions; each part then joins its own tokens,
+given the state it starts in.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordtally.functions import text as T
 from wordtally.operators.dictionary import DictionaryBuilder, prepared_tokens
 from wordtally.operators.joins import checked_broadcast
-from wordtally.operators.registry import merge_tokenized
-from wordtally.operators.vectorize import TransformationModel
+from wordtally.operators.ranking import join_groups, ordered
+from wordtally.operators.registry import in_range, merge_key, merge_tokenized, select_docs
+from wordtally.operators.vectorize import Counted, TransformationModel, reduce_features
 from wordtally.options import TransformOptions
 from wordtally.session import reliable_checkpoint
 
+#: Selected merged rows (id of the tokenization, symbol, associated_date, class_label, error_cost,
+#: success_gain, sentences, tokens, parts) and their bag (id, word, tf).
+MergedSelection = Counted
+
+
+def _facts(words: Column, trigger: str) -> tuple[Column, Column, Column]:
+    """(size, swap, constant): the part swaps the state, or leaves it at the constant; null and false: it keeps the state."""
+    size = F.size(words)
+    other = F.array_position(F.transform(F.reverse(words), lambda w: w != trigger), True)
+    run = F.when(other == 0, size).otherwise(other - 1)  # triggers at the end
+    return size, (run == size) & (size % 2 == 1), F.when(run < size, (run % 2).cast("int"))
+
+
+def states(parts: DataFrame, trigger: str) -> DataFrame:
+    """``id``, ``waiting`` (a trigger waits before the part) and ``taken`` (a later part takes its last trigger).
+
+    ``parts``: id, seq, words and the merge key; the newest part comes first.
+    """
+    groups = merge_key()
+    size, swap, const = _facts(F.col("words"), trigger)
+    rows = parts.select("id", "seq", *groups, (size > 0).alias("some"), swap.cast("int").alias("swap"), const.alias("const"))
+    rows = ordered(rows, [F.col("seq").desc(), F.col("id")], groups)
+    here = Window.partitionBy("_pid", *groups).orderBy("_mono").rowsBetween(Window.unboundedPreceding, -1)
+    # the constant is kept as it would stand before all swaps of its partition
+    base = F.col("const").bitwiseXOR(F.col("_swaps") % 2)
+    rows = rows.withColumn("_swaps", F.coalesce(F.sum("swap").over(here), F.lit(0)).cast("int")).withColumn("_base", base)
+    rows = reliable_checkpoint(rows.withColumn("_last", F.last("_base", ignorenulls=True).over(here)))
+    stats = rows.groupBy("_pid", *groups).agg(
+        F.sum("swap").alias("s"), F.max_by("_base", F.when(F.col("_base").isNotNull(), F.col("_mono"))).alias("b"),
+        F.max(F.when(F.col("some"), F.col("_mono"))).alias("m"),
+    )
+    before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("_s", F.coalesce(F.sum("s").over(before), F.lit(0)).cast("int"))
+    stats = stats.withColumn("b", F.col("b").bitwiseXOR(F.col("_s") % 2))
+    stats = stats.select(
+        "_pid", *groups, "_s", F.coalesce(F.last("b", ignorenulls=True).over(before), F.lit(0)).alias("_b"),
+        F.max("m").over(Window.partitionBy(*groups)).alias("_end"),
+    )
+    j = join_groups(rows, reliable_checkpoint(stats), ["_pid", *groups])
+    swaps = (F.col("_s") + F.col("_swaps")) % 2
+    local = F.col("_last").bitwiseXOR(F.col("_s") % 2)
+    waiting = F.coalesce(local, F.col("_b")).bitwiseXOR(swaps)
+    after = F.coalesce("const", waiting.bitwiseXOR(F.col("swap")))
+    taken = F.col("some") & (after == 1) & (F.col("_end") > F.col("_mono"))
+    return j.select("id", (waiting == 1).alias("waiting"), F.coalesce(taken, F.lit(False)).alias("taken"))
 
-@dataclass
-class MergedSelection:
-    """Selected merged rows and their bag."""
 
-    rows: DataFrame  # id (the tokenization's), symbol, associated_date, class_label, error_cost, success_gain, sentences, tokens, parts
-    bag: DataFrame  # id, word, tf
+def join_across_parts(parts: DataFrame, trigger: str) -> DataFrame:
+    """X10 over the flattened text of each merged row, part by part: ``words`` with negations joined."""
+    j = parts.join(states(parts, trigger).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
+    words, some = F.col("words"), F.size("words") > 0
+    start = F.when(F.col("waiting") & some, F.array(F.concat(F.lit(trigger + " "), F.element_at(words, 1)))).otherwise(F.slice(words, 1, 0))
+    rest = F.when(F.col("waiting") & some, F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    joined = F.concat(start, T.join_negations(rest, trigger))
+    kept = F.when(F.col("taken"), F.slice(joined, F.lit(1), F.size(joined) - 1)).otherwise(joined)
+    return j.withColumn("words", kept).drop("waiting", "taken")
 
 
-def merged_selection(tok: DataFrame, options: TransformOptions | None = None, min_sentences: int = 1) -> MergedSelection:
-    """F1 on the merged rows of tokenized documents (with ``words``, ``seq`` and the merge key).
+def merged_selection(
+    tok: DataFrame,
+    options: TransformOptions | None = None,
+    min_sentences: int = 1,
+    start_date: dt.date | str | None = None,
+    end_date: dt.date | str | None = None,
+    symbols: tuple[str, ...] | list[str] = (),
+) -> MergedSelection:
+    """F1 on the merged rows of tokenized documents (with ``id``, ``words``, ``seq`` and the merge key).
 
-    Labels, cost and gain are those of the last processed document. Only
-    merged rows labelled pos or neg with enough sentences are selected; the
-    filter looks at the merged label and the sum of sentences. Negations are
-    joined within a part.
+    Labels, cost and gain are those of the last processed document. The
+    selection looks at the merged rows: their label, sum of sentences, date
+    and symbol. Date and symbol also prune the documents, as all parts of a
+    merged row share them.
     """
     o = options or TransformOptions()
-    tok = reliable_checkpoint(tok)
+    tok = reliable_checkpoint(tok.where(in_range(start_date, end_date, symbols)))
     merged = merge_tokenized(tok).withColumnRenamed("tokenization_id", "id")
-    rows = reliable_checkpoint(merged.where(F.col("class_label").isin("pos", "neg") & (F.col("sentences") >= min_sentences)))
-    words = prepared_tokens(F.col("words"), o, for_dictionary=False)
-    counts = tok.select(F.col("symbol").alias("_s"), F.col("associated_date").alias("_d"), F.explode(words).alias("word"))
+    rows = reliable_checkpoint(select_docs(merged, min_sentences=min_sentences))
+    parts = join_across_parts(tok, o.negation_word) if o.neg else tok
+    words = prepared_tokens(F.col("words"), o.replace(neg=False), for_dictionary=False)
+    counts = parts.select(F.col("symbol").alias("_s"), F.col("associated_date").alias("_d"), F.explode(words).alias("word"))
     counts = counts.groupBy("_s", "_d", "word").agg(F.count(F.lit(1)).alias("tf"))
     key = checked_broadcast(rows.select("id", "symbol", "associated_date"))
     bag = counts.join(key, F.col("_s").eqNullSafe(F.col("symbol")) & F.col("_d").eqNullSafe(F.col("associated_date")))
@@ -51,15 +117,13 @@ def merged_selection(tok: DataFrame, options: TransformOptions | None = None, mi
 
 
 def fit_merged(sel: MergedSelection, options: TransformOptions | None = None) -> TransformationModel:
-    """The transformation of a merged selection; ``long_form(sel.rows)`` and
-    ``term_counts(sel.rows)`` give its feature values. ``options`` must name the
-    same negation rule as the selection."""
+    """The transformation of a merged selection; ``long_form(sel)``, ``term_counts(sel)`` and ``vectors(sel)`` give
+    its samples, of this and of other merged selections. ``options`` must name the same negation rule as the selection."""
     o = options or TransformOptions()
     dm = DictionaryBuilder(o).fit_bag(sel.rows, sel.bag)
     tm = TransformationModel(dm, None, sel.rows.count(), o)
-    d = checked_broadcast(dm.dictionary.select("word", "idx"), dm.size)
-    tm.fit_bag = reliable_checkpoint(sel.bag.join(d, "word").select("id", "word", "idx", "tf"))
+    tm.fit_bag = reliable_checkpoint(tm.bag(sel))
     tm.fit_docs = sel.rows
     if o.tfidf and not o.boolean:
         tm.idf = tm.corpus_idf()
-    return tm
+    return reduce_features(tm, sel)

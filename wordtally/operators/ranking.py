@@ -3,7 +3,7 @@
 ``row_number() OVER (ORDER BY ...)`` with no PARTITION BY moves every row to
 one task. Here the rows are range-partitioned and sorted by Spark, tagged with
 ``monotonically_increasing_id`` (partition id in the high bits, row number in
-the partition in the low bits), frozen by a reliable checkpoint, and shifted by
+the partition in the low bits), frozen as a written table, and shifted by
 per-partition offsets. The offset table has one row per (partition, group), so
 its size is bounded by the partition count, not by the data, and it is
 broadcast.
@@ -18,6 +18,19 @@ from wordtally.operators.joins import checked_broadcast
 from wordtally.session import reliable_checkpoint
 
 
+def ordered(df: DataFrame, order: list[Column], groups: list[str]) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``groups`` and ``order``, frozen, with ``_pid`` (partition) and ``_mono`` (place, ascending over all)."""
+    tagged = df.orderBy(*[F.col(g) for g in groups], *order).withColumn("_mono", F.monotonically_increasing_id())
+    return reliable_checkpoint(tagged).withColumn("_pid", F.shiftright("_mono", 33))
+
+
+def join_groups(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Join a table of group facts, null keys matching null keys."""
+    right = stats.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return df.join(checked_broadcast(right), match).drop(*[f"_k_{k}" for k in keys])
+
+
 def dense_index(
     df: DataFrame,
     order: list[Column],
@@ -32,10 +45,7 @@ def dense_index(
     be as large as the data: it spans as many sorted partitions as it needs.
     """
     groups = [group] if isinstance(group, str) else list(group or [])
-    keys = [F.col(g) for g in groups] + order
-    tagged = df.orderBy(*keys).withColumn("_mono", F.monotonically_increasing_id())
-    tagged = reliable_checkpoint(tagged).withColumn("_pid", F.shiftright("_mono", 33))
-
+    tagged = ordered(df, order, groups)
     gcols = ["_pid"] + groups
     stats = tagged.groupBy(*gcols).agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w_before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(
@@ -46,7 +56,7 @@ def dense_index(
         w_all = Window.partitionBy(*groups)
         stats = stats.withColumn(count_col, F.sum("_n").over(w_all))
     stats = reliable_checkpoint(stats)
-    out = tagged.join(checked_broadcast(stats), gcols).withColumn(
+    out = join_groups(tagged, stats, gcols).withColumn(
         idx_col, (F.col("_offset") + F.col("_mono") - F.col("_first")).cast("long")
     )
     return out.drop("_mono", "_pid", "_first", "_n", "_offset")

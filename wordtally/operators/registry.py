@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,14 +18,20 @@ def select_docs(
     """date between (both ends kept), sentences >= min, label pos or neg,
     symbol in the list when the list is not empty. Built as one conjunction so
     Catalyst pushes the date, label and symbol parts into the scan."""
-    cond = (F.col("sentences") >= min_sentences) & F.col("class_label").isin("pos", "neg")
+    labelled = (F.col("sentences") >= min_sentences) & F.col("class_label").isin("pos", "neg")
+    return tok.where(labelled & in_range(start_date, end_date, symbols))
+
+
+def in_range(start_date: dt.date | str | None = None, end_date: dt.date | str | None = None, symbols: tuple[str, ...] | list[str] = ()) -> Column:
+    """The date and symbol part of F1."""
+    cond = F.lit(True)
     if start_date is not None:
         cond = cond & (F.col("associated_date") >= F.lit(str(start_date)).cast("date"))
     if end_date is not None:
         cond = cond & (F.col("associated_date") <= F.lit(str(end_date)).cast("date"))
     if symbols:
         cond = cond & F.col("symbol").isin(list(symbols))
-    return tok.where(cond)
+    return cond
 
 
 # ---------------------------------------------------------------- registry

@@ -27,6 +27,19 @@ from wordtally.options import TransformOptions
 from wordtally.session import reliable_checkpoint
 
 
+@dataclass
+class Counted:
+    """Documents whose words are counted already (merged rows): ``rows`` with an ``id`` each, ``bag(id, word, tf)``
+    with negations joined. Stands wherever documents with a token list ``words`` do."""
+
+    rows: DataFrame
+    bag: DataFrame
+
+
+def rows_of(docs: DataFrame | Counted) -> DataFrame:
+    return docs.rows if isinstance(docs, Counted) else docs
+
+
 @dataclass
 class TransformationModel:
     """The fitted transformation: dictionary + corpus idf + options."""
@@ -78,7 +91,7 @@ class TransformationModel:
             out.fit_docs = self.fit_docs
         return out
 
-    def bag(self, docs: DataFrame) -> DataFrame:
+    def bag(self, docs: DataFrame | Counted) -> DataFrame:
         """G3 restricted to dictionary words (F4): ``id, word, idx, tf``.
 
         With a broadcastable dictionary the join runs map-side before the
@@ -86,8 +99,11 @@ class TransformationModel:
         tokens are first counted per (document, word) - map-side partial
         aggregation, one row per word a document holds - and only that bag is
         shuffle-joined to the dictionary (AQE splits hot words)."""
-        if self.fit_bag is not None and docs is self.fit_docs:
+        if self.fit_bag is not None and rows_of(docs) is self.fit_docs:
             return self.fit_bag
+        if isinstance(docs, Counted):
+            d = checked_broadcast(self.dictmodel.dictionary.select("word", "idx"), self.size)
+            return docs.bag.join(d, "word").select("id", "word", "idx", "tf")
         toks = prepared_tokens(F.col("words"), self.options, for_dictionary=False)
         exploded = docs.select("id", F.explode(toks).alias("word"))
         d = self.dictmodel.dictionary.select("word", "idx")
@@ -102,11 +118,11 @@ class TransformationModel:
         dfs = self.fit_bag.groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
         return reliable_checkpoint(dfs.select("idx", (F.log((F.lit(self.n_corpus) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
 
-    def term_counts(self, docs: DataFrame) -> DataFrame:
+    def term_counts(self, docs: DataFrame | Counted) -> DataFrame:
         """Count matrix in long form ``id, idx, value``."""
         return self.bag(docs).select("id", "idx", F.col("tf").cast("double").alias("value"))
 
-    def long_form(self, docs: DataFrame) -> DataFrame:
+    def long_form(self, docs: DataFrame | Counted) -> DataFrame:
         """Feature values ``id, idx, value`` as the options say."""
         o = self.options
         bag = self.bag(docs)
@@ -122,23 +138,23 @@ class TransformationModel:
             vals = vals.select("id", "idx", (F.col("value") / norm).alias("value"))
         return vals
 
-    def features(self, docs: DataFrame) -> DataFrame:
+    def features(self, docs: DataFrame | Counted) -> DataFrame:
         """Samples in long form ``id, idx, value``: the values, reduced when the option is on."""
         if not self.reduction:
             return self.long_form(docs)
         return self.reduced(docs).select("id", F.posexplode("reduced").alias("idx", "value"))
 
-    def reduced(self, docs: DataFrame) -> DataFrame:
+    def reduced(self, docs: DataFrame | Counted) -> DataFrame:
         """M3 applied: ``id, reduced array<double>``."""
-        return R.project(self.reduction, self.long_form(docs), docs.select("id"))
+        return R.project(self.reduction, self.long_form(docs), rows_of(docs).select("id"))
 
-    def vectors(self, docs: DataFrame, out_col: str = "features") -> DataFrame:
+    def vectors(self, docs: DataFrame | Counted, out_col: str = "features") -> DataFrame:
         """Vector form for pyspark.ml: ``id`` and one vector a document, an empty one without dictionary words."""
         if self.reduction:
             from pyspark.ml.functions import array_to_vector
 
             return self.reduced(docs).select("id", array_to_vector("reduced").alias(out_col))
-        return assemble(self.long_form(docs), self.size, docs.select("id"), out_col)
+        return assemble(self.long_form(docs), self.size, rows_of(docs).select("id"), out_col)
 
 
 def assemble(long: DataFrame, size: int, ids: DataFrame, out_col: str = "features") -> DataFrame:
@@ -174,11 +190,11 @@ def fit_transformation(selection: DataFrame, options: TransformOptions | None =
     return reduce_features(tm, selection)
 
 
-def reduce_features(tm: TransformationModel, docs: DataFrame) -> TransformationModel:
+def reduce_features(tm: TransformationModel, docs: DataFrame | Counted) -> TransformationModel:
     """M3 as the last step of the fit: axes over the values of the whole selection."""
     if tm.options.reduction:
         values = reliable_checkpoint(tm.long_form(docs))
-        tm.reduction = R.fit(values, docs.select("id"), tm.size, tm.options.components)
+        tm.reduction = R.fit(values, rows_of(docs).select("id"), tm.size, tm.options.components)
     return tm
 
 

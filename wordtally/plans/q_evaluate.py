@@ -76,7 +76,8 @@ def ctx(spark, sf_dir) -> CVContext:
 
 
 # ------------------------------------------------------------------- SQL
-def _cv_ctes() -> list[str]:
+def _cv_ctes(source: list[str] | None = None) -> list[str]:
+    """CTEs of the cross-validation over the bag of ``source`` (default: the labelled documents)."""
     nb_blocks = []
     for tag, w in (("nb", "1.0"), ("nbw", "error_cost")):
         nb_blocks += [
@@ -105,7 +106,7 @@ def _cv_ctes() -> list[str]:
             f"""{tag}_votes AS (SELECT id, fold, CASE WHEN round(jll_pos, 5) > round(jll_neg, 5) THEN 1 ELSE -1 END AS vote, y
                 FROM {tag}_scores)""",
         ]
-    return bag_ctes(CV_OPTS) + [
+    return (source or bag_ctes(CV_OPTS)) + [
         "feat AS (SELECT b.id, b.idx, b.tf * i.idf AS value FROM bag b JOIN idf i ON b.idx = i.idx)",
         "presence AS (SELECT id, idx FROM feat WHERE value > 0)",
         """ts AS (SELECT s.id, CASE WHEN s.class_label = 'pos' THEN 1 ELSE -1 END AS y, s.success_gain, s.error_cost,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordtally.functions import text as T
+from wordtally.operators import evaluate as E
+from wordtally.operators import learners as LR
 from wordtally.operators import registry as R
 from wordtally.operators.merged import fit_merged, merged_selection
 from wordtally.options import TransformOptions
@@ -12,7 +14,9 @@ from wordtally.plans import q_registry as Q
 from wordtally.plans import query
 from wordtally.plans import sql as S
 from wordtally.plans.q_dictionary import rounded
+from wordtally.plans.q_evaluate import CV_OPTS, _cv_ctes
 from wordtally.plans.q_vectorize import bag_ctes
+from wordtally.session import reliable_checkpoint
 from wordtally.sources.tables import doc_texts
 
 OPTS = TransformOptions()
@@ -24,7 +28,8 @@ def _merged_ctes(opts: TransformOptions) -> list[str]:
     parts = f"""rt AS (SELECT r.id, r.seq, r.symbol, r.associated_date, r.class_label, r.error_cost, r.success_gain,
               {S.sentence_count('a.text')} AS sentences, {S.words('a.text')} AS words, CAST(len({S.words('a.text')}) AS INTEGER) AS tokens
            FROM reg r JOIN ann a ON a.id = r.id)"""
-    sel = """sel AS (SELECT m.tokenization_id AS id, any_value(m.class_label) AS class_label, flatten(list(r.words ORDER BY r.seq DESC)) AS words
+    sel = """sel AS (SELECT m.tokenization_id AS id, any_value(m.class_label) AS class_label, any_value(m.error_cost) AS error_cost,
+              any_value(m.success_gain) AS success_gain, flatten(list(r.words ORDER BY r.seq DESC)) AS words
            FROM mg m JOIN rt r ON m.symbol IS NOT DISTINCT FROM r.symbol AND m.associated_date = r.associated_date
            WHERE m.class_label IN ('pos', 'neg') AND m.sentences >= 1 GROUP BY m.tokenization_id)"""
     rest = [c for c in bag_ctes(opts) if c not in (S.ANN, S.TOK, S.SEL)]
@@ -58,7 +63,32 @@ def merged_dictionary(spark, sf_dir):
 def merged_tfidf(spark, sf_dir):
     """M2 over the merged table: term counts summed over the parts."""
     sel, tm = _fit(spark, sf_dir)
-    return tm.long_form(sel.rows).select("id", "idx", F.round("value", 6).alias("value"))
+    return tm.long_form(sel).select("id", "idx", F.round("value", 6).alias("value"))
+
+
+NEG = TransformOptions(neg=True, negation_word="the")
+
+
+@query("merged_negation", S.with_ctes(*_merged_ctes(NEG)) + "SELECT id, word, idx, tf FROM bag")
+def merged_negation(spark, sf_dir):
+    """X10 over merged rows: a trigger at the end of a part joins the first word of the next one."""
+    sel, tm = _fit(spark, sf_dir, NEG)
+    return tm.bag(sel).select("id", "word", "idx", "tf")
+
+
+@query(
+    "merged_votes",
+    S.with_ctes(*_cv_ctes(_merged_ctes(CV_OPTS)))
+    + """SELECT id, fold, 'naive_bayes' AS learner, CAST(vote AS INTEGER) AS vote, CAST(y AS INTEGER) AS y FROM nb_votes
+UNION ALL SELECT id, fold, 'knn', CAST(vote AS INTEGER), CAST(y AS INTEGER) FROM knn_votes""",
+)
+def merged_votes(spark, sf_dir):
+    """M12 over the merged table: samples, folds and votes of its rows."""
+    sel, tm = _fit(spark, sf_dir, CV_OPTS)
+    feats = reliable_checkpoint(tm.features(sel))
+    folds = reliable_checkpoint(E.assign_folds(E.training_set(sel.rows.select("id"), sel.rows, tm.dictmodel.sample_ids)))
+    nb = LR.naive_bayes_votes(LR.naive_bayes_scores(feats.where("value > 0").select("id", "idx"), folds, tm.size))
+    return nb.unionByName(LR.knn_votes(LR.knn_neighbours(feats, folds)))
 
 
 _OLD = f"old AS ({Q._merge_sql(f'(SELECT * FROM rt WHERE associated_date < DATE {S.q(Q.SPLIT)})')})"
