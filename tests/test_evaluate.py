@@ -178,8 +178,6 @@ def test_ml_voters_on_separable_data(spark):
         v = LR.ml_fold_votes(voter, vectors, folds, 3, n_folds=4, **kw).collect()
         assert len(v) == n
         assert sum(r.vote == r.y for r in v) >= 0.95 * n
-    v = LR.sgd_fold_votes(vectors, folds, n_folds=4).collect()
-    assert len(v) == n and sum(r.vote == r.y for r in v) >= 0.9 * n
 
 
 def test_html_block_by_row(spark):

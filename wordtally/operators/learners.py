@@ -10,9 +10,8 @@
   grouped-map task that computes the block's distances with numpy and emits
   only its k best per query; a windowed top-k merges the blocks. Memory per
   task is bounded by the block size; no pair is ever emitted as a row.
-* pyspark.ml / pyspark.mllib voters (M5, M6, M8, M10) fitted per fold. The
-  reference shuffles training rows before fitting (W8); the full-batch
-  solvers used here do not depend on row order, so no shuffle is spent.
+* pyspark.ml voters (M5, M6, M10) fitted per fold by full-batch solvers, which
+  do not depend on row order; the stochastic gradient (M8, W8) is in ``sgd.py``.
 * ``standard_scale`` (M4); the reduction (M3) is in ``reduction.py``.
 """
 
@@ -487,48 +486,3 @@ def ml_fold_votes(
         return reliable_checkpoint(votes)
 
     return _union(_per_fold(one, n_folds))
-
-
-def sgd_fold_votes(
-    vectors: DataFrame,
-    folds: DataFrame,
-    exclude_dictionary_docs: bool = True,
-    n_folds: int = 10,
-    iterations: int = 100,
-    reg: float = 0.0001,
-    learner: str = "sgd_linear",
-) -> DataFrame:
-    """M8: hinge-loss linear model by stochastic gradient (pyspark.mllib
-    ``SVMWithSGD``, the one operator on the RDD API), fitted per fold."""
-    from pyspark.mllib.classification import SVMWithSGD
-    from pyspark.mllib.linalg import Vectors as MVectors
-    from pyspark.mllib.regression import LabeledPoint
-    from pyspark.mllib.util import MLUtils
-
-    data = reliable_checkpoint(MLUtils.convertVectorColumnsFromML(vectors.join(folds, "id"), "features"))
-    spark = vectors.sparkSession
-
-    def one(f: int) -> DataFrame:
-        train = data.where(F.col("fold") != f).rdd.map(
-            lambda r: LabeledPoint(1.0 if r["y"] == 1 else 0.0, MVectors.fromML(r["features"].asML()))
-        )
-        train.cache()
-        model = SVMWithSGD.train(train, iterations=iterations, step=1.0, regParam=reg, miniBatchFraction=1.0)
-        train.unpersist()
-        test = data.where(F.col("fold") == f)
-        if exclude_dictionary_docs:
-            test = test.where(~F.col("in_dictionary"))
-        bw = spark.sparkContext.broadcast((model.weights, model.intercept))
-
-        def score(rows, bw=bw):
-            w_, b_ = bw.value
-            for r in rows:
-                yield (r["id"], r["fold"], 1 if (w_.dot(r["features"]) + b_) > 0 else -1, r["y"])
-
-        scored = test.select("id", "fold", "features", "y").rdd.mapPartitions(score)
-        votes = spark.createDataFrame(scored, "id long, fold int, vote int, y int").select(
-            "id", "fold", F.lit(learner).alias("learner"), "vote", "y"
-        )
-        return reliable_checkpoint(votes)
-
-    return _union(_per_fold(one, n_folds))

@@ -117,7 +117,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(r, 1).to_pylist()[0]
 
 
-def _summed(parts: DataFrame, key: str) -> DataFrame:
+def summed(parts: DataFrame, key: str) -> DataFrame:
     """``(key, data)``: the matrices of each key added up in a fixed order of their sources."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def product(cells_: DataFrame, tiles: DataFrame, width: int, n_features: int, bl
             yield _batch(["chunk", "data", "source"], [pa.int64(), pa.binary(), pa.int64()], [(row["chunk"], out.tobytes(), row["b"])])
 
     parts = cells_.join(blocks, "b").mapInArrow(multiply, "chunk long, data binary, source long")
-    return _summed(parts, "chunk") if n_features > block else parts.drop("source")
+    return summed(parts, "chunk") if n_features > block else parts.drop("source")
 
 
 def crossed(cells_: DataFrame, y: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
@@ -191,7 +191,7 @@ def crossed(cells_: DataFrame, y: DataFrame, width: int, block: int = BLOCK) ->
         if held:
             yield out()
 
-    return _summed(cells_.join(y, "chunk").mapInArrow(multiply, "tile long, data binary, source long"), "tile")
+    return summed(cells_.join(y, "chunk").mapInArrow(multiply, "tile long, data binary, source long"), "tile")
 
 
 def _map_tiles(tiles: DataFrame, fn: Callable[[np.ndarray, dict], np.ndarray], width: int, keep: str = "") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wordtally.operators import evaluate as E
 from wordtally.operators import learners as LR
+from wordtally.operators import sgd as SGD
 from wordtally.operators.vectorize import fit_transformation
 from wordtally.options import TransformOptions
 from wordtally.plans import query
@@ -349,7 +350,7 @@ def _ml_votes(c: CVContext, name: str, weighted: bool = False):
             z = reliable_checkpoint(LR.rff_features(c.feats, c.tm.size, ids=c.folds))
             v = LR.ml_fold_votes(LR.MLVoter("svm_rff", True), z, c.folds, c.tm.size, weight_col=w)
         elif name == "sgd_linear":
-            v = LR.sgd_fold_votes(_vectors(c), c.folds)
+            v = reliable_checkpoint(SGD.votes(SGD.scores(c.feats, c.tests, SGD.fit(c.feats, c.folds, c.tm.size, w), c.tm.size)))
         elif name == "boosting":
             v = LR.ml_fold_votes(LR.MLVoter("boosting", False), _vectors(c), c.folds, c.tm.size)
         else:
