@@ -62,13 +62,14 @@ def baseline_votes(tests: DataFrame, seed: str = "0") -> DataFrame:
     )
 
 
-def ensemble_rule(total: Column, n_voters: int) -> tuple[Column, Column, Column]:
+def ensemble_rule(total: Column, n_voters: int | Column) -> tuple[Column, Column, Column]:
     """Majority sign(sum); all but one |sum| >= n-2; all |sum| = n
     (the reference's > 3 and = 6 for six voters); otherwise 0 = no decision."""
     d = F.when(total > 0, 1).otherwise(-1)
     major = F.when(F.abs(total) > 0, d).otherwise(0)
-    but_one = F.when(F.abs(total) >= max(n_voters - 2, 1), d).otherwise(0)
-    every = F.when(F.abs(total) == n_voters, d).otherwise(0)
+    n = F.lit(n_voters) if isinstance(n_voters, int) else n_voters
+    but_one = F.when(F.abs(total) >= F.greatest(n - 2, F.lit(1)), d).otherwise(0)
+    every = F.when(F.abs(total) == n, d).otherwise(0)
     return major.cast("int"), but_one.cast("int"), every.cast("int")
 
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordtally.operators.joins import checked_broadcast
@@ -141,8 +141,41 @@ def naive_bayes_votes(scores: DataFrame, learner: str = "naive_bayes", digits: i
     return scores.select("id", "fold", F.lit(learner).alias("learner"), vote.alias("vote"), "y")
 
 
+def fit_naive_bayes(presence: DataFrame, train: DataFrame, size: int, weightings: dict[str, str | None], alpha: float = 1.0) -> DataFrame:
+    """``idx`` and, for each name, ``<name>_pos`` and ``<name>_neg``: what a present feature adds to the class's log
+    likelihood. The row of index -1 holds what a document without features has. ``train(id, y[, weight columns])``."""
+    names = list(weightings)
+    w = {n: F.col(c).cast("double") if c else F.lit(1.0) for n, c in weightings.items()}
+    docs = train.select("id", "y", *[w[n].alias(f"w_{n}") for n in names])
+
+    def by_class(n: str, y: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("y") == y, F.col(f"w_{n}"))), F.lit(0.0))
+
+    sides = [(n, tag, y) for n in names for tag, y in (("pos", 1), ("neg", -1))]
+    total = docs.agg(*[by_class(n, y).alias(f"{n}_{tag}") for n, tag, y in sides]).first()
+    seen = presence.join(docs, "id").groupBy("idx").agg(*[by_class(n, y).alias(f"f_{n}_{tag}") for n, tag, y in sides])
+    every = train.sparkSession.range(size).select(F.col("id").cast("int").alias("idx")).join(seen, "idx", "left")
+
+    def p(n: str, tag: str) -> Column:
+        return (F.coalesce(f"f_{n}_{tag}", F.lit(0.0)) + alpha) / (total[f"{n}_{tag}"] + 2 * alpha)
+
+    fitted = reliable_checkpoint(every.select(
+        "idx",
+        *[(F.log(p(n, tag)) - F.log(1 - p(n, tag))).alias(f"{n}_{tag}") for n, tag, _ in sides],
+        *[F.log(1 - p(n, tag)).alias(f"l_{n}_{tag}") for n, tag, _ in sides],
+    ))
+
+    def prior(n: str, tag: str) -> float:
+        both = total[f"{n}_pos"] + total[f"{n}_neg"]
+        return math.log(total[f"{n}_{tag}"] / both) if total[f"{n}_{tag}"] > 0 else -math.inf
+
+    base = fitted.agg(*[(F.coalesce(F.sum(f"l_{n}_{tag}"), F.lit(0.0)) + F.lit(prior(n, tag))).alias(f"{n}_{tag}") for n, tag, _ in sides])
+    columns = [f"{n}_{tag}" for n, tag, _ in sides]
+    return fitted.select("idx", *columns).unionByName(base.select(F.lit(-1).alias("idx"), *columns))
+
+
 # ----------------------------------------------------------------------- kNN
-_CAND_SCHEMA = "qid long, qfold int, qy int, tid long, ty int, d2 double"
+_CAND_SCHEMA = "space string, qid long, qfold int, qy int, tid long, ty int, d2 double"
 
 
 def _flatten(ix_lists, vx_lists):
@@ -211,7 +244,7 @@ def _block_dots(nq, q_rows, q_cols, q_vals, nt, t_rows, t_cols, t_vals, heavy_mi
 def _block_topk(k: int):
     """Grouped-map kernel: distances between one query block and one training
     block, the k best per query (ties by training id)."""
-    empty = pd.DataFrame({c: [] for c in ["qid", "qfold", "qy", "tid", "ty", "d2"]})
+    empty = pd.DataFrame({c: [] for c in ["space", "qid", "qfold", "qy", "tid", "ty", "d2"]})
 
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         q = q.rename(columns=lambda c: c[2:] if c.startswith("q_") else c)
@@ -240,6 +273,7 @@ def _block_topk(k: int):
             return empty
         return pd.DataFrame(
             {
+                "space": q["space"].to_numpy()[qi],
                 "qid": q["id"].to_numpy()[qi],
                 "qfold": qfold[qi].astype(np.int32),
                 "qy": q["y"].to_numpy()[qi].astype(np.int32),
@@ -268,68 +302,78 @@ def knn_neighbours(
     only meets training documents of other folds. Without ``queries`` the test
     rows of ``folds`` are the queries (cross-validation); for prediction the
     queries are new documents with a fold no training row has."""
+    if queries is None:
+        queries = folds.where(~F.col("in_dictionary")) if exclude_dictionary_docs else folds
     rows = sparse_rows(feats)
 
     def with_rows(df):
-        return df.select("id", "y", "fold").join(rows, "id", "left").select(
-            "id",
-            "y",
-            "fold",
-            F.coalesce("ix", F.array().cast("array<int>")).alias("ix"),
-            F.coalesce("vx", F.array().cast("array<double>")).alias("vx"),
-        )
+        return df.select("id", "y", "fold").join(rows, "id", "left").withColumn("space", F.lit(""))
 
-    if queries is None:
-        queries = folds.where(~F.col("in_dictionary")) if exclude_dictionary_docs else folds
-    train = with_rows(folds)
-    tests = with_rows(queries)
+    return knn_search(with_rows(folds), with_rows(queries), k, block_rows, query_block_rows).drop("space")
+
+
+def knn_search(train: DataFrame, tests: DataFrame, k: int = 11, block_rows: int = 2048, query_block_rows: int = 1024) -> DataFrame:
+    """``space, qid, qfold, qy, tid, ty, d2``: the k nearest rows of ``train`` for every row of ``tests`` in the same
+    ``space`` (a model) and another fold, ties broken by training id.
+
+    Both sides hold ``space, id, y, fold, ix, vx`` (null arrays: no features) and are never mixed, so ids may be equal."""
+
+    def filled(df):
+        return df.withColumns({"ix": F.coalesce("ix", F.array().cast("array<int>")), "vx": F.coalesce("vx", F.array().cast("array<double>"))})
+
+    def largest(df):
+        return df.groupBy("space").count().agg(F.max("count")).first()[0] or 1
+
+    train, tests = filled(train), filled(tests)
     # query blocks bound the dense query matrix of a task, training blocks the
     # entries it streams; both counts follow the data
-    n_train, n_query = max(folds.count(), 1), max(queries.count(), 1)
+    n_train, n_query = largest(train), largest(tests)
     n_tb = max(1, math.ceil(n_train / block_rows))
     n_qb = max(1, math.ceil(n_query / query_block_rows))
     # small inputs: at least about two block pairs per core, but no query
     # block under 64 rows; large inputs keep the fixed block sizes
-    cores = folds.sparkSession.sparkContext.defaultParallelism
+    cores = train.sparkSession.sparkContext.defaultParallelism
     n_qb = max(n_qb, min(math.ceil(2 * cores / n_tb), math.ceil(n_query / 64)))
     qblk = F.pmod(F.xxhash64("id"), F.lit(n_qb)).cast("int")
     tblk = F.pmod(F.xxhash64("id"), F.lit(n_tb)).cast("int")
     # both sides may come from one lineage: fresh names keep the cogroup unambiguous
-    side = ["id", "y", "fold", "ix", "vx"]
+    side = ["space", "id", "y", "fold", "ix", "vx"]
     q = tests.select(
-        qblk.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1))).alias("tb"), *[F.col(c).alias("q_" + c) for c in side]
+        F.col("space").alias("sp"), qblk.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1))).alias("tb"), *[F.col(c).alias("q_" + c) for c in side]
     )
     t = train.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"), tblk.alias("tb"), *[F.col(c).alias("t_" + c) for c in side]
+        F.col("space").alias("sp"), F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"), tblk.alias("tb"), *[F.col(c).alias("t_" + c) for c in side]
     )
     # one task per block pair: the input is small in bytes but heavy in CPU,
     # so the pairs are spread explicitly (AQE would coalesce them into few tasks)
     parts = n_qb * n_tb
+    pair = ["sp", "qb", "tb"]
     cand = (
-        q.repartition(parts, "qb", "tb")
-        .groupBy("qb", "tb")
-        .cogroup(t.repartition(parts, "qb", "tb").groupBy("qb", "tb"))
+        q.repartition(parts, *pair)
+        .groupBy(*pair)
+        .cogroup(t.repartition(parts, *pair).groupBy(*pair))
         .applyInPandas(_block_topk(k), _CAND_SCHEMA)
     )
-    w = Window.partitionBy("qid").orderBy("d2", "tid")
+    w = Window.partitionBy("space", "qid").orderBy("d2", "tid")
     return cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def knn_votes(neigh: DataFrame, learner: str = "knn") -> DataFrame:
+def knn_votes(neigh: DataFrame, learner: str = "knn", space: list[str] | None = None) -> DataFrame:
     """Distance-weighted vote: weights 1/d; when a neighbour is at distance 0
-    only the zero-distance neighbours vote, with weight 1; ties go to -1."""
-    zero = F.max(F.when(F.col("d2") == 0, 1).otherwise(0)).over(Window.partitionBy("qid"))
+    only the zero-distance neighbours vote, with weight 1; ties go to -1. ``space`` names further key columns."""
+    keys = space or []
+    zero = F.max(F.when(F.col("d2") == 0, 1).otherwise(0)).over(Window.partitionBy(*keys, "qid"))
     weighted = neigh.withColumn(
         "wt",
         F.when(zero == 1, F.when(F.col("d2") == 0, 1.0).otherwise(0.0)).otherwise(1.0 / F.sqrt("d2")),
     )
-    sums = weighted.groupBy("qid", "qfold", "qy").agg(
+    sums = weighted.groupBy(*keys, "qid", "qfold", "qy").agg(
         F.sum(F.when(F.col("ty") == 1, F.col("wt")).otherwise(0.0)).alias("w_pos"),
         F.sum(F.when(F.col("ty") == -1, F.col("wt")).otherwise(0.0)).alias("w_neg"),
     )
     vote = F.when(F.round("w_pos", 6) > F.round("w_neg", 6), 1).otherwise(-1).cast("int")
     return sums.select(
-        F.col("qid").alias("id"), F.col("qfold").alias("fold"), F.lit(learner).alias("learner"), vote.alias("vote"),
+        *keys, F.col("qid").alias("id"), F.col("qfold").alias("fold"), F.lit(learner).alias("learner"), vote.alias("vote"),
         F.col("qy").alias("y"),
     )
 
