@@ -73,19 +73,44 @@ def lemma_table(vocabulary: DataFrame) -> DataFrame:
 
 def apply_lemmas(docs: DataFrame, table: DataFrame, words_col: str = "words") -> DataFrame:
     """X8 inside the token filter: replace every token of ``words_col`` by its
-    lemma when the table ``(form, lemma)`` has one, keeping token order. The
-    table is joined after a size check (broadcast under the row limit); the
-    tokens of a document are regrouped by its id, so a group is one
-    document."""
-    from wordtally.operators.joins import checked_broadcast
+    lemma when the table ``(form, lemma)`` has one, keeping token order.
 
+    Under the row limit the table is shipped as two sorted columns and looked
+    up for whole Arrow batches of token lists, so no token is shuffled. Above
+    it the tokens are joined to the table and regrouped by document."""
+    from wordtally.operators.joins import broadcast_limit
+
+    if table.count() <= broadcast_limit(table):
+        return _in_place(docs, table, words_col)
     others = [c for c in docs.columns if c != words_col]
     toks = docs.select("id", F.posexplode(words_col).alias("_pos", "_tok"))
-    lem = checked_broadcast(table.select(F.col("form").alias("_tok"), F.col("lemma").alias("_lemma")))
+    lem = table.select(F.col("form").alias("_tok"), F.col("lemma").alias("_lemma"))
     mapped = toks.join(lem, "_tok", "left").select("id", "_pos", F.coalesce("_lemma", "_tok").alias("_w"))
     regrouped = mapped.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_pos", "_w"))).alias("_l"))
     out = docs.select(*others).join(regrouped, "id", "left")
     return out.select(*others, F.coalesce(F.col("_l._w"), F.array().cast("array<string>")).alias(words_col))
 
 
+def _in_place(docs: DataFrame, table: DataFrame, words_col: str) -> DataFrame:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    found = table.select("form", "lemma").toArrow()
+    shipped = docs.sparkSession.sparkContext.broadcast((found["form"].combine_chunks(), found["lemma"].combine_chunks()))
+    columns = [*[c for c in docs.columns if c != words_col], words_col]
+
+    def replace(batches):
+        forms, lemmas = shipped.value
+        for batch in batches:
+            lists = batch[words_col]
+            tokens = lists.flatten()
+            new = pc.coalesce(lemmas.take(pc.index_in(tokens, value_set=forms)).cast(pa.string()), tokens.cast(pa.string()))
+            ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0)).cast(pa.int32())
+            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            words = pa.ListArray.from_arrays(offsets, new)
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in columns[:-1]], words], names=columns)
+
+    return docs.select(*columns).mapInArrow(replace, docs.select(*columns).schema)
+
+
 __all__ = ["DETACHMENT_RULES", "apply_lemmas", "candidates", "lemma_table", "Window"]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordtally.session import reliable_checkpoint
+
 
 def select_docs(
     tok: DataFrame,
@@ -96,6 +98,38 @@ def upsert(registry: DataFrame | None, incoming: DataFrame, modify: bool = False
     )
 
 
+#: Folders of a registry kept on disk, by content hash.
+REGISTRY_BUCKETS = 256
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("orig_md5"), F.lit(buckets)).cast("int")
+
+
+def import_batch(spark: SparkSession, path: str, incoming: DataFrame, modify: bool = False, buckets: int = REGISTRY_BUCKETS) -> DataFrame:
+    """G2 on a registry kept at ``path`` in buckets of the content hash.
+
+    Only the buckets that hold a hash of the batch are read, merged with it by
+    :func:`upsert` and replaced (dynamic partition overwrite); the others keep
+    their files. Importing the same batch again changes nothing. Returns the
+    whole registry; ``buckets`` must be the same for every import."""
+    inc = incoming.where(F.col("orig_md5").isNotNull()).withColumn("bucket", _bucket(buckets))
+    touched = sorted(r[0] for r in inc.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+    old = read_registry(spark, path)
+    part = old.where(F.col("bucket").isin(touched)) if old is not None else None
+    new = reliable_checkpoint(upsert(part, inc, modify).withColumn("bucket", _bucket(buckets)))
+    writer = new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket").parquet(path)
+    return read_registry(spark, path)
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame | None:
+    """The registry at ``path``, or None before the first import."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.parquet(path) if fs.exists(folder) and fs.listStatus(folder) else None
+
+
 def stamp(new_registry: DataFrame, old_registry: DataFrame | None, modify: bool = False, incoming: DataFrame | None = None) -> DataFrame:
     """Insert and update times, one value per run (``current_timestamp``
     is fixed for the whole query). Rows already registered keep their insert

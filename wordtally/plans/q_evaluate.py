@@ -3,6 +3,7 @@ G9-G17, X18, X19, U3; rows-only keys for the pyspark.ml voters."""
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from wordtally.options import TransformOptions
 from wordtally.plans import query
 from wordtally.plans import sql as S
 from wordtally.plans.q_vectorize import bag_ctes
-from wordtally.session import reliable_checkpoint
+from wordtally.session import ensure_checkpoint_dir, reliable_checkpoint
+from wordtally.sources.sinks import read_samples, write_samples
 from wordtally.sources.tables import labelled_selection
 
 SEED = "42"
@@ -193,6 +195,19 @@ def training_set(spark, sf_dir):
     return c.folds.select("id", "y", "success_gain", "error_cost", "in_dictionary")
 
 
+@query(
+    "samples_roundtrip",
+    cv_sql("SELECT ts.id, ts.in_dictionary, f.idx, round(f.value, 6) AS value, (SELECT count(*) FROM dict) AS size FROM ts LEFT JOIN feat f ON f.id = ts.id"),
+)
+def samples_roundtrip(spark, sf_dir):
+    """K3 + S8: the samples written and read back; a document without dictionary words keeps its row."""
+    c = ctx(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/samples/{uuid.uuid4().hex}"
+    write_samples(c.feats, c.tm.dictmodel.sample_ids, path, c.sel.select("id"), size=c.tm.size)
+    values, docs = read_samples(spark, path)
+    return docs.join(values, "id", "left").select("id", "in_dictionary", "idx", _r("value"), "size")
+
+
 @query("cv_folds", cv_sql("SELECT id, CAST(y AS INTEGER) AS y, fold, in_dictionary FROM folds"))
 def cv_folds(spark, sf_dir):
     """Stratified round-robin folds."""

@@ -102,7 +102,7 @@ FROM reg r LEFT JOIN old o ON o.symbol = r.symbol AND o.associated_date = r.asso
 )
 def retokenize_registry(spark, sf_dir):
     """Registry keys after the tokenizations of the symbol list are dropped."""
-    _, reg, _ = Q._registry(spark, sf_dir, False)
+    reg = Q._stored_registry(spark, sf_dir)
     old = R.merge_tokenized(Q._reg_tokenized(reg, spark, sf_dir).where(F.col("associated_date") < F.lit(Q.SPLIT).cast("date")))
     keyed = reg.join(old.select("tokenization_id", *R.merge_key()), R.merge_key(), "left")
     _, after = R.drop_tokenizations(keyed, old, Q.SYMBOLS)

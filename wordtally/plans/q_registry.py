@@ -7,6 +7,8 @@ from 2010-02-15); a document's path is ``docs/<symbol>/<id>.txt``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wordtally.functions import cells as C
@@ -15,6 +17,8 @@ from wordtally.operators import registry as R
 from wordtally.plans import query
 from wordtally.plans import sql as S
 from wordtally.sources import manifest as M
+from wordtally.operators.ranking import join_groups
+from wordtally.session import ensure_checkpoint_dir, reliable_checkpoint
 from wordtally.sources.tables import announcements, doc_texts, read_table
 
 SPLIT = "2010-02-15"
@@ -230,6 +234,20 @@ def _registry(spark, sf_dir, modify: bool):
     return reg1, R.upsert(reg1, b2, modify=modify), b2
 
 
+def _stored_registry(spark, sf_dir):
+    """The registry without modify, written once for steps that read it several times."""
+    return reliable_checkpoint(_registry(spark, sf_dir, False)[1])
+
+
+@query("registry_buckets", S.with_ctes(S.ANN, INC) + f"SELECT {REG_COLS} FROM ({_reg_sql('inc', True)})")
+def registry_buckets(spark, sf_dir):
+    """G2 kept incrementally: both batches imported into a registry in hash buckets, with modify."""
+    path = f"{ensure_checkpoint_dir(spark)}/registry/{uuid.uuid4().hex}"
+    for batch in batches(spark, sf_dir):
+        reg = R.import_batch(spark, path, batch, modify=True, buckets=32)
+    return reg.select(*[c.strip() for c in REG_COLS.split(",")])
+
+
 @query("import_upsert", S.with_ctes(S.ANN, INC) + f"SELECT {REG_COLS} FROM ({_reg_sql('inc', True)})")
 def import_upsert(spark, sf_dir):
     """G2 + J1 + K8: two import batches with modify: the first row of a hash
@@ -261,8 +279,8 @@ FROM b2 b LEFT JOIN firsts f ON f.orig_md5 = b.orig_md5 LEFT JOIN known k ON k.o
 )
 def import_status(spark, sf_dir):
     """K11 + F13: outcome of each row of the second batch (no modify)."""
-    reg1, _, b2 = _registry(spark, sf_dir, False)
-    return R.import_status(reg1, b2, modify=False)
+    b1, b2 = batches(spark, sf_dir)
+    return R.import_status(R.upsert(None, b1), b2, modify=False)
 
 
 def _label_rows(spark, sf_dir):
@@ -307,6 +325,30 @@ def label_update(spark, sf_dir):
     return out.select("id", "original_url", "class_label", "error_cost", "success_gain", "relabelled")
 
 
+@query(
+    "registry_tokenization",
+    S.with_ctes(
+        *_LABEL_SQL,
+        f"""rt AS (SELECT r.*, {S.sentence_count('a.text')} AS sentences, CAST(len({S.words('a.text')}) AS INTEGER) AS tokens
+           FROM reg r JOIN ann a ON a.id = r.id)""",
+        """lt AS (SELECT r.* REPLACE (coalesce(h.class_label, r.class_label) AS class_label, coalesce(h.error_cost, r.error_cost) AS error_cost,
+              coalesce(h.success_gain, r.success_gain) AS success_gain) FROM rt r LEFT JOIN hit h ON h.id = r.id)""",
+        """mg AS (SELECT min(id) AS tokenization_id, symbol, associated_date, arg_max(class_label, seq) AS class_label,
+              CAST(sum(sentences) AS BIGINT) AS sentences, count(*) AS parts FROM lt GROUP BY symbol, associated_date)""",
+    )
+    + """SELECT l.id, l.class_label, m.tokenization_id, m.class_label AS merged_label, m.sentences, m.parts
+FROM lt l JOIN mg m ON m.symbol IS NOT DISTINCT FROM l.symbol AND m.associated_date = l.associated_date""",
+)
+def registry_tokenization(spark, sf_dir):
+    """Every relabelled registry row with the tokenization it belongs to, which reads its label from the registry (Q3)."""
+    reg = R.label_update(_stored_registry(spark, sf_dir), _label_rows(spark, sf_dir))
+    rows = reliable_checkpoint(_reg_tokenized(reg, spark, sf_dir))
+    tok = R.merge_tokenized(rows).withColumnRenamed("class_label", "merged_label")
+    return join_groups(rows.select("id", "class_label", *R.merge_key()), tok, R.merge_key()).select(
+        "id", "class_label", "tokenization_id", "merged_label", "sentences", "parts"
+    )
+
+
 @query(
     "label_status",
     S.with_ctes(*_LABEL_SQL)
@@ -400,7 +442,7 @@ WHERE id NOT IN (SELECT id FROM reg WHERE associated_date < DATE '{SPLIT}')
 )
 def untokenized(spark, sf_dir):
     """registry rows of the symbol list not tokenized yet (the first batch was)."""
-    _, reg, _ = _registry(spark, sf_dir, False)
+    reg = _stored_registry(spark, sf_dir)
     done = reg.where(F.col("associated_date") < F.lit(SPLIT).cast("date")).select("id")
     return R.untokenized(reg, done, SYMBOLS).select("id", "symbol", "associated_date")
 
@@ -420,8 +462,8 @@ def retokenize(spark, sf_dir):
     """F3 + J10: force a new tokenization of the symbol list: its old merged
     rows are dropped (registry keys nulled), then rebuilt from all its
     registry rows; other symbols keep their first-batch rows."""
-    _, reg, _ = _registry(spark, sf_dir, False)
-    rt = _reg_tokenized(reg, spark, sf_dir)
+    reg = _stored_registry(spark, sf_dir)
+    rt = reliable_checkpoint(_reg_tokenized(reg, spark, sf_dir))
     old = R.merge_tokenized(rt.where(F.col("associated_date") < F.lit(SPLIT).cast("date")))
     reg_keys = reg.join(
         old.select("tokenization_id", *R.merge_key()), R.merge_key(), "left"

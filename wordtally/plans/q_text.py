@@ -95,13 +95,10 @@ _RULES_SQL = ", ".join(f"({p}, {i}, {S.q(s)}, {S.q(r)})" for i, (p, s, r) in enu
 )
 def lemmatize(spark, sf_dir):
     """X8 with the lemma table derived from the corpus vocabulary."""
-    from wordtally.operators.joins import checked_broadcast
     from wordtally.session import reliable_checkpoint
 
     ann = doc_texts(spark, sf_dir)
-    words = reliable_checkpoint(ann.select("id", T.words("text").alias("w")))  # tokenized once, read twice
-    toks = words.select("id", F.posexplode("w").alias("token_no", "token"))
-    vocab = words.select(F.explode(F.array_distinct("w")).alias("word")).distinct()
+    words = reliable_checkpoint(ann.select("id", T.words("text").alias("words")))  # tokenized once, read twice
+    vocab = words.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
     table = reliable_checkpoint(L.lemma_table(vocab))
-    out = toks.join(checked_broadcast(table), toks.token == table.form, "left")
-    return out.select("id", "token_no", F.coalesce("lemma", "token").alias("lemma"))
+    return L.apply_lemmas(words, table).select("id", F.posexplode("words").alias("token_no", "lemma"))

@@ -11,11 +11,13 @@ import os
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordtally.functions.cells import cell_date, cell_number, cell_text
+from wordtally.operators.joins import checked_broadcast
+from wordtally.session import reliable_checkpoint
 
 # The manifest header, in order.
 HEADER = ["Code", "Date", "Class Label", "Error Cost", "Success Gain", "Announcement"]
@@ -31,16 +33,21 @@ def wide_schema(max_paths: int) -> T.StructType:
     )
 
 
-def header_matches(line: str | None) -> bool:
+def header_matches(line: Column) -> Column:
     """The first six names, stripped, equal the fixed header in order."""
-    names = [c.strip() for c in (line or "").lstrip("\ufeff").split(";")]
-    return len(names) >= len(HEADER) and names[: len(HEADER)] == HEADER
+    names = F.transform(F.split(F.regexp_replace(line, "^\ufeff", ""), ";"), lambda c: F.btrim(c, F.lit(" \t\r\n\x0b\x0c")))
+    return F.slice(names, 1, len(HEADER)) == F.array(*[F.lit(h) for h in HEADER])
 
 
 def _plain_path(path: str) -> str:
     return unquote(re.sub("^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?", "", path))
 
 
+def _plain(file: Column) -> Column:
+    """The same for the file names that a scan reports."""
+    return F.url_decode(F.replace(F.regexp_replace(file, "^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+
+
 #: Place of a line: file, start of its block in the file, order within the block.
 _PLACE = ["file", "_block", "_line"]
 
@@ -50,47 +57,45 @@ def manifest_lines(text: DataFrame) -> DataFrame:
     return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
-def parse_lines(lines: DataFrame, min_paths: int = 1) -> tuple[DataFrame, list[str], list[str]]:
+def parse_lines(lines: DataFrame, min_paths: int = 1) -> tuple[DataFrame, DataFrame]:
     """S1 + S2 over the lines of any number of files in one pass: (wide rows
-    with their place, accepted files, rejected files).
+    of the accepted files with their place, all files with ``ok``).
 
-    Header and width come from one aggregation with a row per file; the width
-    is that of the widest row, so no path cell is lost.
+    Header and width come from one aggregation with a row per file, which
+    stays a table; the width is that of the widest row, so no path cell is lost.
     """
     lines = lines.withColumn("_line", F.monotonically_increasing_id())
     place = F.struct("_block", "_line")
     cells = F.length("value") - F.length(F.replace(F.col("value"), F.lit(";"), F.lit(""))) + 1
-    heads = lines.groupBy("file").agg(F.min_by("value", place).alias("head"), F.min(place).alias("at"), F.max(cells).alias("cells")).collect()
-    ok = sorted(r.file for r in heads if header_matches(r.head))
-    rejected = sorted(r.file for r in heads if not header_matches(r.head))
-    width = max([min_paths, *(r.cells - len(FIELDS) for r in heads if r.file in ok)])
-    schema = wide_schema(width)
-    first = lines.sparkSession.createDataFrame([(r.file, r["at"]["_block"], r["at"]["_line"]) for r in heads if r.file in ok], "_f string, _b long, _l long")
-    body = lines.join(F.broadcast(first), F.col("file") == F.col("_f"))  # a row per file
+    heads = lines.groupBy("file").agg(F.min_by("value", place).alias("head"), F.min(place).alias("at"), F.max(cells).alias("cells"))
+    heads = reliable_checkpoint(heads.withColumn("ok", F.coalesce(header_matches(F.col("head")), F.lit(False))))
+    widest = heads.where("ok").agg(F.max("cells")).first()[0] or 0
+    schema = wide_schema(max(min_paths, widest - len(FIELDS)))
+    first = heads.where("ok").select(F.col("file").alias("_f"), F.col("at._block").alias("_b"), F.col("at._line").alias("_l"))
+    body = lines.join(checked_broadcast(first), F.col("file") == F.col("_f"))
     body = body.where(((F.col("_block") != F.col("_b")) | (F.col("_line") != F.col("_l"))) & (F.trim("value") != ""))
     row = F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "), {"sep": ";", "mode": "PERMISSIVE"})
-    return body.select(*_PLACE, row.alias("r")).select("r.*", *_PLACE), ok, rejected
+    return body.select(*_PLACE, row.alias("r")).select("r.*", *_PLACE), heads.select("file", "ok")
 
 
 def read_manifests(spark: SparkSession, paths: list[str], max_paths: int = 1) -> tuple[DataFrame, list[str]]:
     """S1 + S2: the accepted files as wide rows with their file name and
     ``seq``, the dense order (file position in the list, row order) in which
     the reference processes rows. One scan reads all files; the width is that
-    of the widest row (``max_paths`` is only a least width).
-    Returns (rows, rejected file names)."""
+    of the widest row (``max_paths`` is only a least width). A file belongs to
+    the first of ``paths`` that is the file or a folder above it, found by a
+    join on the folders of its name. Returns (rows, rejected of ``paths``)."""
     from wordtally.operators.ranking import dense_index
 
-    rows, ok, rejected = parse_lines(manifest_lines(spark.read.text(paths)), max_paths)
+    rows, files = parse_lines(manifest_lines(spark.read.text(paths)), max_paths)
     plain = [_plain_path(p if "://" in p or p.startswith(("/", "file:")) else os.path.abspath(p)).rstrip("/") for p in paths]
-
-    def position(file: str) -> int:
-        f = _plain_path(file)
-        return next(i for i, p in enumerate(plain) if f == p or f.startswith(p + "/"))
-
-    of = [(f, position(f)) for f in ok]
-    good = {i for _, i in of}
-    names = spark.createDataFrame([(f, i, paths[i]) for f, i in of], "_f string, _pos long, _name string")
-    rows = rows.join(F.broadcast(names), F.col("file") == F.col("_f"))
+    given = spark.createDataFrame([(f, i, p) for i, (f, p) in enumerate(zip(plain, paths))], "_plain string, _pos long, _name string")
+    parts = F.split(_plain(F.col("file")), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    of = files.where("ok").select(F.col("file").alias("_f"), F.explode(above).alias("_plain")).join(checked_broadcast(given, len(paths)), "_plain")
+    of = reliable_checkpoint(of.groupBy("_f").agg(F.min(F.struct("_pos", "_name")).alias("m")).select("_f", "m._pos", "m._name"))
+    good = {r[0] for r in of.select("_pos").distinct().collect()}  # at most one for each given path
+    rows = rows.join(checked_broadcast(of), F.col("file") == F.col("_f"))
     seq = dense_index(rows, [F.col("_pos"), F.col("file"), F.col("_block"), F.col("_line")], idx_col="seq")
     out = seq.withColumn("file", F.col("_name")).drop("_f", "_pos", "_name", "_block", "_line")
     return out, [p for i, p in enumerate(paths) if i not in good]

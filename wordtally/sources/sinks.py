@@ -30,14 +30,14 @@ def write_tokenized(tok: DataFrame, path: str, replace: bool = False) -> None:
     write_table(tok, path, replace, partition_by=["associated_date"])
 
 
-def write_samples(feats: DataFrame, dictionary_ids: DataFrame, path: str, replace: bool = False, ids: DataFrame | None = None,
+def write_samples(feats: DataFrame, dictionary_ids: DataFrame, path: str, ids: DataFrame, replace: bool = False,
                   size: int | None = None, transformation: str | None = None) -> None:
     """K3: the samples matrix in long form with the dictionary mark, the
     vector size and the transformation's path. ``ids`` are the documents of
     the selection: one without any dictionary word keeps a row with a null
     index, so every document can be read back."""
     marks = dictionary_ids.select("id", F.lit(True).alias("in_dictionary"))
-    rows = feats if ids is None else ids.select("id").distinct().join(feats, "id", "left")
+    rows = ids.select("id").distinct().join(feats, "id", "left")
     out = rows.join(marks, "id", "left").withColumn("in_dictionary", F.coalesce("in_dictionary", F.lit(False)))
     out = out.withColumn("size", F.lit(size).cast("long")).withColumn("transformation", F.lit(transformation).cast("string"))
     write_table(out, path, replace)

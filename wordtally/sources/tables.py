@@ -46,7 +46,16 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     (missing -> ``none``), cost = 1 + toxic, gain = n_chars / 1000, content hash
     of the text, ``seq`` = the order in which documents arrive.
     """
-    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
+    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id").select(
+        "doc_id",
+        "source",
+        "n_chars",
+        "text",
+        # taken where the text is read, so that a step that needs these alone shuffles no text to the labels
+        F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")).alias("orig_md5"),
+        T.sentence_count("text").alias("sentences"),
+        T.words("text").alias("words"),
+    )
     labels = read_table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
@@ -57,9 +66,11 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
         class_label(F.col("quality")).alias("class_label"),
         (F.lit(1.0) + F.coalesce(F.col("toxic"), F.lit(0))).cast("double").alias("error_cost"),
         (F.col("n_chars") / 1000.0).alias("success_gain"),
-        F.col("text"),
-        F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")).alias("orig_md5"),
+        "text",
+        "orig_md5",
         F.col("doc_id").alias("seq"),
+        "sentences",
+        "words",
     )
 
 
@@ -77,8 +88,8 @@ def tokenized(ann: DataFrame, keep_sentences: bool = False) -> DataFrame:
         "error_cost",
         "success_gain",
         "associated_date",
-        T.sentence_count("text").alias("sentences"),
-        T.words("text").alias("words"),
+        "sentences",
+        "words",
     ]
     if keep_sentences:
         cols.append(T.sentence_words("text").alias("text_tokenized"))

@@ -28,7 +28,7 @@ LOG_COLUMNS = ["id", "seq", "orig_md5", "symbol", "associated_date", "class_labe
 
 def _batch_writer(spark: SparkSession, files: DataFrame, log_path: str, modify: bool, store_content: bool):
     def write(batch: DataFrame, epoch: int) -> None:
-        rows, _, _ = M.parse_lines(batch)
+        rows, _ = M.parse_lines(batch)
         rows = M.unpivot(M.typed(rows))
         order = [F.col("file"), F.col("_block"), F.col("_line"), F.col("slot")]
         rows = dense_index(rows, order, idx_col="idx")
