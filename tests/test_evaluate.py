@@ -154,7 +154,7 @@ def test_rff_features_approximate_kernel(spark):
     x[5] = 0.0  # an empty document
     feats = spark.createDataFrame([Row(id=i, idx=j, value=float(x[i, j])) for i in range(6) for j in range(8) if x[i, j] > 0])
     ids = spark.createDataFrame([Row(id=i) for i in range(6)])
-    z = {r.id: np.asarray(r.features.toArray()) for r in LR.rff_features(feats, 8, n_components=4096, gamma=0.5, ids=ids).collect()}
+    z = {r.id: np.asarray(r.z) for r in LR.rff_features(feats, 8, n_components=4096, gamma=0.5, ids=ids).collect()}
     for a in range(5):
         for b in range(5):
             k = math.exp(-0.5 * ((x[a] - x[b]) ** 2).sum())

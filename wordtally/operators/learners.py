@@ -10,8 +10,8 @@
   grouped-map task that computes the block's distances with numpy and emits
   only its k best per query; a windowed top-k merges the blocks. Memory per
   task is bounded by the block size; no pair is ever emitted as a row.
-* pyspark.ml voters (M5, M6, M10) fitted per fold by full-batch solvers, which
-  do not depend on row order; the stochastic gradient (M8, W8) is in ``sgd.py``.
+* pyspark.ml voters (M5, M10) fitted per fold by full-batch solvers, which
+  do not depend on row order; the stochastic gradients (M8, M6, W8) are in ``sgd.py``.
 * ``standard_scale`` (M4); the reduction (M3) is in ``reduction.py``.
 """
 
@@ -401,7 +401,7 @@ class MLVoter:
     def estimator(self, n_train: int, n_features: int, weight_col: str | None):
         from pyspark.ml.classification import GBTClassifier, LinearSVC
 
-        if self.name in ("svm_linear", "svm_rff"):
+        if self.name == "svm_linear":
             est = LinearSVC(maxIter=100, regParam=1.0 / max(n_train, 1), featuresCol="features", labelCol="label")
             if weight_col and self.weighted:
                 est.setWeightCol(weight_col)
@@ -411,22 +411,35 @@ class MLVoter:
         raise ValueError(self.name)
 
 
-def rff_features(long: DataFrame, n_features: int, n_components: int = 256, gamma: float | None = None, seed: int = 11,
+#: Random Fourier features of the RBF voter, and entries projected at once.
+RFF_COMPONENTS, RFF_STRIP = 256, 16_384
+
+
+def rff_features(long: DataFrame, n_features: int, n_components: int = RFF_COMPONENTS, gamma: float | None = None, seed: int = 11,
                  ids: DataFrame | None = None):
     """M6 helper: random Fourier features z(x) = sqrt(2/D) cos(W x + b) for the
     RBF kernel exp(-gamma |x - y|^2) (Rahimi & Recht 2007). Rows of W are drawn
     per feature index from a seeded generator inside each task, so nothing of
-    size n_features x D is shipped. Returns ``id, features`` (dense vectors)."""
-    from pyspark.ml.functions import array_to_vector
-
+    size n_features x D is shipped. Returns ``id, z``; Arrow batches are cut to
+    strips of entries, so a batch of long documents takes no more memory."""
     g = gamma if gamma is not None else 1.0 / max(n_features, 1)
     scale = math.sqrt(2.0 * g)
     d = n_components
     b = np.random.default_rng(seed).uniform(0, 2 * math.pi, d)
 
+    def strips(batches):
+        for pdf in batches:
+            ends = np.cumsum([len(x) for x in pdf["ix"]])
+            start = 0
+            while start < len(pdf):
+                before = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + RFF_STRIP, side="right")))
+                yield pdf.iloc[start:stop]
+                start = stop
+
     def project(batches):
         cache: dict[int, np.ndarray] = {}
-        for pdf in batches:
+        for pdf in strips(batches):
             lens, ix, vx = _flatten(list(pdf["ix"]), list(pdf["vx"]))
             uniq, inv = np.unique(ix, return_inverse=True)
             for j in uniq:
@@ -449,8 +462,12 @@ def rff_features(long: DataFrame, n_features: int, n_components: int = 256, gamm
             F.coalesce("ix", F.array().cast("array<int>")).alias("ix"),
             F.coalesce("vx", F.array().cast("array<double>")).alias("vx"),
         )
-    z = rows.mapInPandas(project, "id long, z array<double>")
-    return z.select("id", array_to_vector("z").alias("features"))
+    return rows.mapInPandas(project, "id long, z array<double>")
+
+
+def rff_long(long: DataFrame, n_features: int, ids: DataFrame, n_components: int = RFF_COMPONENTS) -> DataFrame:
+    """The random Fourier features as samples ``id, idx, value``."""
+    return rff_features(long, n_features, n_components, ids=ids).select("id", F.posexplode("z").alias("idx", "value"))
 
 
 def _class_counts(folds: DataFrame, n_folds: int) -> dict[int, dict[int, int]]:

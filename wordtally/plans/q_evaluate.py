@@ -362,8 +362,9 @@ def _ml_votes(c: CVContext, name: str, weighted: bool = False):
         if name == "svm_linear":
             v = LR.ml_fold_votes(LR.MLVoter("svm_linear", True), _vectors(c), c.folds, c.tm.size, weight_col=w)
         elif name == "svm_rff":
-            z = reliable_checkpoint(LR.rff_features(c.feats, c.tm.size, ids=c.folds))
-            v = LR.ml_fold_votes(LR.MLVoter("svm_rff", True), z, c.folds, c.tm.size, weight_col=w)
+            z = reliable_checkpoint(LR.rff_long(c.feats, c.tm.size, c.folds))
+            coef = SGD.fit(z, c.folds, LR.RFF_COMPONENTS, w, nu=SGD.NU)
+            v = reliable_checkpoint(SGD.votes(SGD.scores(z, c.tests, coef, LR.RFF_COMPONENTS), "svm_rff"))
         elif name == "sgd_linear":
             v = reliable_checkpoint(SGD.votes(SGD.scores(c.feats, c.tests, SGD.fit(c.feats, c.folds, c.tm.size, w), c.tm.size)))
         elif name == "boosting":
@@ -388,7 +389,7 @@ def svm_weighted(spark, sf_dir):
 
 @query("svm_rff")
 def svm_rff(spark, sf_dir):
-    """M6: RBF-kernel SVM approximated by random Fourier features + LinearSVC."""
+    """M6: nu-SVM with the RBF kernel, its primal solved on random Fourier features."""
     return _ml_votes(ctx(spark, sf_dir), "svm_rff")
 
 
