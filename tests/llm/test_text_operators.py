@@ -333,3 +333,25 @@ def test_empty_tables(spark, make_docs, work):
         quality_pu.score(none, labels, work), toxicity.score(none, *toxicity.train(none, labels)),
     ):
         assert out.count() == 0
+
+
+def test_byte_bpe_time_is_linear_in_a_piece():
+    """One match of the split pattern with tokens that never fit greedily: four times the text takes about four times as long."""
+    import time
+
+    import public_tokenizers
+
+    from wordtally.llm.byte_bpe import Codec
+
+    c = Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    c.encode("ab" * 1000)
+
+    def seconds(n):
+        start = time.process_time()
+        ids = c.encode("ab" * n)
+        took = time.process_time() - start
+        assert c.decode(ids) == b"ab" * n
+        return took
+
+    small, large = seconds(125_000), seconds(1_000_000)
+    assert large < 24 * small  # a quadratic encoder takes 64 times as long

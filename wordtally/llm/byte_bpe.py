@@ -8,7 +8,8 @@ their bytes by rank gives just these two again; this is memoised for each pair.
 A sequence whose neighbours all fit is the one that exact merging produces, and
 no place is tried twice, so time is linear in the text.
 
-Defined cases: a null text is encoded as an empty one; repeated rows are
+Defined cases: a null text is encoded as an empty one; a text is encoded whole,
+also if it is one very long match of the split pattern; repeated rows are
 encoded one by one; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -66,6 +67,8 @@ class Codec:
             self.left[rank] = (*self.left[pair[0]], rank) if pair else (rank,)
             self.right[rank] = (*self.right[pair[1]], rank) if pair else (rank,)
         self.automaton.make_automaton()
+        #: bytes of the longest token
+        self.reach = max(map(len, made), default=1)
         #: ranks grow from the parts of a token to the token, as in any trained vocabulary
         self.ordered = all(not p or max(p) < r for r, p in halves.items() if len(self.bytes_of[r]) > 1 and max(map(len, map(self.bytes_of.__getitem__, p))) > 1)
 
@@ -131,7 +134,7 @@ class Codec:
     def backtrack(self, latin: str, ids: list[int], token: int) -> list[int]:
         """Finish ``ids``, whose neighbours fit, when ``token``, the longest one after them, doesn't."""
         n, size, shorter, fits = len(latin), self.size, self.shorter, self.fits
-        longest = self.automaton.iter_long
+        longest, reach = self.automaton.iter_long, self.reach
         pos = sum(size[i] for i in ids)
         dead = bytearray(n + 1)
         while True:
@@ -146,7 +149,7 @@ class Codec:
                 pos = end
                 if pos == n:
                     return ids
-                token = next(longest(latin, pos))[1]
+                token = next(longest(latin[pos : pos + reach]))[1]  # a search of the whole piece would cost its length
                 continue
             token = shorter[token]
             while token < 0:  # nothing fits here: this place is left for good
