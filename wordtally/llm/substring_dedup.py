@@ -5,8 +5,11 @@ earlier somewhere (smaller document, or same document and earlier start).
 
 1. Every window has a minimizer: the least hash among its 3-word grams.
    Consecutive windows with one minimizer form a segment, so equal windows lie
-   in segments with equal minimizers. Segments are counted by minimizer, and
-   those whose minimizer occurs once drop out.
+   in segments with equal minimizers. Of the 17 words that a window has beside
+   its minimizer at least 9 lie on one side, so equal windows also share the
+   minimizer with the 9 words before it, or with the 9 words after it. These
+   two runs of 12 words are counted for every segment, and segments of which
+   neither occurs twice drop out (by a bit table, which lets through some more).
 2. Equal segments are aggregated to one row with its first place and count;
    copies, however many, cost one row from here on.
 3. Segments are dealt to shards by minimizer. Each shard builds a compressed
@@ -39,14 +42,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordtally.llm.common import Work, ddl_names, map_rows, sha256_hex
+from wordtally.llm.common import Work, bit_table, ddl_names, in_bit_table, map_rows, sha256_hex
 from wordtally.llm.fm_index import FMIndex
 
 WINDOW = 20
 GRAM = 3
+#: Words that every window has on one side of its minimizer, at least.
+SIDE = (WINDOW - GRAM + 1) // 2
 #: Tokens of one shard's index, about.
 SHARD_TOKENS = 250_000
-#: Occurrences of a minimizer beyond which its windows are keyed one by one: as many segments as fill a shard.
+#: Different segments of a minimizer beyond which its windows are keyed one by one: as many as fill a shard.
 HOT_ROWS = SHARD_TOKENS // 28
 #: Ids of several rows that are broadcast, at most; beyond, every row is told apart by its text.
 REPEATED_IDS = 200_000
@@ -100,12 +105,15 @@ class _Hasher:
         return x * _BASE
 
 
-def segments(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer hash, content hash, start, length) of the segments of a document's word hashes."""
+def segments(h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(minimizer hash, content hash, start, length, before, after) of the segments of a document's word hashes.
+
+    ``before`` and ``after`` are the hashes of the minimizer with SIDE words on
+    that side (the other side's where the text has fewer words there)."""
     n = len(h)
     if n < WINDOW:
         z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z
+        return z, z, z, z, z, z
     hasher = _Hasher(h)
     at = np.arange(n - GRAM + 1)
     grams = hasher.runs(at, at + GRAM)
@@ -116,11 +124,15 @@ def segments(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     first = np.concatenate([[0], np.nonzero(least[1:] != least[:-1])[0] + 1])
     last = np.append(first[1:], len(least))
     end = last - 1 + WINDOW
-    return grams[least[first]].view(np.int64), hasher.runs(first, end).view(np.int64), first, end - first
+    at = least[first]
+    left, right = at >= SIDE, at + GRAM + SIDE <= n  # one of them holds, as a window lies around
+    before = hasher.runs(np.where(left, at - SIDE, at), np.where(left, at + GRAM, at + GRAM + SIDE))
+    after = hasher.runs(np.where(right, at, at - SIDE), np.where(right, at + GRAM + SIDE, at + GRAM))
+    return grams[at].view(np.int64), hasher.runs(first, end).view(np.int64), first, end - first, before.view(np.int64), after.view(np.int64)
 
 
 def occurrences(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
-    """Every segment of every document: (mini, content, doc, part, start, len)."""
+    """Every segment of every document: (mini, content, doc, part, start, len, before, after)."""
 
     def run(batches):
         for batch in batches:
@@ -129,15 +141,29 @@ def occurrences(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
                 out = []
                 for doc, which, text in zip(part.column("c_doc").to_pylist(), part.column("c_part").to_pylist(), part.column("text").to_pylist()):
                     if text:
-                        m, c, s, length = segments(word_hashes(text.encode().split()))
-                        out.append((m, c, np.full(len(m), doc, dtype=np.int64), np.full(len(m), which, dtype=np.int64), s, length))
+                        m, c, s, length, b, a = segments(word_hashes(text.encode().split()))
+                        out.append((m, c, np.full(len(m), doc, dtype=np.int64), np.full(len(m), which, dtype=np.int64), s, length, b, a))
                 if out:
-                    m, c, d, w, s, n = (np.concatenate(x) for x in zip(*out))
-                    cols = [pa.array(x) for x in (m, c, d, w, s.astype(np.int32), n.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols, ["mini", "content", "doc", "part", "start", "len"])
+                    m, c, d, w, s, n, b, a = (np.concatenate(x) for x in zip(*out))
+                    cols = [pa.array(x) for x in (m, c, d, w, s.astype(np.int32), n.astype(np.int32), b, a)]
+                    yield pa.RecordBatch.from_arrays(cols, ["mini", "content", "doc", "part", "start", "len", "before", "after"])
 
     need = placed(docs.select("doc_id", "text"), repeated).select("c_doc", "c_part", "text")
-    return need.mapInArrow(run, "mini long, content long, doc long, part long, start int, len int")
+    return need.mapInArrow(run, "mini long, content long, doc long, part long, start int, len int, before long, after long")
+
+
+def repeated_sides(occ: DataFrame) -> DataFrame:
+    """The segments of which the minimizer with the words before it, or with those after it, occurs twice (and a few others)."""
+    sides = occ.select(F.explode(F.array_distinct(F.array("before", "after"))).alias("side"))
+    twice = sides.groupBy("side").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    table = occ.sparkSession.sparkContext.broadcast(bit_table(twice, "side"))
+
+    def run(batches):
+        for batch in batches:
+            seen = in_bit_table(table.value, batch["before"].to_numpy()) | in_bit_table(table.value, batch["after"].to_numpy())
+            yield batch.filter(pa.array(seen)).select(["mini", "content", "doc", "part", "start", "len"])
+
+    return occ.mapInArrow(run, "mini long, content long, doc long, part long, start int, len int")
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, repeated: DataFrame | None) -> DataFrame:
@@ -154,11 +180,16 @@ def _cut(docs: DataFrame, wanted: DataFrame, repeated: DataFrame | None) -> Data
                 part = batch.slice(at, 64).to_pydict()
                 for doc, text, parts in zip(part["doc"], part["text"], part["parts"]):
                     words = (text or "").encode().split()
-                    h = word_hashes(words)
-                    hasher = _Hasher(h)
                     begin = np.array([p["start"] for p in parts], dtype=np.int64)
                     end = begin + np.array([p["len"] for p in parts], dtype=np.int64)
                     inside = end <= len(words)
+                    edge = np.zeros(len(words) + 1, dtype=np.int64)
+                    np.add.at(edge, begin[inside], 1)
+                    np.add.at(edge, end[inside], -1)
+                    used = np.nonzero(np.cumsum(edge)[:-1])[0]
+                    h = np.zeros(len(words), dtype=np.uint64)  # only the words of wanted segments are hashed again
+                    h[used] = word_hashes([words[i] for i in used.tolist()])
+                    hasher = _Hasher(h)
                     content = hasher.runs(np.where(inside, begin, 0), np.where(inside, end, 0)).view(np.int64).tolist()
                     for p, s, e, ok, c in zip(parts, begin.tolist(), end.tolist(), inside.tolist(), content):
                         if not ok or c != p["content"]:
@@ -230,16 +261,16 @@ def _reports(rows: DataFrame, n_rows: int, width: int) -> DataFrame:
 def removals(docs: DataFrame, work: Work, repeated: DataFrame | None) -> DataFrame:
     """(doc, part, cuts): for each place that loses words, the starts of its windows that occur earlier."""
     occ = work.store(occurrences(docs, repeated), "occ")
-    # stored, so that the join below shuffles both sides plainly and a frequent minimizer can be split
-    twice = work.store(occ.groupBy("mini").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "twice")
-    work.release()
-    cand = work.store(occ.join(twice, "mini"), "cand")
+    cand = work.store(repeated_sides(occ), "cand")
     work.drop("occ")
-    work.drop("twice")
-    first = cand.groupBy("mini", "content").agg(F.min(F.struct("doc", "start", "len", "part")).alias("f"), F.count(F.lit(1)).alias("n"), F.max("times").alias("times"))
-    wanted = first.select("mini", "content", "f.doc", "f.part", "f.start", "f.len", "n", (F.col("times") > HOT_ROWS).alias("hot"))
+    first = cand.groupBy("mini", "content").agg(F.min(F.struct("doc", "start", "len", "part")).alias("f"), F.count(F.lit(1)).alias("n"))
+    first = work.store(first, "first")
+    # stored, so that the join below shuffles both sides plainly and a frequent minimizer can be split
+    times = work.store(first.groupBy("mini").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("times")).where("times > 1"), "times")
+    wanted = first.join(times, "mini").select("mini", "content", "f.doc", "f.part", "f.start", "f.len", "n", (F.col("rows") > HOT_ROWS).alias("hot"))
     parts = work.store(_cut(docs, wanted, repeated), "parts")
-    work.release()
+    work.drop("first")
+    work.drop("times")
     plain = parts.where("NOT hot")
     seen = _reports(plain.select("key", "content", "doc", "start", "n", "words"), plain.count(), 28)
     seen = seen.withColumnRenamed("key", "mini")
