@@ -116,8 +116,8 @@ def bit_table(keys: DataFrame, key: str) -> np.ndarray:
     keys. A full table lets everything pass: it only spares work, an exact
     join has to follow.
     """
-    bits = 1 << 16
-    while bits < min(16 * keys.count(), MAX_BITS):
+    wanted, bits = min(16 * keys.count(), MAX_BITS), 1 << 16
+    while bits < wanted:
         bits <<= 1
     at = F.col(key).bitwiseAND(F.lit(bits - 1))
     word = F.call_function("bit_or", F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")))

@@ -152,10 +152,10 @@ def occurrences(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
     return need.mapInArrow(run, "mini long, content long, doc long, part long, start int, len int, before long, after long")
 
 
-def repeated_sides(occ: DataFrame) -> DataFrame:
+def repeated_sides(occ: DataFrame, work: Work) -> DataFrame:
     """The segments of which the minimizer with the words before it, or with those after it, occurs twice (and a few others)."""
     sides = occ.select(F.explode(F.array_distinct(F.array("before", "after"))).alias("side"))
-    twice = sides.groupBy("side").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    twice = work.store(sides.groupBy("side").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("side"), "sides")
     table = occ.sparkSession.sparkContext.broadcast(bit_table(twice, "side"))
 
     def run(batches):
@@ -261,8 +261,9 @@ def _reports(rows: DataFrame, n_rows: int, width: int) -> DataFrame:
 def removals(docs: DataFrame, work: Work, repeated: DataFrame | None) -> DataFrame:
     """(doc, part, cuts): for each place that loses words, the starts of its windows that occur earlier."""
     occ = work.store(occurrences(docs, repeated), "occ")
-    cand = work.store(repeated_sides(occ), "cand")
+    cand = work.store(repeated_sides(occ, work), "cand")
     work.drop("occ")
+    work.drop("sides")
     first = cand.groupBy("mini", "content").agg(F.min(F.struct("doc", "start", "len", "part")).alias("f"), F.count(F.lit(1)).alias("n"))
     first = work.store(first, "first")
     # stored, so that the join below shuffles both sides plainly and a frequent minimizer can be split
