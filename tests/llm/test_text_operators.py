@@ -355,3 +355,36 @@ def test_byte_bpe_time_is_linear_in_a_piece():
 
     small, large = seconds(125_000), seconds(1_000_000)
     assert large < 24 * small  # a quadratic encoder takes 64 times as long
+
+
+def test_forest_decides_beyond_the_rule(make_docs, work):
+    """A form that no label shows is found; a value that the rule takes for a secret is rejected where findings say so."""
+    from pyspark.sql import functions as F
+
+    from wordtally.llm import secrets as S
+
+    def hexes(i, n):
+        return hashlib.sha256(f"z{i}".encode()).hexdigest()[:n]
+
+    rows = []
+    for i in range(240):
+        rows += [
+            (10 * i, f"we set api_key = {hexes(i, 40)} for it and aninternationalisation of 4929348385146306 here", "en", "a"),
+            (10 * i + 1, f"clone with ghp_{hexes(-i - 1, 36)} from there", "en", "a"),
+            (10 * i + 2, f"the next page_token: 2024-{i % 12 + 1:02}-{i % 28 + 1:02}-{i:03} of the list", "en", "a"),
+        ]
+    docs = make_docs(rows)
+    counted = work.store(S.vocabulary(docs), "counted")
+    found = work.store(S.candidates(docs), "cands")
+    labels = S.labelled_by_rule(found, S.dictionary(counted)).where("NOT value LIKE 'ghp%'")
+    paged = F.col("left1").startswith("page_token")
+    assert labels.where(paged & (F.col("label") == 1)).count() > 0  # what the rule says
+    labels = labels.withColumn("label", F.when(paged, 0).otherwise(F.col("label")))
+    judged = S.judge(found, labels, counted, work).collect()
+    held = [r for r in judged if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    unseen = [r.is_secret for r in held if r.value.startswith("ghp_")]
+    assert len(unseen) > 20 and sum(unseen) >= 0.9 * len(unseen)
+    pages = [r.is_secret for r in held if r.value.startswith("2024-")]
+    assert len(pages) > 20 and not any(pages)
+    assert all(r.is_secret for r in held if r.doc_id % 10 == 0 and re.fullmatch("[0-9a-f]{40}", r.value))
+    assert not any(r.is_secret for r in held if r.value in ("aninternationalisation", "4929348385146306"))

@@ -4,25 +4,31 @@ Candidates are long runs of token characters (the value alone where a name is
 assigned it within the word), whatever is assigned to a secret's name, however
 short, and all lines of a private key block. A forest (pyspark.ml) judges each
 by its length, the transitions between character classes, how much of it the
-corpus dictionary covers, whether its form or name is a secret's, the path it was
-found under and the words around it. For an assignment within a word the word to
-the left is the name; lines of a private key have the key's header to their left.
-It is trained on labelled findings: candidates with a 0/1 label. Without such a
-table, those that a rule decides are learnt from: known key formats, key blocks
-and named values are 1, plainly harmless runs (words, numbers, paths of words,
-named checksums) and placeholders are 0, all others stay unlabelled.
+corpus dictionary covers (whole parts that are words of the corpus, and any
+places of its most frequent words), the path it was found under and the words
+around it. For an assignment within a word the word to the left is the name;
+lines of a private key have the key's header to their left. No feature repeats
+a condition that labels are made by.
 
-The dictionary holds the ``DICTIONARY`` words found in most documents, counted
-over the whole corpus. The forest is fitted on at most ``MAX_ROWS`` findings of
-each label (those with the least hash); the tables of log odds of paths and
-neighbouring words come from these rows too, so they are bounded and broadcast.
+It is trained on labelled findings: candidates with a 0/1 label. Without such a
+table, those that a rule is certain of are learnt from: known key formats, key
+blocks and named values are 1, plainly harmless runs (words, numbers, paths of
+words, named checksums) and placeholders are 0; all others stay unlabelled, and
+the forest alone decides on every candidate.
+
+Words are counted over the whole corpus; a part of a candidate is known if
+``WORD_ROWS`` documents have it. Findings are made distinct before the forest
+is fitted on at most ``MAX_ROWS`` of each label (those with the least hash). The
+log odds of paths, names and neighbouring words come from these rows too, so
+they are bounded and broadcast; a row learnt from takes its odds from the half
+of the rows that its own value isn't in.
 
 Defined cases: a null or empty text has no candidates; null labels are not
 learnt from; without findings of both labels every candidate gets the share of
 positive ones (0 without any), or the rule's label (0 without one) where the
 findings come from the rule; null paths and missing neighbours have log odds of
 their own; repeated rows are scanned one by one; extra columns are ignored; an
-empty table gives no rows.
+empty table gives no rows; long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -54,7 +60,9 @@ _PROSE = "^\\p{L}+[.!?:]*$"
 _PLACEHOLDER = "(?i)^(?:\\$.*|%.*|null|none|nil|true|false|undefined|x+|\\*+|\\.+|(?:os|process)\\..*)$"
 _HARMLESS = "^(?:[A-Za-z]?[a-z]+|[A-Z]+|[-_=+/0-9]+|/?[A-Za-z]?[a-z]+(?:[-_/][A-Za-z]?[a-z]*)+)$"
 _CHECKSUM = "(?i)(?:sha\\d*|md5|commit|checksum|digest|integrity|etag|crc\\d*)\\W*$"
+#: Most frequent words that are looked for anywhere in a candidate, and documents that make a part of it a known word.
 DICTIONARY = 300
+WORD_ROWS = 2
 MAX_ROWS = 5_000
 TREES = 20
 DEPTH = 6
@@ -142,11 +150,27 @@ def labelled_by_rule(cands: DataFrame, words: list[str]) -> DataFrame:
     return cands.where(in_training_fold(F.col("doc_id"))).withColumn("label", rule_label(words)).where("label IS NOT NULL")
 
 
-def dictionary(docs: DataFrame) -> list[str]:
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """word, n: the documents that hold each word of three letters or more."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda x: F.length(x) >= 3))
+    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dictionary(counted: DataFrame) -> list[str]:
     """The words of 3 to 8 ASCII letters found in most documents."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x).between(3, 8)))
-    count = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r["word"] for r in count.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()]
+    short = counted.where(F.col("word").rlike("^[a-z]{3,8}$"))
+    return [r["word"] for r in short.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()]
+
+
+def with_known_parts(cands: DataFrame, counted: DataFrame, work: Work) -> DataFrame:
+    """Candidates with ``f_parts``, the share of the value in parts (runs of letters) that are words of the corpus."""
+    values = cands.select("value").distinct()
+    parts = values.select("value", F.explode(F.filter(F.split(F.lower("value"), "[^\\p{L}]+"), lambda x: F.length(x) >= 3)).alias("word"))
+    parts = work.store(parts, "parts")
+    known = counted.where(F.col("n") >= WORD_ROWS).join(parts.select("word").distinct(), "word").select("word")
+    cover = parts.join(known, "word").groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
+    share = F.coalesce(F.col("covered") / F.length("value"), F.lit(0.0))
+    return cands.join(cover, "value", "left").withColumn("f_parts", share).drop("covered")
 
 
 def _shape(words: list[str]) -> dict[str, Column]:
@@ -159,18 +183,22 @@ def _shape(words: list[str]) -> dict[str, Column]:
         for b in _CLASSES:
             out[f"f_{a}{b}"] = F.regexp_count(cls, F.lit(f"{a}(?={b})")) / n
     known = "|".join(sorted(words, key=lambda x: (-len(x), x))) or "(?!)"
-    left2, left1 = F.col("left2"), F.col("left1")
-    for name, c in (("named", _named(left2, left1)), ("key", _in_key(left2, left1)), ("format", value.rlike(KNOWN_FORMAT))):
-        out[f"f_is_{name}"] = F.coalesce(c, F.lit(False)).cast("double")
+    for c in ("left1", "right1"):  # signs that neighbours end and begin with
+        out[f"f_{c}_sign"] = F.coalesce(F.col(c).rlike("[=:]\\W*$" if c == "left1" else "^\\W"), F.lit(False)).cast("double")
     out["f_covered"] = F.lit(1.0) - F.length(F.regexp_replace(F.lower(value), f"(?:{known})", "")) / n
     return out
 
 
-_CONTEXT = ("path", "left2", "left1", "right1")
+#: Context columns with log odds of their own: the last run of letters in each, ``name`` being that of both words to the left.
+_CONTEXT = ("path", "left2", "left1", "right1", "name")
 
 
 def _clean(c: str) -> Column:
-    return F.coalesce(F.lower(F.col(c)), F.lit(""))
+    if c == "path":
+        return F.coalesce(F.lower(c), F.lit(""))
+    text = F.lower(F.concat_ws(" ", "left2", "left1") if c == "name" else F.coalesce(F.col(c), F.lit("")))
+    letters = F.regexp_extract(text, "(\\p{L}+)[^\\p{L}]*$", 1)
+    return F.when(letters != "", letters).otherwise(text)
 
 
 def _odds(train: DataFrame, c: str) -> DataFrame:
@@ -185,35 +213,45 @@ def _with_context(rows: DataFrame, odds: dict[str, DataFrame]) -> DataFrame:
     return rows.fillna(0.0, subset=[f"f_{c}" for c in odds])
 
 
-def judge(cands: DataFrame, findings: DataFrame, words: list[str], work: Work, rule: Column | None = None) -> DataFrame:
-    """Candidates with ``probability`` and ``is_secret``; ``findings`` are labelled candidates; ``rule`` stands in if no forest can be fitted."""
-    known = findings.where(F.col("label").isin(0, 1)).select("value", *_CONTEXT, F.col("label").cast("long").alias("label"))
+def judge(cands: DataFrame, findings: DataFrame, counted: DataFrame, work: Work, rule: Column | None = None) -> DataFrame:
+    """Candidates with ``probability`` and ``is_secret``; ``findings`` are labelled candidates, ``counted`` is the vocabulary;
+    ``rule`` stands in if no forest can be fitted."""
+    words = dictionary(counted)
+    given = ["value", "path", "left2", "left1", "right1"]
+    known = findings.where(F.col("label").isin(0, 1)).select(*given, F.col("label").cast("long").alias("label")).distinct()
     by_hash = F.xxhash64("value", "left2", "left1", "right1", "path")
     sample = [known.where(F.col("label") == y).orderBy(by_hash, "value").limit(MAX_ROWS) for y in (0, 1)]
-    train = work.store(sample[0].union(sample[1]).coalesce(1), "findings")
+    train = with_known_parts(sample[0].union(sample[1]), counted, work)
+    train = work.store(train.withColumn("half", F.pmod(F.xxhash64("value"), F.lit(2))).coalesce(1), "findings")
     per = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = ["doc_id", "word_index", "run", "value", "left2", "left1", "right1", "path"]
     if len(per) < 2:
         p = F.lit(1.0 if per.get(1) else 0.0) if rule is None else F.coalesce(rule.cast("double"), F.lit(0.0))
         return cands.select(*out, p.alias("probability"), (p >= THRESHOLD).alias("is_secret"))
     shape = _shape(words)
-    odds = {c: work.store(_odds(train, c), f"odds_{c}") for c in _CONTEXT}
-    names = [*shape, *(f"f_{c}" for c in _CONTEXT)]
+
+    def odds(rows: DataFrame, name: str) -> dict[str, DataFrame]:
+        return {c: work.store(_odds(rows, c), f"odds_{c}_{name}") for c in _CONTEXT}
+
+    names = [*shape, "f_parts", *(f"f_{c}" for c in _CONTEXT)]
     assemble = VectorAssembler(inputCols=names, outputCol="features")
-    ready = assemble.transform(_with_context(train.withColumns(shape), odds)).select("features", F.col("label").cast("double").alias("label"))
+    halves = [_with_context(train.where(F.col("half") == h).withColumns(shape), odds(train.where(F.col("half") != h), f"without_{h}")) for h in (0, 1)]
+    ready = assemble.transform(halves[0].unionByName(halves[1])).select("features", F.col("label").cast("double").alias("label"))
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7).fit(ready.coalesce(1))
-    scored = model.transform(assemble.transform(_with_context(cands.withColumns(shape), odds)))
+    rows = with_known_parts(cands, counted, work).withColumns(shape)
+    scored = model.transform(assemble.transform(_with_context(rows, odds(train, "all"))))
     scored = scored.withColumn("probability", F.round(vector_to_array("probability")[1], 6))
     return scored.select(*out, "probability", (F.col("probability") >= THRESHOLD).alias("is_secret"))
 
 
 def scan(docs: DataFrame, work: Work, findings: DataFrame | None = None) -> DataFrame:
     """Judged candidates of all documents; without labelled findings, those labelled by rule are learnt from."""
-    words = dictionary(docs)
+    counted = work.store(vocabulary(docs), "vocabulary")
     found = work.store(candidates(docs), "candidates")
     if findings is None:
-        return judge(found, labelled_by_rule(found, words), words, work, rule_label(words))
-    return judge(found, findings, words, work)
+        words = dictionary(counted)
+        return judge(found, labelled_by_rule(found, words), counted, work, rule_label(words))
+    return judge(found, findings, counted, work)
 
 
 def _masked(text: Column, value: Column) -> Column:
