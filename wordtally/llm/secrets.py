@@ -21,7 +21,8 @@ Words are counted over the whole corpus; a part of a candidate is known if
 is fitted on at most ``MAX_ROWS`` of each label (those with the least hash). The
 log odds of paths, names and neighbouring words come from these rows too, so
 they are bounded and broadcast; a row learnt from takes its odds from the half
-of the rows that its own value isn't in.
+of the rows that its own value isn't in, and a third of the rows are also learnt
+from without any, so that forms among words never seen are judged by their shape.
 
 Defined cases: a null or empty text has no candidates; null labels are not
 learnt from; without findings of both labels every candidate gets the share of
@@ -69,7 +70,8 @@ DEPTH = 6
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
-_CLASSES = {"v": "aeiouy", "c": "bcdfghjklmnpqrstvwxz", "U": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "d": "0123456789", "o": "_+/=-"}
+#: Classes of lower-cased characters, so that a form in capitals has the transitions of the same form without.
+_CLASSES = {"v": "aeiouy", "c": "bcdfghjklmnpqrstvwxz", "d": "0123456789", "o": "_+/=-"}
 
 
 def _named(left2: Column, left1: Column) -> Column:
@@ -176,8 +178,10 @@ def with_known_parts(cands: DataFrame, counted: DataFrame, work: Work) -> DataFr
 def _shape(words: list[str]) -> dict[str, Column]:
     value, n = F.col("value"), F.length("value").cast("double")
     letters = "".join(_CLASSES.values())
-    cls = F.translate(value, letters, "".join(k * len(v) for k, v in _CLASSES.items()))
+    cls = F.translate(F.lower(value), letters, "".join(k * len(v) for k, v in _CLASSES.items()))
     out = {"f_length": n, "f_distinct": F.size(F.array_distinct(F.split(value, ""))) / n}
+    out["f_capitals"] = F.regexp_count(value, F.lit("[A-Z]")) / n
+    out["f_case"] = F.regexp_count(value, F.lit("[a-z](?=[A-Z])|[A-Z](?=[a-z])")) / n
     for a in _CLASSES:
         out[f"f_{a}"] = F.regexp_count(cls, F.lit(a)) / n
         for b in _CLASSES:
@@ -236,7 +240,11 @@ def judge(cands: DataFrame, findings: DataFrame, counted: DataFrame, work: Work,
     names = [*shape, "f_parts", *(f"f_{c}" for c in _CONTEXT)]
     assemble = VectorAssembler(inputCols=names, outputCol="features")
     halves = [_with_context(train.where(F.col("half") == h).withColumns(shape), odds(train.where(F.col("half") != h), f"without_{h}")) for h in (0, 1)]
-    ready = assemble.transform(halves[0].unionByName(halves[1])).select("features", F.col("label").cast("double").alias("label"))
+    known = halves[0].unionByName(halves[1])
+    # a third is also learnt from without its neighbours, as candidates among words never seen are judged
+    hidden = known.where(F.pmod(F.xxhash64(F.lit("hidden"), "value"), F.lit(3)) == 0).withColumns({f"f_{c}": F.lit(0.0) for c in _CONTEXT})
+    known = known.unionByName(hidden)
+    ready = assemble.transform(known).select("features", F.col("label").cast("double").alias("label"))
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7).fit(ready.coalesce(1))
     rows = with_known_parts(cands, counted, work).withColumns(shape)
     scored = model.transform(assemble.transform(_with_context(rows, odds(train, "all"))))
