@@ -194,7 +194,7 @@ def _shape(words: list[str]) -> dict[str, Column]:
 
 
 #: Context columns with log odds of their own: the last run of letters in each, ``name`` being that of both words to the left.
-_CONTEXT = ("path", "left2", "left1", "right1", "name")
+_CONTEXT = ("path", "left1", "right1", "name")
 
 
 def _clean(c: str) -> Column:
@@ -205,49 +205,50 @@ def _clean(c: str) -> Column:
     return F.when(letters != "", letters).otherwise(text)
 
 
-def _odds(train: DataFrame, c: str) -> DataFrame:
-    """Smoothed log odds of label 1 for each value of a context column of the (bounded) training rows."""
-    g = train.groupBy(_clean(c).alias(f"k_{c}")).agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
-    return g.select(f"k_{c}", F.log((F.col("p") + 0.5) / (F.col("n") - F.col("p") + 0.5)).alias(f"f_{c}"))
+def _counts(train: DataFrame) -> DataFrame:
+    """c, k, and for each half of the (bounded) training rows p, the positive ones, and n, all that have the value k in the context column c."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _clean(c).alias("k")) for c in _CONTEXT]))
+    rows = train.select("half", "label", each.alias("e"))
+    halves = [(f"{name}{h}", F.sum(F.when(F.col("half") == h, x).otherwise(0))) for h in (0, 1) for name, x in (("p", F.col("label")), ("n", F.lit(1)))]
+    return rows.groupBy("e.c", "e.k").agg(*[x.alias(name) for name, x in halves])
 
 
-def _with_context(rows: DataFrame, odds: dict[str, DataFrame]) -> DataFrame:
-    for c, table in odds.items():
-        rows = rows.join(F.broadcast(table), _clean(c) == F.col(f"k_{c}"), "left").drop(f"k_{c}")  # at most 2 * MAX_ROWS rows
-    return rows.fillna(0.0, subset=[f"f_{c}" for c in odds])
+def _with_context(rows: DataFrame, counts: DataFrame, training: bool) -> DataFrame:
+    """Smoothed log odds of label 1 for each context column; a training row takes those of the half it isn't in."""
+    p, n = (F.when(F.col("half") == 0, F.col(f"{x}1")).otherwise(F.col(f"{x}0")) if training else F.col(f"{x}0") + F.col(f"{x}1") for x in "pn")
+    for c in _CONTEXT:
+        table = F.broadcast(counts.where(F.col("c") == c))  # at most 2 * MAX_ROWS rows
+        rows = rows.join(table, _clean(c) == F.col("k"), "left").withColumn(f"f_{c}", F.coalesce(F.log((p + 0.5) / (n - p + 0.5)), F.lit(0.0)))
+        rows = rows.drop(*counts.columns)
+    return rows
 
 
 def judge(cands: DataFrame, findings: DataFrame, counted: DataFrame, work: Work, rule: Column | None = None) -> DataFrame:
     """Candidates with ``probability`` and ``is_secret``; ``findings`` are labelled candidates, ``counted`` is the vocabulary;
     ``rule`` stands in if no forest can be fitted."""
     words = dictionary(counted)
-    given = ["value", "path", "left2", "left1", "right1"]
+    given = ["value", "path", "left2", "left1", "right1", "f_parts"]
+    findings, cands = (x if "f_parts" in x.columns else with_known_parts(x, counted, work) for x in (findings, cands))
     known = findings.where(F.col("label").isin(0, 1)).select(*given, F.col("label").cast("long").alias("label")).distinct()
     by_hash = F.xxhash64("value", "left2", "left1", "right1", "path")
     sample = [known.where(F.col("label") == y).orderBy(by_hash, "value").limit(MAX_ROWS) for y in (0, 1)]
-    train = with_known_parts(sample[0].union(sample[1]), counted, work)
-    train = work.store(train.withColumn("half", F.pmod(F.xxhash64("value"), F.lit(2))).coalesce(1), "findings")
+    train = work.store(sample[0].union(sample[1]).withColumn("half", F.pmod(F.xxhash64("value"), F.lit(2))).coalesce(1), "findings")
     per = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = ["doc_id", "word_index", "run", "value", "left2", "left1", "right1", "path"]
     if len(per) < 2:
         p = F.lit(1.0 if per.get(1) else 0.0) if rule is None else F.coalesce(rule.cast("double"), F.lit(0.0))
         return cands.select(*out, p.alias("probability"), (p >= THRESHOLD).alias("is_secret"))
     shape = _shape(words)
-
-    def odds(rows: DataFrame, name: str) -> dict[str, DataFrame]:
-        return {c: work.store(_odds(rows, c), f"odds_{c}_{name}") for c in _CONTEXT}
-
     names = [*shape, "f_parts", *(f"f_{c}" for c in _CONTEXT)]
     assemble = VectorAssembler(inputCols=names, outputCol="features")
-    halves = [_with_context(train.where(F.col("half") == h).withColumns(shape), odds(train.where(F.col("half") != h), f"without_{h}")) for h in (0, 1)]
-    known = halves[0].unionByName(halves[1])
+    counts = work.store(_counts(train), "odds")
+    known = work.store(_with_context(train.withColumns(shape), counts, True).coalesce(1), "learnt")
     # a third is also learnt from without its neighbours, as candidates among words never seen are judged
     hidden = known.where(F.pmod(F.xxhash64(F.lit("hidden"), "value"), F.lit(3)) == 0).withColumns({f"f_{c}": F.lit(0.0) for c in _CONTEXT})
     known = known.unionByName(hidden)
     ready = assemble.transform(known).select("features", F.col("label").cast("double").alias("label"))
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7).fit(ready.coalesce(1))
-    rows = with_known_parts(cands, counted, work).withColumns(shape)
-    scored = model.transform(assemble.transform(_with_context(rows, odds(train, "all"))))
+    scored = model.transform(assemble.transform(_with_context(cands.withColumns(shape), counts, False)))
     scored = scored.withColumn("probability", F.round(vector_to_array("probability")[1], 6))
     return scored.select(*out, "probability", (F.col("probability") >= THRESHOLD).alias("is_secret"))
 
@@ -256,6 +257,7 @@ def scan(docs: DataFrame, work: Work, findings: DataFrame | None = None) -> Data
     """Judged candidates of all documents; without labelled findings, those labelled by rule are learnt from."""
     counted = work.store(vocabulary(docs), "vocabulary")
     found = work.store(candidates(docs), "candidates")
+    found = work.store(with_known_parts(found, counted, work), "known")
     if findings is None:
         words = dictionary(counted)
         return judge(found, labelled_by_rule(found, words), counted, work, rule_label(words))
