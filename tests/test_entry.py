@@ -2,6 +2,8 @@
 
 import duckdb
 
+from wordtally.sources.tables import TABLES
+
 
 def test_entry_and_registries(spark):
     import __spark_entry__ as E
@@ -13,7 +15,7 @@ def test_entry_and_registries(spark):
     assert set(o) <= set(q) and len(q) >= 60
     # every twin parses in DuckDB (names of the driver's views, without data)
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages", "embeddings", "orders"):
+    for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     for name, sql in o.items():
         con.execute(f"EXPLAIN {sql}")
