@@ -88,6 +88,74 @@ def test_wrappers(spark, work):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string"), work).count() == 0
 
 
+def test_wrappers_compare_texts(spark, work):
+    from wordtally.llm import html_wrapper as H
+
+    def page(i, notice, where="div"):
+        return f"<body><div class='x'><p>Story {i} begins on a day like no other {i * 7}.</p><{where}>{notice}</{where}><h2>Sources</h2><p>It ends with line {i} and {i + 3}.</p></div></body>"
+
+    notice = "By reading this page you accept all of our terms, <b>and more</b>."
+    rows = [(i, f"http://terms.example/{i}", page(i, notice)) for i in range(20)]
+    # a marked article: long constant texts are template, short labels and headings are not
+    rows += [(100 + i, f"http://marked.example/{i}", f"<article><h1>All about everything we ever wrote</h1><p>Summary</p><p>{notice}</p><p>Text {i} of many, and long enough to be most of what is on page {i}.</p></article>") for i in range(20)]
+    # one article under twenty addresses, each with another short line: nothing of it is template
+    rows += [(200 + i, f"http://copies.example/{i}", f"<div><p>{'one long article that is copied ' * 9}</p><p>another paragraph of the same article</p><p>Visit {i}</p></div>") for i in range(20)]
+    # a sentence that a few of many articles share stays
+    rows += [(300 + i, f"http://shared.example/{i}", page(i, "Each of us knows this old saying by heart." if i < 6 else f"Line {i}.", "p")) for i in range(20)]
+    # too few articles to tell
+    rows += [(400 + i, f"http://few.example/{i}", page(i, notice)) for i in range(3)]
+    text = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), work).collect()}
+    story = "Story {0} begins on a day like no other {1}.\n{2}Sources\nIt ends with line {0} and {3}."
+    plain = "By reading this page you accept all of our terms, and more.\n"
+    for i in range(20):
+        assert text[i] == story.format(i, i * 7, "", i + 3)
+        assert text[100 + i] == f"All about everything we ever wrote\nSummary\nText {i} of many, and long enough to be most of what is on page {i}."
+        assert text[200 + i] == f"{('one long article that is copied ' * 9).strip()}\nanother paragraph of the same article\nVisit {i}"
+        assert text[300 + i] == story.format(i, i * 7, "Each of us knows this old saying by heart.\n" if i < 6 else f"Line {i}.\n", i + 3)
+    for i in range(3):
+        assert text[400 + i] == story.format(i, i * 7, plain, i + 3)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content has-sidebar"><article><p>A b</p></article></div>',
+        '<div class="search-result"><main><p>A b</p></main></div><p>More</p>',
+        "<!-- <article> --><p>A b</p>",
+        '<p>A b</p><section id="comments"><article class="comment"><p>Nice</p></article></section>',
+        '<form><article class="post has-comments"><p>A b</p><article class="comment"><p>Nice</p></article></article></form>',
+        "<aside><article><p>Teaser</p></article></aside><p>A b</p>",
+        "<p>A b</p><article></article>",
+    ],
+)
+def test_articles_beat_the_names_around_them(page):
+    from wordtally.llm import html_wrapper as H
+
+    assert H.main_text(page, "[null, {}]") == "A b"
+
+
+def test_alignment_is_longest_and_linear_in_memory(monkeypatch):
+    import time
+
+    from wordtally.llm import html_wrapper as H
+
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(H, "TABLE_CELLS", 16)
+    for _ in range(200):
+        a, b = ([str(k) for k in r.integers(0, 5, r.integers(0, 70))] for _ in range(2))
+        pairs = H.align(a, b)
+        assert len(pairs) == len(H._table(a, b)) and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    monkeypatch.undo()
+    start = time.time()
+    assert len(H.align([f"t{i}" for i in range(40_000)], [f"t{i}" for i in range(20_000, 60_000)])) == 20_000
+    pages = ["".join(f"<t{chr(97 + i % 26)}{'x' * (i % 37)}q{'y' * (i % 41)}>w</p>" for i in range(k, k + 20_000)) for k in (0, 7)]
+    w = H.Wrapper()
+    for p in pages:
+        w.add_stream([(t[0], t[2]) for t in H.tokens(p)], 1)
+    assert time.time() - start < 60
+
+
 def test_wrapper_folds_repeats_and_optionals():
     from wordtally.llm.html_wrapper import Wrapper
 
