@@ -430,7 +430,8 @@ def wrappers(pages: DataFrame, work: Work) -> DataFrame:
         step += 1
         out = work.store(chunked(out, "wrapper").groupBy("host", "chunk").applyInPandas(lambda pdf: _merge(pdf), "host string, wrapper string"), f"wrappers_{step}")
     known = known.withColumnRenamed("host", "k_host")
-    return out.join(known, out.host == known.k_host, "left").select("host", "wrapper", "literals")
+    # stored, so that its size is known when pages are joined with it
+    return work.store(out.join(known, out.host == known.k_host, "left").select("host", "wrapper", "literals"), "hosts")
 
 
 @lru_cache(maxsize=64)
