@@ -45,6 +45,45 @@ def test_toxicity_keeps_the_balance_of_the_labelled_rows(spark, make_docs, cap,
     assert abs(np.mean(list(out.values())) - 60 / 660) < 0.04, np.mean(list(out.values()))
 
 
+def test_toxicity_by_class_and_by_brute_force(spark, work):
+    """Held-out recall and precision at sf0.1; counts and scores recomputed row by row."""
+    from wordtally.llm import toxicity as T
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("toxic IN (0, 1) AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 != 0").selectExpr("doc_id", "cast(toxic AS int) AS y").distinct()
+    counts = T.feature_counts(docs, known).toPandas().set_index("f")
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    y = {r.doc_id: r.y for r in known.collect()}
+    n = np.zeros((2, 1 << T.BITS), dtype=int)
+    for d in y:
+        if d in text:
+            n[y[d], T.features(text[d])] += 1
+    at = counts.index[counts.index < 1 << T.BITS]
+    assert set(at) == set(np.nonzero(n.any(axis=0))[0]) and (counts.loc[at, "p"] == n[1, at]).all() and (counts.loc[at, "q"] == n[0, at]).all()
+    ids, w, b = T.train(docs, labels, work=work)
+    out = {r.doc_id: r for r in T.score(docs, ids, w, b).collect()}
+    weight = dict(zip(ids.tolist(), w))
+    for d in list(text)[:200]:
+        z = b + sum(weight.get(f, 0.0) for f in T.features(text[d]).tolist())
+        assert abs(out[d].score - 1 / (1 + np.exp(-z))) < 1e-9
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic IN (0, 1)").collect()}
+    hits = [(out[d].predicted, t) for d, t in truth.items() if d in out and out[d].held_out]
+    both = sum(p and t for p, t in hits)
+    assert both >= 0.84 * sum(t for _, t in hits) and both >= 0.95 * sum(p for p, _ in hits), (both, len(hits))
+
+
+def test_repeated_and_contradicting_labels(spark, make_docs):
+    from wordtally.llm import toxicity as T
+
+    docs = make_docs([(3 * i, f"some plain words {'zyxwvut' if i < 40 else 'common'} here", "en", "a") for i in range(200)])
+    rows = [(3 * i, int(i < 40)) for i in range(200)]
+    once = T.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+    again = T.train(docs, spark.createDataFrame(rows + rows[:30] * 5, "doc_id long, toxic int"))
+    assert (once[0] == again[0]).all() and np.allclose(once[1], again[1]) and abs(once[2] - again[2]) < 1e-9
+    none = T.train(docs, spark.createDataFrame([(d, 1 - y) for d, y in rows] + rows, "doc_id long, toxic int"))
+    assert not len(none[0]) and all(r.score < 1e-9 for r in T.score(docs, *none).collect())
+
+
 def test_graph_index(spark, work):
     from wordtally.llm import vamana
 
