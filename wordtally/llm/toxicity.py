@@ -15,8 +15,7 @@ most 2^BITS features. The regression is fitted in one task on at most
 ``doc_id``), each weighted by the rows of its class that it stands for, so the
 balance of the classes is that of all labelled rows, whatever the cap leaves.
 Only features with evidence reach the driver, at most 2^BITS, and their weights
-travel inside the scoring function. Very long texts are read whole; their n-grams
-become flags of a table of 2^BITS places.
+travel inside the scoring function. Very long texts are read whole.
 
 Defined cases: a null or empty text has no features and gets the score of the
 intercept; null labels are not learnt from; a document with repeated labels counts once
@@ -47,34 +46,29 @@ STEPS = 400
 THRESHOLD = 0.5
 
 
-def features(text: str | None) -> np.ndarray:
-    """Hashed ids of the distinct n-grams of a whole text, ascending."""
+def hashes(text: str | None) -> np.ndarray:
+    """Hashed ids of the n-grams of a whole text, with repeats; each size goes on from the hashes of the one before."""
     words = set((text or "").lower().split())
-    if not words:
-        return np.zeros(0, dtype=np.int32)
-    line = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    line = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     space = line == 32
-    out = []
-    for size in SIZES:
+    h, inner, out = np.zeros(len(line), dtype=np.uint64), np.zeros(len(line), dtype=bool), []
+    for size in range(1, SIZES[-1] + 1 if words else 0):
         n = len(line) - size + 1
         if n < 1:
-            continue
-        h = np.zeros(n, dtype=np.uint64)
-        inner = np.zeros(n, dtype=bool)
-        for k in range(size):
-            h = (h ^ line[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            if 0 < k < size - 1:
-                inner |= space[k : k + n]
-        out.append(((h >> np.uint64(20)) & np.uint64((1 << BITS) - 1))[~inner])
-    if not out:  # one word too short for any n-gram
-        return np.zeros(0, dtype=np.int32)
-    flags = np.zeros(1 << BITS, dtype=bool)
-    found = np.concatenate(out).astype(np.int32)
-    if len(found) < 50_000:
-        return np.unique(found)
-    flags[found] = True
-    return np.nonzero(flags)[0].astype(np.int32)
+            break
+        h = (h[:n] ^ line[size - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        inner = inner[:n]
+        if size > 2:  # a space between the first and the last character
+            inner = inner | space[size - 2 : size - 2 + n]
+        if size in SIZES:
+            out.append(((h >> np.uint64(20)) & np.uint64((1 << BITS) - 1))[~inner].astype(np.int32))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+
+
+def features(text: str | None) -> np.ndarray:
+    """Hashed ids of the distinct n-grams of a whole text, ascending."""
+    return np.unique(hashes(text))
 
 
 def fit(label: np.ndarray, rows: list[np.ndarray], used: np.ndarray, ratio: np.ndarray, totals: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, float]:
@@ -117,7 +111,7 @@ def feature_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
         n = np.zeros((2, size + 1), dtype=np.int64)  # the last one counts rows
         for part in slices(batches):
             for y, t in zip(part.column("y").to_pylist(), part.column("text").to_pylist()):
-                n[y, features(t)] += 1
+                n[y, hashes(t)] += 1  # repeats count once
                 n[y, size] += 1
         at = np.nonzero(n.any(axis=0))[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[1, at]), pa.array(n[0, at])], ["f", "p", "q"])
@@ -167,7 +161,10 @@ def score(docs: DataFrame, ids: np.ndarray, weights: np.ndarray, intercept: floa
     def run(cols: dict[str, list]) -> dict[str, list]:
         table = np.zeros(1 << BITS)
         table[ids] = weights
-        z = [float(table[features(t)].sum()) + intercept for t in cols["text"]]
+        z = []
+        for t in cols["text"]:
+            h = hashes(t)
+            z.append(float(table[np.unique(h[table[h] != 0])].sum()) + intercept)
         return {"doc_id": cols["doc_id"], "score": (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()}
 
     out = map_rows(docs.select("doc_id", "text"), run, "doc_id long, score double")
