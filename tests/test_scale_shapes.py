@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordtally.functions import lemma as L
+from wordtally.operators import learners as LR
 from wordtally.operators import registry as R
 from wordtally.operators.ranking import dense_index
 from wordtally.plans import REGISTRY, load_all
@@ -86,3 +87,24 @@ def test_samples_keep_every_document(spark, tmpdir_path):
     values, docs = sinks.read_samples(spark, os.path.join(tmpdir_path, "s"))
     assert [tuple(r) for r in values.collect()] == [(1, 0, 2.0)]
     assert sorted(map(tuple, docs.collect())) == [(1, False, 4, "t"), (2, True, 4, "t")]
+
+
+def test_neighbour_search_shuffles_no_block_twice(spark):
+    docs = [(i, 1 if i % 3 else -1, i % 4, [i % 5, 5 + i % 7], [1.0, 0.5 * (i % 2)]) for i in range(120)]
+    rows = spark.createDataFrame([("m", *d) for d in docs] + [("n", *docs[0]), ("m", *docs[1])], "space string, id long, y int, fold int, ix array<int>, vx array<double>")
+    found = LR.knn_search(rows, rows, k=3, block_rows=8, query_block_rows=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # no copy of a block for each block of the other side
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.space, r.qid), []).append((r.d2, r.tid))
+    assert ("n", 0) not in got  # alone in its space
+
+    def d2(a, b):
+        x, y = dict(zip(docs[a][3], docs[a][4])), dict(zip(docs[b][3], docs[b][4]))
+        return round(sum((x.get(c, 0) - y.get(c, 0)) ** 2 for c in {*x, *y}), 6)
+
+    for q in range(120):
+        near = sorted((d2(q, t), t) for t in [*range(120), 1] if t % 4 != q % 4)  # row 1 comes twice
+        near = sorted(near * 2)[:3] if q == 1 else near[:3]
+        assert sorted(got["m", q]) == near
