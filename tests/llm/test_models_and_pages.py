@@ -242,3 +242,15 @@ def test_pipeline(spark):
     assert set(pieces["doc_id"]) == set(kept)
     assert (pieces.groupby("sequence_id")["length"].sum() <= 2048).all()
     assert pieces.groupby("doc_id")["length"].sum().eq(pieces.groupby("doc_id")["doc_tokens"].first()).all()
+
+
+def test_query_blocks_are_not_broadcast(spark, work, monkeypatch):
+    from wordtally.llm import vamana
+
+    monkeypatch.setattr(vamana, "SHARD_ROWS", 64)
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=8).astype(np.float32).tolist()) for i in range(500)]
+    out = vamana.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), work)
+    assert out.count() == 50
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

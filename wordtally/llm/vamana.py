@@ -187,8 +187,9 @@ def nearest(vectors: DataFrame, work: Work, k: int = 5, every: int = 50) -> Data
     blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     packed = queries.groupBy(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))  # about BLOCK_ROWS queries
     asked = packed.select(F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("q_shard"), "q")
-    # dealt by shard and block, so that one task holds one shard and one block at a time
-    pairs = asked.join(index, (asked.q_dim == index.dim) & (asked.q_shard == index.shard)).drop("q_dim", "q_shard")
+    # dealt by shard and block, so that one task holds one shard and one block at a time; never broadcast: before they
+    # are repeated for every shard the blocks look small, and the driver would gather queries times shards
+    pairs = asked.hint("merge").join(index, (asked.q_dim == index.dim) & (asked.q_shard == index.shard)).drop("q_dim", "q_shard")
 
     def run(batches):
         for batch in batches:
