@@ -254,3 +254,15 @@ def test_query_blocks_are_not_broadcast(spark, work, monkeypatch):
     assert out.count() == 50
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_only_labelled_texts_are_joined(spark, work):
+    from wordtally.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(7, "again"), (None, "x")], "doc_id long, text string")
+    known = spark.createDataFrame([(i,) for i in range(0, 2000, 7)], "doc_id long")
+    kept = toxicity.with_key_in(docs, known)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and ids.count(7) == 2 and set(range(0, 2000, 7)) <= set(ids)
+    assert len(ids) < 500  # the rest never reaches the join
+    assert toxicity.with_key_in(docs, known.limit(0)).count() == 0

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordtally.llm.common import Work, in_training_fold, map_rows, slices
+from wordtally.llm.common import Work, bit_table, in_bit_table, in_training_fold, map_rows, slices
 
 BITS = 20
 SIZES = (4, 5, 6, 7, 8)
@@ -102,9 +102,23 @@ def fit(label: np.ndarray, rows: list[np.ndarray], used: np.ndarray, ratio: np.n
     return used, w * ratio, float(b)
 
 
+def with_key_in(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows whose doc_id is (but for a few chance hits) one of ``known``, so that a join shuffles no text of the others."""
+    key = F.xxhash64("doc_id").alias("key")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(known.select(key), "key"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bit_table(table.value, batch["key"].to_numpy())))
+
+    keyed = docs.select("*", key)
+    return keyed.mapInArrow(run, keyed.schema).drop("key")
+
+
 def feature_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
     """f, p, q: toxic and clean rows of every feature over all labelled rows ``known`` (doc_id, y); f = 2^BITS counts all rows."""
-    rows = docs.where(in_training_fold(F.col("doc_id"))).select("doc_id", "text").join(known.hint("merge"), "doc_id").select("y", "text")  # labels grow with the corpus: no broadcast
+    rows = with_key_in(docs.where(in_training_fold(F.col("doc_id"))).select("doc_id", "text"), known)
+    rows = rows.join(known.hint("merge"), "doc_id").select("y", "text")  # labels grow with the corpus: no broadcast
     size = 1 << BITS
 
     def run(batches):
@@ -134,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", work: Work |
     """(ids, weights) of the hashed n-grams that matter and the intercept, learnt from labelled rows outside the held-out fold."""
     work = work or Work(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & in_training_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("z"))
-    known = known.where("y = z").select("doc_id", "y")
+    known = work.store(known.where("y = z").select("doc_id", "y"), "known")
     used, ratio, totals = evidence(work.store(feature_counts(docs, known), "feature_counts"))
     sample = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS) for y in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(sample[0].union(sample[1])), "doc_id")  # bounded by MAX_ROWS
