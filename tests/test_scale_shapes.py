@@ -11,7 +11,7 @@ from wordtally.operators import registry as R
 from wordtally.operators.ranking import dense_index
 from wordtally.plans import REGISTRY, load_all
 from wordtally.sources import sinks
-from wordtally.sources.tables import announcements
+from wordtally.sources.tables import announcements, may_have_label
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,3 +108,21 @@ def test_neighbour_search_shuffles_no_block_twice(spark):
         near = sorted((d2(q, t), t) for t in [*range(120), 1] if t % 4 != q % 4)  # row 1 comes twice
         near = sorted(near * 2)[:3] if q == 1 else near[:3]
         assert sorted(got["m", q]) == near
+
+
+def test_texts_of_the_other_side_are_left_out_before_they_are_tokenized(spark, tmpdir_path):
+    docs = [(i, "s", 10, f"One text {i}.", "en") for i in (1, 2, 3, 4, 5, 6, 6)] + [(None, "s", 10, "No id.", "en")]
+    labels = [(1, 1, 0), (2, 0, 1), (3, None, 0), (4, 1, 0), (4, None, 0), (6, 1, 0), (6, 0, 0), (None, 1, 0)]
+    spark.createDataFrame(docs, "doc_id long, source string, n_chars long, text string, lang string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmpdir_path}/labels.parquet")
+    read, known = spark.read.parquet(f"{tmpdir_path}/documents.parquet"), spark.read.parquet(f"{tmpdir_path}/labels.parquet")
+    assert sorted(r.doc_id for r in may_have_label(read, known, True).collect()) == [1, 2, 4, 6, 6]
+    assert sorted(r.doc_id or 0 for r in may_have_label(read, known, False).collect()) == [0, 3, 4, 5]
+    for labelled, mine in ((True, "class_label <> 'none'"), (False, "class_label = 'none'")):
+        whole, part = announcements(spark, tmpdir_path).where(mine), announcements(spark, tmpdir_path, labelled).where(mine)
+        assert sorted(map(str, whole.collect())) == sorted(map(str, part.collect())) and whole.count() > 0
+    spark.conf.set("wordtally.broadcast.maxRows", "1")
+    try:
+        assert may_have_label(read, known, True).count() == len(docs)
+    finally:
+        spark.conf.unset("wordtally.broadcast.maxRows")
