@@ -126,3 +126,16 @@ def test_texts_of_the_other_side_are_left_out_before_they_are_tokenized(spark, t
         assert may_have_label(read, known, True).count() == len(docs)
     finally:
         spark.conf.unset("wordtally.broadcast.maxRows")
+
+
+def test_lemmas_hold_few_documents_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(L, "LEMMA_ROWS", 3)
+    words = [["films", "good"], None, [], ["walked", None], ["films"], ["x", "walked", "films"], ["good"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(words, pa.list_(pa.string()))], names=["id", "words"])
+    out = list(L._replaced([batch], pa.array(["films", "walked"]), pa.array(["film", "walk"]), ["id", "words"]))
+    assert [b.num_rows for b in out] == [3, 3, 1]
+    got = [w for b in out for w in b["words"].to_pylist()]
+    assert got == [["film", "good"], [], [], ["walk", None], ["film"], ["x", "walk", "film"], ["good"]]
+    assert [i for b in out for i in b["id"].to_pylist()] == list(range(7))

@@ -91,26 +91,37 @@ def apply_lemmas(docs: DataFrame, table: DataFrame, words_col: str = "words") ->
     return out.select(*others, F.coalesce(F.col("_l._w"), F.array().cast("array<string>")).alias(words_col))
 
 
-def _in_place(docs: DataFrame, table: DataFrame, words_col: str) -> DataFrame:
-    import pyarrow as pa
-    import pyarrow.compute as pc
+#: Documents whose tokens are replaced at once: what a worker holds beside the Arrow batch itself.
+LEMMA_ROWS = 1024
+
 
+def _in_place(docs: DataFrame, table: DataFrame, words_col: str) -> DataFrame:
     found = table.select("form", "lemma").toArrow()
     shipped = docs.sparkSession.sparkContext.broadcast((found["form"].combine_chunks(), found["lemma"].combine_chunks()))
     columns = [*[c for c in docs.columns if c != words_col], words_col]
 
     def replace(batches):
-        forms, lemmas = shipped.value
-        for batch in batches:
-            lists = batch[words_col]
+        yield from _replaced(batches, *shipped.value, columns)
+
+    return docs.select(*columns).mapInArrow(replace, docs.select(*columns).schema)
+
+
+def _replaced(batches, forms, lemmas, columns: list[str]):
+    """Arrow batches of at most LEMMA_ROWS rows, the tokens of the last column replaced."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, LEMMA_ROWS):
+            batch = whole.slice(at, LEMMA_ROWS)
+            lists = batch[columns[-1]]
             tokens = lists.flatten()
-            new = pc.coalesce(lemmas.take(pc.index_in(tokens, value_set=forms)).cast(pa.string()), tokens.cast(pa.string()))
+            own = tokens.dictionary_encode()
+            new = pc.coalesce(lemmas.take(pc.index_in(own.dictionary, value_set=forms)).cast(pa.string()), own.dictionary.cast(pa.string()))
             ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0)).cast(pa.int32())
             offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-            words = pa.ListArray.from_arrays(offsets, new)
+            words = pa.ListArray.from_arrays(offsets, new.take(own.indices))
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in columns[:-1]], words], names=columns)
 
-    return docs.select(*columns).mapInArrow(replace, docs.select(*columns).schema)
-
 
 __all__ = ["DETACHMENT_RULES", "apply_lemmas", "candidates", "lemma_table", "Window"]
