@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordtally.operators import learners as LR
+from wordtally.operators import reduction as R
 from wordtally.operators.vectorize import fit_transformation
 from wordtally.options import TransformOptions
 from wordtally.plans import query
@@ -36,13 +37,14 @@ REDUCE_OPTS = TransformOptions(reduction=True)
 
 def _reduced(spark, sf_dir):
     sel = labelled_selection(spark, sf_dir)
-    return fit_transformation(sel, REDUCE_OPTS).features(sel)
+    return fit_transformation(sel, REDUCE_OPTS), sel
 
 
 @query("reduce")
 def reduce(spark, sf_dir):
     """M3: whitened principal components (100) of the tf-idf rows over the whole dictionary."""
-    return _reduced(spark, sf_dir).select("id", F.col("idx").alias("component"), "value")
+    tm, sel = _reduced(spark, sf_dir)
+    return tm.features(sel).select("id", F.col("idx").alias("component"), "value")
 
 
 @query(
@@ -53,8 +55,7 @@ FROM k, range(k) a, range(k) b WHERE a.range <= b.range""",
 )
 def reduce_moments(spark, sf_dir):
     """M3: every component has mean 0 and variance 1, every two have correlation 0."""
-    z = _reduced(spark, sf_dir)
-    pair = z.select("id", F.col("idx").alias("a"), F.col("value").alias("x")).join(z.select("id", F.col("idx").alias("b"), F.col("value").alias("y")), "id")
-    pair = pair.where("a <= b").groupBy("a", "b").agg(F.avg("x").alias("m"), F.avg(F.col("x") * F.col("y")).alias("xy"), F.avg("y").alias("my"))
+    tm, sel = _reduced(spark, sf_dir)
+    pair = R.moments(tm.reduced(sel))
     zero = F.lit(0.0)  # rounding may leave a minus sign
-    return pair.select("a", "b", (F.round("m", 6) + zero).alias("mean"), (F.round(F.col("xy") - F.col("m") * F.col("my"), 6) + zero).alias("covariance"))
+    return pair.select("a", "b", (F.round("mean", 6) + zero).alias("mean"), (F.round("covariance", 6) + zero).alias("covariance"))
