@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordtally.functions import text as T
@@ -35,12 +35,16 @@ from wordtally.session import reliable_checkpoint
 MergedSelection = Counted
 
 
-def _facts(words: Column, trigger: str) -> tuple[Column, Column, Column]:
-    """(size, swap, constant): the part swaps the state, or leaves it at the constant; null and false: it keeps the state."""
-    size = F.size(words)
-    other = F.array_position(F.transform(F.reverse(words), lambda w: w != trigger), True)
-    run = F.when(other == 0, size).otherwise(other - 1)  # triggers at the end
-    return size, (run == size) & (size % 2 == 1), F.when(run < size, (run % 2).cast("int"))
+def _facts(parts: DataFrame, trigger: str) -> DataFrame:
+    """``swap, const`` of each part: it swaps the state, or leaves it at the constant; null and false: it keeps the state.
+
+    The search from the end is a column of its own, as the steps after it read it several times."""
+    other = F.array_position(F.transform(F.reverse("words"), lambda w: w != trigger), True)
+    rows = parts.withColumns({"_size": F.size("words"), "_other": other}).drop("words")
+    rows = rows.withColumn("_run", F.when(F.col("_other") == 0, F.col("_size")).otherwise(F.col("_other") - 1))  # triggers at the end
+    size, run = F.col("_size"), F.col("_run")
+    swap, const = (run == size) & (size % 2 == 1), F.when(run < size, (run % 2).cast("int"))
+    return rows.withColumns({"some": size > 0, "swap": swap.cast("int"), "const": const}).drop("_size", "_other", "_run")
 
 
 def states(parts: DataFrame, trigger: str) -> DataFrame:
@@ -49,8 +53,8 @@ def states(parts: DataFrame, trigger: str) -> DataFrame:
     ``parts``: id, seq, words and the merge key; the newest part comes first.
     """
     groups = merge_key()
-    size, swap, const = _facts(F.col("words"), trigger)
-    rows = parts.select("id", "seq", *groups, (size > 0).alias("some"), swap.cast("int").alias("swap"), const.alias("const"))
+    # the sort reads its rows twice, the words are read once
+    rows = reliable_checkpoint(_facts(parts.select("id", "seq", *groups, "words"), trigger))
     rows = ordered(rows, [F.col("seq").desc(), F.col("id")], groups)
     here = Window.partitionBy("_pid", *groups).orderBy("_mono").rowsBetween(Window.unboundedPreceding, -1)
     # the constant is kept as it would stand before all swaps of its partition
@@ -79,13 +83,19 @@ def states(parts: DataFrame, trigger: str) -> DataFrame:
 
 def join_across_parts(parts: DataFrame, trigger: str) -> DataFrame:
     """X10 over the flattened text of each merged row, part by part: ``words`` with negations joined."""
-    j = parts.join(states(parts, trigger).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
-    words, some = F.col("words"), F.size("words") > 0
-    start = F.when(F.col("waiting") & some, F.array(F.concat(F.lit(trigger + " "), F.element_at(words, 1)))).otherwise(F.slice(words, 1, 0))
-    rest = F.when(F.col("waiting") & some, F.slice(words, F.lit(2), F.size(words))).otherwise(words)
-    joined = F.concat(start, T.join_negations(rest, trigger))
-    kept = F.when(F.col("taken"), F.slice(joined, F.lit(1), F.size(joined) - 1)).otherwise(joined)
-    return j.withColumn("words", kept).drop("waiting", "taken")
+    flags = states(parts, trigger).groupBy("id").agg(F.collect_list(F.struct("waiting", "taken")).alias("flags"))
+    # most parts neither take nor give a word; only the others are looked up, so no words are shuffled to find that out
+    some = flags.where((F.size("flags") > 1) | F.exists("flags", lambda f: f["waiting"] | f["taken"]))
+    some = reliable_checkpoint(some.select(F.col("id").alias("_id"), F.inline("flags")))
+    j = parts.where(F.col("id").isNotNull()).join(checked_broadcast(some), F.col("id") == F.col("_id"), "left").drop("_id")
+    j = j.withColumns({"_waiting": F.coalesce("waiting", F.lit(False)) & (F.size("words") > 0), "_taken": F.coalesce("taken", F.lit(False))})
+    words, waiting, joined = F.col("words"), F.col("_waiting"), F.col("_joined")
+    start = F.when(waiting, F.array(F.concat(F.lit(trigger + " "), F.element_at(words, 1)))).otherwise(F.slice(words, 1, 0))
+    j = j.withColumn("_rest", F.when(waiting, F.slice(words, F.lit(2), F.size(words))).otherwise(words))
+    # a column for each step, so that the next one reads it and doesn't compute it again
+    j = j.withColumn("_joined", F.concat(start, T.join_negations(F.col("_rest"), trigger)))
+    kept = F.when(F.col("_taken"), F.slice(joined, F.lit(1), F.size(joined) - 1)).otherwise(joined)
+    return j.withColumn("words", kept).drop("waiting", "taken", "_waiting", "_taken", "_rest", "_joined")
 
 
 def merged_selection(
