@@ -139,3 +139,47 @@ def test_lemmas_hold_few_documents_at_once(monkeypatch):
     got = [w for b in out for w in b["words"].to_pylist()]
     assert got == [["film", "good"], [], [], ["walk", None], ["film"], ["x", "walk", "film"], ["good"]]
     assert [i for b in out for i in b["id"].to_pylist()] == list(range(7))
+
+
+def test_blocks_of_the_search_are_dealt_evenly(spark, monkeypatch):
+    import pyarrow as pa
+
+    def counting(k):
+        def run(batches):
+            n = sum(b.num_rows for b in batches)
+            columns = [["x"], [n], [0], [0], [0], [0], [0.0]]
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["space", "qid", "qfold", "qy", "tid", "ty", "d2"])
+
+        return run
+
+    monkeypatch.setattr(LR, "_search_blocks", counting)
+    rows = spark.range(256).selectExpr("'' space", "id", "1 y", "cast(id % 2 AS int) fold", "array(0) ix", "array(1D) vx")
+    found = LR.knn_search(rows, rows, k=100, block_rows=256, query_block_rows=16)
+    assert [r.qid for r in found.collect()] == [1] * 16  # a pair of blocks a task
+
+
+def test_products_of_blocks_equal_the_dense_ones(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((70, 50)) < rng.random(50), rng.random((70, 50)), 0.0)
+    x[5] = 0.0
+
+    def block(rows):
+        where = [np.nonzero(r)[0].astype(np.int32) for r in rows]
+        n = len(rows)
+        table = pa.table({"space": [""] * n, "block": pa.array([0] * n, pa.int32()), "id": list(range(n)), "y": pa.array([1] * n, pa.int32()), "fold": pa.array([0] * n, pa.int32()),
+                          "ix": pa.array(where, pa.list_(pa.int32())), "vx": pa.array([r[w] for r, w in zip(rows, where)], pa.list_(pa.float64()))})
+        packed = LR._pack_block(table)
+        return LR._Block(packed.rename_columns([f"q_{c}" for c in packed.column_names]).combine_chunks().to_batches()[0], 0, "q")
+
+    for strip, pairs, heavy in ((7, 9, 0.4), (64, 1 << 17, 2.0), (64, 1 << 17, 0.0)):
+        monkeypatch.setattr(LR, "STRIP_ROWS", strip)
+        monkeypatch.setattr(LR, "STRIP_PAIRS", pairs)
+        monkeypatch.setattr(LR, "HEAVY_SHARE", heavy)
+        parts = list(LR._Columns(block(x[:40])).dots(block(x[40:])))
+        assert [top for top, _ in parts] == list(range(0, 30, strip))
+        assert np.allclose(np.concatenate([p for _, p in parts]), x[40:] @ x[:40].T, atol=1e-12)
