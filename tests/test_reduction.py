@@ -121,3 +121,17 @@ def test_moments_pair_the_rows_of_an_id(spark):
         assert abs(r["mean"] - mx[r["a"]]) < 1e-12
         assert abs(r["covariance"] - (np.mean([x[r["a"]] * y[r["b"]] for x, y in pairs]) - mx[r["a"]] * my[r["b"]])) < 1e-12
     assert found.count() == 6
+
+
+def test_fit_leaves_its_axes_only(spark):
+    from wordtally.session import ensure_checkpoint_dir
+
+    folder = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "tables", spark.sparkContext.applicationId)
+    rows = [(i, j, float((i * 7 + j * 3) % 5 + 1)) for i in range(30) for j in range(6) if (i + j) % 3]
+    long = spark.createDataFrame(rows, "id long, idx int, value double")
+    ids = spark.range(31)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    red = R.fit(long, ids, 6, 3)
+    left = set(os.listdir(folder)) - before
+    assert {f.split("/")[-2] for f in red.axes.inputFiles()} == left and len(left) == 1
+    assert red.axes.count() == 6 and R.project(red, long, ids).count() == 31
